@@ -4,7 +4,7 @@ For each benchmark item of m shingles (five words; an item of fewer words is
 one shingle) every window of m shingles of every document is a candidate.  A
 window can only reach the similarity if it shares a shingle with the item, so
 documents without any benchmark shingle leave after one scan, without a
-shuffle, by a bit table; in the others all windows over a shared shingle of an
+shuffle, by a bit table of fixed size; in the others all windows over a shared shingle of an
 item of that length are taken.
 
 * SimHash: 64 counters, one for each bit, as four 16-bit lanes in each of 16
@@ -18,8 +18,8 @@ item of that length are taken.
 * The exact weighted Jaccard similarity of the shingles, sum of the smaller
   weights over sum of the larger ones, must reach `percent`.
 
-Scale: texts are read once and never shuffled; what follows concerns documents
-that share a shingle with the benchmark.  The bit table has a fixed size; item
+Scale: no text is shuffled but those of the documents that share a shingle with
+the benchmark, which are read a second time for their windows.  The bit table has a fixed size; item
 tables are broadcast only up to `broadcast_rows` rows, else joined by shuffle.
 
 Defined results: null or empty texts and items match nothing.  Equal items all
@@ -47,13 +47,16 @@ LANES = 0x0001000100010001
 
 def shingles(w: Column, width: int) -> Column:
     """64-bit hash of each run of `width` words; none if there are fewer."""
-    return F.when(F.size(w) < width, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width))))
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
+    # bound to a lambda variable, so that the words aren't cut again for each shingle
+    return F.get(F.transform(F.filter(F.array(w), lambda w: F.size(w) >= width), of), F.lit(0))
 
 
 def simhash(h: Column) -> Column:
     """Fingerprint of an array of fewer than 2**15 hashes: bit b is set where more than half of them have it."""
     half = F.size(h) / 2
-    sums = [F.aggregate(h, F.lit(0).cast("long"), lambda a, x, k=k: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(LANES))) for k in range(16)]
+    lanes_at = lambda k: lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(LANES))
+    sums = [F.aggregate(h, F.lit(0).cast("long"), lanes_at(k)) for k in range(16)]
 
     def bits(total: Column, k: int) -> Column:
         lane = lambda j: F.shiftrightunsigned(total, 16 * j).bitwiseAND(F.lit(0xFFFF))
@@ -63,8 +66,9 @@ def simhash(h: Column) -> Column:
         return out
 
     out = F.lit(0).cast("long")
+    bits_at = lambda k: lambda t: bits(t, k)
     for k, total in enumerate(sums):
-        out = out + F.get(F.transform(F.array(total), lambda t, k=k: bits(t, k)), F.lit(0))
+        out = out + F.get(F.transform(F.array(total), bits_at(k)), F.lit(0))
     return out
 
 
@@ -89,7 +93,7 @@ def _block(f: Column, b: int) -> Column:
 def _bit_table(hashes: DataFrame, bits: int) -> Column:
     """Bloom table of `hashes` (h) as one array of longs, a scalar subquery; 3 bits for each hash."""
     places = hashes.select(F.explode(F.array(*[_bit_at(F.col("h"), s, bits) for s in _shifts(bits)])).alias("at"))
-    some = places.select(F.shiftright("at", 6).alias("i"), F.shiftleft(F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63))).alias("w"))
+    some = places.select(F.shiftright("at", 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63))).alias("w"))
     every = hashes.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("w"))
     packed = some.union(every).groupBy("i").agg(F.bit_or("w").alias("w"))
     return packed.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("table")).scalar()
@@ -107,7 +111,7 @@ def _in_table(h: Column, table: Column, bits: int) -> Column:
     found = F.lit(True)
     for shift in _shifts(bits):
         at = _bit_at(h, shift, bits)
-        found = found & (F.shiftrightunsigned(F.get(table, F.shiftright(at, 6)), at.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1)
+        found = found & (F.call_function("shiftrightunsigned", F.get(table, F.shiftright(at, 6)), at.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1)
     return found
 
 
@@ -126,7 +130,7 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, shared, joined): for each document and item the most
     similar window, the first among equals; the similarity is shared / joined."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), words(F.lower(F.col(text_col).cast("string"))).alias("w"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), words(F.lower(F.col(text_col).cast("string"))).alias("w"))
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.lower(F.col(item_text_col).cast("string"))).alias("w")).filter(F.size("w") > 0)
     items = written(items.withColumn("width", F.least(F.size("w"), F.lit(width))), "items")
     found = [_of_width(texts, items.filter(F.col("width") == k), k, percent, radius, broadcast_rows) for k in sorted(r["width"] for r in items.select("width").distinct().collect())]
@@ -149,20 +153,21 @@ def _of_width(texts: DataFrame, items: DataFrame, width: int, percent: int, radi
     bits = min(26, max(TABLE_BITS, (64 * n).bit_length()))
     table = _bit_table(hashes.select("h"), bits)
 
-    hashed = texts.select("doc_id", shingles(F.col("w"), width).alias("h"))
-    marked = hashed.withColumn("at", F.filter(F.transform("h", lambda x, i: F.when(_in_table(x, table, bits), i)), lambda i: i.isNotNull()))
-    near = written(marked.filter(F.size("at") > 0).withColumn("uid", F.monotonically_increasing_id()), "near")
-
-    anchors = near.select("uid", F.explode("at").alias("p"), "h").select("uid", "p", F.get("h", F.col("p")).alias("h"))
-    places = anchors.join(small(hashes, n), "h").groupBy("uid", "m").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    hashed = texts.select("doc_id", "t", shingles(F.col("w"), width).alias("h"))
+    hits = hashed.select("doc_id", "t", F.posexplode("h").alias("p", "h")).filter(_in_table(F.col("h"), table, bits))
+    places = hits.join(small(hashes, n), "h").groupBy("doc_id", "t", "m").agg(F.array_sort(F.collect_set("p")).alias("ps"))
     # a window at the similarity shares at least `need` shingles with the item, so it holds `need` of these places
     need = F.ceil(F.col("m") * (2 * percent) / (100 + percent)).cast("int")
     last = lambda i: F.get("ps", i + F.col("need") - 1)
     runs = F.filter(F.sequence(F.lit(0), F.size("ps") - F.col("need")), lambda i: last(i) - F.get("ps", i) < F.col("m"))
     starts = F.flatten(F.transform(runs, lambda i: F.sequence(F.greatest(last(i) - F.col("m") + 1, F.lit(0)), F.get("ps", i))))
-    begun = places.withColumn("need", need).filter(F.size("ps") >= F.col("need")).select("uid", "m", F.explode(F.array_distinct(starts)).alias("s"))
-    windows = near.select("uid", "doc_id", "h").join(begun, "uid").filter(F.col("s") + F.col("m") <= F.size("h"))
-    windows = windows.select("doc_id", "m", "s", F.slice("h", F.col("s") + 1, F.col("m")).alias("h")).withColumn("f", simhash(F.col("h")))
+    enough = written(places.withColumn("need", need).filter(F.size("ps") >= F.col("need")), "places")
+    begun = enough.select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "m", F.explode(F.array_distinct(starts)).alias("s"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("u"))
+    held = hashed.join(enough.select(F.col("doc_id").alias("id"), F.col("t").alias("u")).distinct(), same, "left_semi").distinct()
+    windows = held.join(begun, same).filter(F.col("s") + F.col("m") <= F.size("h"))
+    windows = windows.select("doc_id", "m", "s", F.slice("h", F.col("s") + 1, F.col("m")).alias("h"))
+    windows = written(windows.withColumn("f", simhash(F.col("h"))), "windows")
 
     flips = radius // BLOCKS
     masks = F.array(*map(F.lit, _neighbours(flips)))

@@ -110,6 +110,17 @@ def mix(
     return sized, cuts
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """All columns of `docs`, whatever they are called, and `copies`: how often the mix takes the row.
+
+    Takes the options of `mix`.
+    """
+    _, cuts = mix(docs, **options)
+    at = place(F.col(options.get("id_col", "doc_id")))
+    bound = options.get("broadcast_sources", BROADCAST_SOURCES)
+    return copies_of(docs, cuts, options.get("source_col", "source"), at, bound).select(*docs.columns, "copies")
+
+
 def copies_of(docs: DataFrame, cuts: DataFrame, source_col: str, at: Column, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """`docs` with source_size, target and copies (how often the mix takes the row)."""
     right = cuts.withColumnRenamed("source", "__source")

@@ -232,7 +232,7 @@ def _open_pairs(state: DataFrame, tested: DataFrame, fits, percent: int) -> Data
     """
     open_keys = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     rest = state.join(open_keys, "key").select("key", "rep", "n", "component")
-    both = tested.select(F.col("a").alias("p"), F.col("b").alias("rep"), "shared", "joined")
+    both = tested.select(F.col("a").alias("p"), F.col("b").alias("rep"), "shared", "joined").dropDuplicates(["p", "rep"])
     near = both.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct(F.col("p"), (F.col("shared") / F.col("joined")).alias("j")))).alias("seen"))
     rest = written(rest.join(near, "rep", "left"), "open")
     x = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("seen").alias("seen_a"))
