@@ -1,7 +1,7 @@
-"""The fixed-contract queries of this subpackage and their DuckDB twins.
+"""The fixed-contract queries of this subpackage.
 
 Every query reads its whole tables, gets its rows through its operator and
-derives the columns its contract names.
+derives the columns its contract names.  Their DuckDB twins are in `oracle`.
 """
 
 from __future__ import annotations
@@ -11,12 +11,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import langid, ranking, secrets
+from .captures import page_captures
+from .common import held_out, table
 from .decontam import find_leaks
 from .linededup import dedup_lines
 from .mixing import mix
 from .neardup import near_duplicates
+from .oracle import oracle_sql  # noqa: F401
 from .quality import judge
+from .revisits import resolve_revisits
+from .urlfilter import judge_urls
+
+#: The rules by host and path, and the hosts to block where no rule fits.
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+BLOCKED_HOSTS = tuple(f"{name}.example.{end}" for name in ("cheap-pills", "spam-farm") for end in ("com", "net", "org"))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.fit(secrets.labelled_findings(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), forest, path_col="source")
+    return found.select("doc_id", "place", F.length("candidate").alias("n_chars"), F.sha2("candidate", 256).alias("sha256"), "score", "is_secret")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +47,25 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = resolve_revisits(page_captures(table(spark, sf_dir, "pages").select("page_id", "url")))
+    names = F.array_sort(F.map_keys("headers"))
+    lines = F.transform(names, lambda k: F.concat(k, F.lit("="), F.element_at("headers", k)))
+    return resolved.select("record_id", "record_type", "url", "response_id", "status", F.array_join(lines, ";").alias("headers"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    model = langid.fit(docs.filter("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "key string, verdict string")
+    listed = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, _ = mix(table(spark, sf_dir, "documents"))
     return sized.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -42,6 +76,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    fitted = ranking.fit(docs.filter("not held_out"), labels)
+    return ranking.score(docs, fitted).select("doc_id", "held_out", "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -49,9 +90,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_minhash_near_dedup, op3_quality_rules, op4_benchmark_decontamination, op8_source_mix, op9_line_dedup, pipeline)
+    found = (
+        op1_secret_scan, op2_minhash_near_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_warc_revisits, op6_language_id,
+        op7_url_filter, op8_source_mix, op9_line_dedup, op10_quality_classifier, pipeline,
+    )
     return {f.__name__: f for f in found}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
