@@ -30,7 +30,8 @@ from .common import pieces, written
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Words without a letter.
+BARE = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,9 @@ RULES = (
     Rule("variety", "2 * n_distinct >= n_words", "4 * n_distinct < n_words"),
     Rule("capitals", "20 * n_capitals <= word_chars", "4 * n_capitals > word_chars"),
     Rule("length", "n_words >= 50", "n_words < 30"),
+    Rule("letters", "20 * n_letters >= 17 * word_chars", "4 * n_letters < 3 * word_chars"),
+    Rule("bare", "50 * n_bare <= n_words", "10 * n_bare > n_words"),
+    Rule("shouts", "50 * n_shouts <= n_words", "4 * n_shouts > n_words"),
 )
 
 
@@ -104,6 +108,9 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             long(F.size("__l")).alias("n_lines"),
             long(F.size(F.array_distinct("__w"))).alias("n_distinct"),
             long(F.regexp_count(text, F.lit("[A-Z]"))).alias("n_capitals"),
+            long(F.regexp_count(text, F.lit(r"\p{L}"))).alias("n_letters"),
+            long(F.regexp_count(text, F.lit(BARE))).alias("n_bare"),
+            long(F.regexp_count(text, F.lit("[!?]"))).alias("n_shouts"),
         ),
     ).drop("__p", "__l", "__w", "__n")
 
