@@ -21,14 +21,20 @@ from tablewarden.llm.neardup import near_duplicates
 from tablewarden.llm.quality import judge
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id and text beside the whole row, so that no column of the documents meets one of an operator's."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base test or that the weighed rules reject go."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    return judge(_packed(docs)).filter("kept").select("__row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 code points or more in three documents or more stay in the largest id only."""
-    return dedup_lines(docs).select(*docs.columns)
+    kept = dedup_lines(_packed(docs))
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

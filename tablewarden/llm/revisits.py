@@ -16,8 +16,8 @@ Payloads are never moved: a resolved row names its response by id.
 Defined results: records with a null url or time, revisits before any response
 and those whose validators disagree stay unresolved, with a `status` that says
 so.  A response at the revisit's own time is not earlier.  Of responses at one
-time the largest id counts.  Header names are compared in lower case; the last
-of equal names wins.  Empty tables give empty results.  Columns other than those
+time the largest id counts.  Header names are compared in lower case; of equal
+names the spelling that sorts last counts.  Empty tables give empty results.  Columns other than those
 named are ignored.
 """
 
@@ -46,12 +46,11 @@ def canonical(url: Column) -> Column:
 
 
 def _lowered(headers: Column) -> Column:
-    """Map with names in lower case; the last of equal names wins."""
-    names = F.transform(F.map_keys(headers), F.lower)
-    values = F.map_values(headers)
-    last = lambda k: F.element_at(F.filter(F.transform(values, lambda v, i: F.when(F.get(names, i) == k, F.struct(v.alias("v")))), lambda s: s.isNotNull()), -1)["v"]
-    distinct = F.array_distinct(names)
-    return F.map_from_arrays(distinct, F.transform(distinct, last))
+    """Map with names in lower case; of equal names the spelling that sorts last counts."""
+    entries = F.array_sort(F.map_entries(headers))
+    last = lambda k: F.get(F.reverse(F.filter(entries, lambda e: F.lower(e["key"]) == k)), F.lit(0))["value"]
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    return F.map_from_arrays(names, F.transform(names, last))
 
 
 def _tag(headers: Column) -> Column:
