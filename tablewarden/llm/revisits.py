@@ -17,8 +17,8 @@ Defined results: records with a null url or time, revisits before any response
 and those whose validators disagree stay unresolved, with a `status` that says
 so.  A response at the revisit's own time is not earlier.  Of responses at one
 time the largest id counts.  Header names are compared in lower case; of equal
-names the spelling that sorts last counts.  Empty tables give empty results.  Columns other than those
-named are ignored.
+names the spelling that sorts last counts.  Empty tables give empty results.
+Columns other than those named are ignored.
 """
 
 from __future__ import annotations
