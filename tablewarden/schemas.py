@@ -28,7 +28,7 @@ def columns(name: str) -> list[str]:
     """Names of a relation's columns, in order."""
     out, depth, word = [], 0, ""
     for ch in SCHEMAS[name] + ",":
-        depth += (ch == "<") - (ch == ">")
+        depth += (ch in "<(") - (ch in ">)")
         if ch == "," and not depth:
             out.append(word.split()[0])
             word = ""
