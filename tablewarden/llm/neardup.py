@@ -14,13 +14,13 @@ Steps, all of them Spark jobs over tables in the shared folder:
    its band keys (Arrow batches in, one small row per document out).
 2. Equal sets collapse to one class, represented by the smallest id, so copies
    never reach the candidate search.
-3. Buckets of equal band keys: a pivot (the class met most often in buckets)
-   is compared with every other class of its bucket; what remains in other
-   components than the pivot gets a pivot of its own in the next round.
-4. Buckets that still hold several components after the pivot rounds are
-   compared pair by pair, without those pairs that sizes or the triangle
-   inequality of the Jaccard distance rule out.  No link that a bucket
-   proposes is lost and no bucket is capped.
+3. Buckets of equal band keys: a pivot, chosen by hash from the bucket's
+   largest component, is compared with the classes in other components.  Other
+   buckets of the same group try other pivots, and after a few rounds nearly
+   all of a group is one component.
+4. What still lies outside the largest component of a bucket meets the rest of
+   that bucket, each pair once.  No link that a bucket proposes is lost and no
+   bucket is capped.
 5. Components by minimum labels with pointer jumping.
 
 Defined results: null or empty texts, and texts without a word, have an empty
@@ -39,7 +39,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -156,7 +156,7 @@ def near_duplicates(
     percent: int = 80,
     bands: int = BANDS,
     rows: int = ROWS,
-    pivot_rounds: int = 2,
+    pivot_rounds: int = 3,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`.
 
@@ -174,48 +174,35 @@ def near_duplicates(
         "members",
     )
     entries = members.filter("bands is not null").select("rep", "n", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key", "size")
+    buckets = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
     active = written(entries.join(buckets, "key"), "buckets")
-    degrees = active.groupBy("rep", "n").agg(F.sum("size").alias("degree"))
-    nodes = written(degrees, "nodes")
+    nodes = written(active.select("rep").distinct(), "nodes")
     sets = written(full_sets(source.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text"), width), "sets")
-
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """(a, b, shared, joined) of candidate pairs, from the full sets."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the candidate pairs (a, b) whose full sets are similar enough."""
         left = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
         right = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
         shared = F.size(F.array_intersect("items_a", "items_b")).cast("long")
-        return (
-            pairs.join(right, "b")
-            .join(left, "a")
-            .select("a", "b", shared.alias("shared"), (F.size("items_a") + F.size("items_b")).cast("long").alias("total"))
-            .select("a", "b", "shared", (F.col("total") - F.col("shared")).alias("joined"))
-        )
-
-    linked = F.col("shared") * 100 >= F.col("joined") * percent
-    links = None
-    state = active.join(nodes.select("rep", "degree"), "rep").select("key", "rep", "n", "degree", F.col("rep").alias("component"))
-    tested = None
-    for _ in range(pivot_rounds):
-        pivots = state.groupBy("key").agg(F.max_by(F.struct("rep", "n", "component"), F.struct("degree", -F.col("rep"))).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "p.*")
-        pivots = pivots.toDF("key", "pivot", "pivot_n", "pivot_component")
-        candidates = state.join(pivots, "key").filter(F.col("component") != F.col("pivot_component"))
-        pairs = candidates.filter(fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        results = written(checked(pairs), "checked")
-        tested = results if tested is None else tested.union(results)
-        links = tested.filter(linked).select("a", "b")
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", shared.alias("shared"), (F.size("items_a") + F.size("items_b")).cast("long").alias("total"))
+        return both.filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b")
+
+    links, state = None, active.withColumn("component", F.col("rep"))
+    for turn in range(pivot_rounds + 1):
+        heads = written(_heads(state, turn), "heads")
+        if not heads.limit(1).count():
+            break
+        if turn < pivot_rounds:
+            pairs = state.join(heads, "key").filter((F.col("component") != F.col("head")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        else:
+            pairs = _open_pairs(state, heads, members, fits)
+        found = written(linked(pairs), "links")
+        links = found if links is None else links.union(found)
         labels = components(links)
-        state = written(
-            active.join(nodes.select("rep", "degree"), "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "degree", F.coalesce("component", "rep").alias("component")),
-            "state",
-        )
-        # the next pivot of a bucket is one outside the largest pivot's component
-        used = state.join(pivots.select("key", "pivot"), "key").filter("rep = pivot").select("key", F.col("component").alias("done"))
-        state = state.join(used.distinct(), "key").withColumn("degree", F.when(F.col("component") == F.col("done"), -1).otherwise(F.col("degree"))).drop("done")
-
-    links = links.union(checked(_open_pairs(state, tested, fits, percent)).filter(linked).select("a", "b"))
+        state = written(active.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "state")
+    if links is None:
+        links = active.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     labels = components(links)
     return (
         members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -224,20 +211,26 @@ def near_duplicates(
     )
 
 
-def _open_pairs(state: DataFrame, tested: DataFrame, fits, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that may still be linked.
+def _heads(state: DataFrame, turn: int) -> DataFrame:
+    """(key, head, pivot, pivot_n) for the buckets with several components: the component with most
+    rows there, and one of its rows, chosen by hash so that buckets with the same rows try different ones."""
+    chance = lambda x: F.xxhash64(F.lit(turn), "key", x)
+    parts = state.groupBy("key", "component").agg(F.count("*").alias("rows"), F.min_by(F.struct("rep", "n"), chance("rep")).alias("p"))
+    found = parts.groupBy("key").agg(F.max_by(F.struct("component", "p"), F.struct("rows", chance("component"))).alias("h"), F.count("*").alias("components"))
+    return found.filter("components > 1").select("key", F.col("h.component").alias("head"), F.col("h.p.rep").alias("pivot"), F.col("h.p.n").alias("pivot_n"))
+
+
+def _open_pairs(state: DataFrame, heads: DataFrame, members: DataFrame, fits) -> DataFrame:
+    """All pairs of one bucket in different components, each in the first bucket that it shares.
 
-    J(p, x) and J(p, y) for one pivot p rule a pair out when they differ by
-    more than 1 - percent/100, for 1 - J is a metric.
+    One of such two rows lies outside the bucket's largest component, and few do
+    after the pivot rounds; they meet the bucket's rows, not all pairs do.
     """
-    open_keys = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = state.join(open_keys, "key").select("key", "rep", "n", "component")
-    both = tested.select(F.col("a").alias("p"), F.col("b").alias("rep"), "shared", "joined").dropDuplicates(["p", "rep"])
-    near = both.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct(F.col("p"), (F.col("shared") / F.col("joined")).alias("j")))).alias("seen"))
-    rest = written(rest.join(near, "rep", "left"), "open")
-    x = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("seen").alias("seen_a"))
-    y = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("seen").alias("seen_b"))
-    slack = 1 - percent / 100 + 1e-9
-    apart = F.exists(F.map_keys("seen_a"), lambda p: F.abs(F.element_at("seen_a", p) - F.element_at("seen_b", p)) > slack)
-    untested = ~F.coalesce(F.array_contains(F.map_keys("seen_a"), F.col("b")), F.lit(False)) & ~F.coalesce(F.array_contains(F.map_keys("seen_b"), F.col("a")), F.lit(False))
-    return x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits(F.col("n_a"), F.col("n_b")) & ~F.coalesce(apart, F.lit(False)) & untested).select("a", "b").distinct()
+    keyed = members.filter("bands is not null").select("rep", "bands")
+    rows = state.join(heads.select("key", "head"), "key").join(keyed, "rep")
+    rows = written(rows.select("key", "rep", "n", "component", "bands", (F.col("component") != F.col("head")).alias("stray")), "open")
+    x = rows.filter("stray").select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("bands").alias("bands_a"))
+    y = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("bands").alias("bands_b"), "stray")
+    once = ~F.col("stray") | (F.col("a") < F.col("b"))
+    first = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("key")
+    return x.join(y, "key").filter((F.col("c_a") != F.col("c_b")) & once & fits(F.col("n_a"), F.col("n_b")) & first).select("a", "b")
