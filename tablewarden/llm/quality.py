@@ -68,11 +68,12 @@ def _then(value: Column, use) -> Column:
 def repeated_words(w: Column, n: Column, window: int = WINDOW) -> Column:
     """Words that lie in a window found twice or more in the same text.
 
-    Windows are compared by 64-bit hashes.  Only texts with some repeat sort
-    their windows; equal neighbours are repeats, and the union of the intervals
-    at the sorted places is the number of words.
+    Windows are compared by 64-bit hashes of their words' hashes.  Only texts
+    with some repeat sort their windows; equal neighbours are repeats, and the
+    union of the intervals at the sorted places is the number of words.
     """
-    hashes = F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
+    by_word = F.transform(w, lambda x: F.xxhash64(x))
+    hashes = _then(by_word, lambda h: F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(h, i, window))))
 
     def covered(places: Column) -> Column:
         steps = F.transform(places, lambda p, k: F.coalesce(F.least(F.lit(window), F.get(places, k + 1) - p), F.lit(window)))
@@ -91,28 +92,24 @@ def repeated_words(w: Column, n: Column, window: int = WINDOW) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the measures, all long, in a struct `m`."""
+    """`docs` with the measures, all long, in a struct `m`.
+
+    Words and lines are bound inside one expression, so that their arrays are
+    never written into rows.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    cut = docs.withColumns({"__p": pieces(text), "__l": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    cut = cut.withColumn("__w", F.array_remove("__p", ""))
-    sized = cut.withColumn("__n", F.size("__w"))
-    long = lambda c: c.cast("long")
-    return sized.withColumn(
-        "m",
-        F.struct(
-            long(F.col("__n")).alias("n_words"),
-            long(F.length(text) - F.size("__p") + 1).alias("word_chars"),
-            long(F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))).alias("n_symbols"),
-            long(F.size("__l") - F.size(F.array_distinct("__l"))).alias("n_dup_lines"),
-            long(repeated_words(F.col("__w"), F.col("__n"))).alias("n_repeat_words"),
-            long(F.size("__l")).alias("n_lines"),
-            long(F.size(F.array_distinct("__w"))).alias("n_distinct"),
-            long(F.regexp_count(text, F.lit("[A-Z]"))).alias("n_capitals"),
-            long(F.regexp_count(text, F.lit(r"\p{L}"))).alias("n_letters"),
-            long(F.regexp_count(text, F.lit(BARE))).alias("n_bare"),
-            long(F.regexp_count(text, F.lit("[!?]"))).alias("n_shouts"),
-        ),
-    ).drop("__p", "__l", "__w", "__n")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+
+    def of(chars: Column, w: Column, found: Column) -> Column:
+        fields = {
+            "n_words": F.size(w), "word_chars": chars, "n_symbols": count(f"[{SYMBOLS}]"), "n_dup_lines": F.size(found) - F.size(F.array_distinct(found)), "n_repeat_words": repeated_words(w, F.size(w)),
+            "n_lines": F.size(found), "n_distinct": F.size(F.array_distinct(w)), "n_capitals": count("[A-Z]"), "n_letters": chars - count(r"[^\p{L}\x20\x09-\x0D]"), "n_bare": count(BARE), "n_shouts": count("[!?]"),
+        }
+        return F.struct(*[value.cast("long").alias(name) for name, value in fields.items()])
+
+    whole = lambda p: _then(F.array_remove(p, ""), lambda w: _then(lines, lambda found: of(F.length(text) - F.size(p) + 1, w, found)))
+    return docs.withColumn("m", _then(pieces(text), whole))
 
 
 def base_failed() -> str:
