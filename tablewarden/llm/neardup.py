@@ -12,7 +12,7 @@ Steps, all of them Spark jobs over tables in the shared folder:
 
 1. `sketch`: per document the set's size, a 128-bit fingerprint of the set and
    its band keys (Arrow batches in, one small row per document out).
-2. Equal sets collapse to one class, represented by the smallest id, so copies
+2. Equal sets are one class, represented by the smallest id, so copies
    never reach the candidate search.
 3. Buckets of equal band keys: a pivot, chosen by hash from the bucket's
    largest component, is compared with the classes in other components.  Other
@@ -21,14 +21,15 @@ Steps, all of them Spark jobs over tables in the shared folder:
 4. What still lies outside the largest component of a bucket meets the rest of
    that bucket, each pair once.  No link that a bucket proposes is lost and no
    bucket is capped.
-5. Components by minimum labels with pointer jumping.
+5. Each round's links join components, not documents, and the components of
+   that small graph follow by minimum labels with pointer jumping.
 
 Defined results: null or empty texts, and texts without a word, have an empty
 set (n_shingles 0) and are linked with nothing.  Fewer words than a shingle
-give one shingle, the whole sequence.  Rows with one id are one document: they
-share a component if any of their texts does.  A null id is kept alone unless
-its text equals another document's.  An empty table gives an empty result.
-Columns other than the id and the text are ignored.
+give one shingle, the whole sequence.  Rows that share an id link through any of
+their texts, and each row reports the component of its own text.  A null id is
+kept alone unless its text equals another document's.  An empty table gives an
+empty result.  Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -128,13 +129,21 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, items array<long>")
 
 
+def starred(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the same components: each b to its smallest a, and its other a to that one."""
+    near = links.groupBy("b").agg(F.min("a").alias("m"))
+    rest = links.join(near, "b").filter(F.col("a") != F.col("m")).select("a", F.col("m").alias("b")).distinct()
+    return near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of the undirected `links` (a, b).
 
     Labels fall to the smallest neighbour's label and then jump to that
     label's own label, so chains halve with each round.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    few = starred(links)
+    both = written(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
@@ -166,10 +175,11 @@ def near_duplicates(
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = written(sketch(source, width, bands, rows), "sketch")
-    classes = sketched.filter("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
+    # only texts that occur again; from a table of its own, so that adaptive execution can split a hot fingerprint in the join
+    classes = written(sketched.filter("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "classes")
     members = written(
         sketched.join(classes, ["fp1", "fp2"], "left").select(
-            "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")
+            "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when((F.col("n") > 0) & (F.col("doc_id") == F.coalesce("rep", "doc_id")), F.col("bands")).alias("bands")
         ),
         "members",
     )
@@ -181,29 +191,27 @@ def near_duplicates(
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the candidate pairs (a, b) whose full sets are similar enough."""
+        """Components (a, b) of those candidate pairs whose full sets are similar enough."""
         left = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
         right = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
         shared = F.size(F.array_intersect("items_a", "items_b")).cast("long")
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", shared.alias("shared"), (F.size("items_a") + F.size("items_b")).cast("long").alias("total"))
-        return both.filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b")
+        both = pairs.join(right, "b").join(left, "a").select("c_a", "c_b", shared.alias("shared"), (F.size("items_a") + F.size("items_b")).cast("long").alias("total"))
+        return both.filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
 
-    links, state = None, active.withColumn("component", F.col("rep"))
+    state = active.withColumn("component", F.col("rep"))
     for turn in range(pivot_rounds + 1):
         heads = written(_heads(state, turn), "heads")
         if not heads.limit(1).count():
             break
         if turn < pivot_rounds:
-            pairs = state.join(heads, "key").filter((F.col("component") != F.col("head")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+            others = state.join(heads, "key").filter((F.col("component") != F.col("head")) & fits(F.col("n"), F.col("pivot_n")))
+            pairs = others.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("head").alias("c_a"), F.col("component").alias("c_b")).distinct()
         else:
             pairs = _open_pairs(state, heads, members, fits)
-        found = written(linked(pairs), "links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        state = written(active.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "state")
-    if links is None:
-        links = active.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    labels = components(links)
+        merged = components(written(linked(pairs), "links")).withColumnRenamed("component", "merged")
+        now = state.join(merged, state.component == merged.node, "left")
+        state = written(now.select("key", "rep", "n", F.coalesce("merged", "component").alias("component")), "state")
+    labels = state.select(F.col("rep").alias("node"), "component").distinct()
     return (
         members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
@@ -233,4 +241,4 @@ def _open_pairs(state: DataFrame, heads: DataFrame, members: DataFrame, fits) ->
     y = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("bands").alias("bands_b"), "stray")
     once = ~F.col("stray") | (F.col("a") < F.col("b"))
     first = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("key")
-    return x.join(y, "key").filter((F.col("c_a") != F.col("c_b")) & once & fits(F.col("n_a"), F.col("n_b")) & first).select("a", "b")
+    return x.join(y, "key").filter((F.col("c_a") != F.col("c_b")) & once & fits(F.col("n_a"), F.col("n_b")) & first).select("a", "b", "c_a", "c_b")
