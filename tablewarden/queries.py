@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,7 +188,8 @@ def p23_json_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.findings(fixtures.evidence(spark, sf_dir, *sorted({n for names_ in RULES.values() for n in names_})))
+    whole = fixtures.evidence(spark, sf_dir, *sorted({n for names_ in RULES.values() for n in names_}))
+    return rules.findings(replace(whole, usages=whole.usages.persist()))
 
 
 def _catalog_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
