@@ -58,22 +58,42 @@ class Model:
                 return self.gram_scores[n][known].mean(axis=0)
         return np.zeros(len(self.languages))
 
-    def predict(self, text: str | None, cache: dict[str, np.ndarray] | None = None) -> tuple[str, float]:
+
+class Scorer:
+    """A model with a bounded table of the scores of words met so far; one for each task."""
+
+    def __init__(self, model: Model, room: int = CACHE):
+        self.model = model
+        self.at = dict(model.words)
+        self.limit = len(self.at) + room
+        self.table = np.vstack([model.word_scores.reshape(len(self.at), -1), np.zeros((room, len(model.languages)))]) if model.languages else np.zeros((0, 0))
+
+    def _row(self, word: str) -> np.ndarray | int:
+        """The row of a new word in the table, or its scores where the table is full."""
+        found = self.model.of_word(word)
+        if len(self.at) >= self.limit:
+            return found
+        row = self.at[word] = len(self.at)
+        self.table[row] = found
+        return row
+
+    def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(LETTERS.findall((text or "").lower()))
-        if not words or not self.languages:
+        if not words or not self.model.languages:
             return UNDETERMINED, 0.0
-        cache = {} if cache is None else cache
-        total = np.zeros(len(self.languages))
-        for word, n in words.items():
-            found = cache.get(word)
-            if found is None:
-                found = self.of_word(word)
-                if len(cache) < CACHE:
-                    cache[word] = found
-            total += n * found
+        rows, extra = list(map(self.at.get, words)), 0.0
+        counts = np.fromiter(words.values(), float, len(words))
+        if None in rows:
+            for i, word in enumerate(words):
+                if rows[i] is None:
+                    rows[i] = found = self._row(word)
+                    if not isinstance(found, int):
+                        extra = extra + counts[i] * found
+                        rows[i], counts[i] = 0, 0.0
+        total = counts @ self.table[rows] + extra
         odds = np.exp(total - total.max())
         best = int(np.argmax(odds))
-        return self.languages[best], float(odds[best] / odds.sum())
+        return self.model.languages[best], float(odds[best] / odds.sum())
 
 
 def _letter_words(text: Column) -> Column:
@@ -124,9 +144,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
 
     @F.pandas_udf("lang string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, np.ndarray] = {}
+        scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.DataFrame([shared.value.predict(t, cache) for t in texts], columns=["lang", "score"])
+            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang", "score"])
 
     found = docs.withColumn("__lang", run(F.col(text_col).cast("string")))
     return found.withColumns({"lang_pred": F.col("__lang.lang"), "score": F.col("__lang.score")}).drop("__lang")
