@@ -18,9 +18,10 @@ Steps, all of them Spark jobs over tables in the shared folder:
    largest component, is compared with the classes in other components.  Other
    buckets of the same group try other pivots, and after a few rounds nearly
    all of a group is one component.
-4. What still lies outside the largest component of a bucket meets the rest of
-   that bucket, each pair once.  No link that a bucket proposes is lost and no
-   bucket is capped.
+4. What still lies outside the largest component of a bucket meets those classes
+   that share a rare shingle with it, and the rest of the bucket only where the
+   shingles that are not rare could reach the similarity.  No link that a bucket
+   proposes is lost and no bucket is capped.
 5. Each round's links join components, not documents, and the components of
    that small graph follow by minimum labels with pointer jumping.
 
@@ -50,6 +51,8 @@ BANDS, ROWS = 32, 5
 SEED = 20_250_101
 #: Rows of the permutation table gathered at once, so that a very long text needs little memory.
 CHUNK = 1 << 14
+#: A shingle that at most so many of the classes still open hold proposes all their pairs.
+RARE = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -207,7 +210,7 @@ def near_duplicates(
             others = state.join(heads, "key").filter((F.col("component") != F.col("head")) & fits(F.col("n"), F.col("pivot_n")))
             pairs = others.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("head").alias("c_a"), F.col("component").alias("c_b")).distinct()
         else:
-            pairs = _open_pairs(state, heads, members, fits)
+            pairs = _open_pairs(state, heads, members, sets, percent, fits)
         merged = components(written(linked(pairs), "links")).withColumnRenamed("component", "merged")
         now = state.join(merged, state.component == merged.node, "left")
         state = written(now.select("key", "rep", "n", F.coalesce("merged", "component").alias("component")), "state")
@@ -228,17 +231,35 @@ def _heads(state: DataFrame, turn: int) -> DataFrame:
     return found.filter("components > 1").select("key", F.col("h.component").alias("head"), F.col("h.p.rep").alias("pivot"), F.col("h.p.n").alias("pivot_n"))
 
 
-def _open_pairs(state: DataFrame, heads: DataFrame, members: DataFrame, fits) -> DataFrame:
-    """All pairs of one bucket in different components, each in the first bucket that it shares.
+def _open_pairs(state: DataFrame, heads: DataFrame, members: DataFrame, sets: DataFrame, percent: int, fits) -> DataFrame:
+    """All pairs in different components of one bucket that may be linked: (a, b, c_a, c_b).
 
-    One of such two rows lies outside the bucket's largest component, and few do
-    after the pivot rounds; they meet the bucket's rows, not all pairs do.
+    A pair either shares a shingle that few of the open classes hold, and is
+    found by it, or shares common shingles only.  Then the similarity is bounded
+    by how many of those either one has, and of two such rows in one bucket one
+    lies outside the bucket's largest component.  So the bound leaves few pairs,
+    and they come once each, in the first bucket that they share.
     """
+    still = written(state.join(heads.select("key", "head"), "key"), "still")
+    own = sets.join(still.select("rep").distinct(), "rep", "left_semi")
+    items = written(own.select("rep", F.explode("items").alias("item")), "items")
+    rare = written(items.groupBy("item").agg(F.count("*").alias("held")).filter(F.col("held") <= RARE), "rare")
+    scarce = written(items.join(rare, "item"), "scarce")
+    component = still.select("rep", "component").distinct()
+    met = scarce.filter("held > 1").groupBy("item").agg(F.array_sort(F.collect_set("rep")).alias("reps"))  # at most RARE
+    two = met.select(F.explode(F.flatten(F.transform("reps", lambda a: F.transform(F.filter("reps", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.*").distinct()
+    named = two.join(component.toDF("a", "c_a"), "a").join(component.toDF("b", "c_b"), "b").filter("c_a <> c_b").select("a", "b", "c_a", "c_b")
+
+    # an id with several texts has no bound
+    single = own.groupBy("rep").agg(F.count("*").alias("texts")).filter("texts = 1")
+    bound = scarce.groupBy("rep").agg(F.count("*").alias("scarce")).join(single, "rep").select("rep", "scarce")
     keyed = members.filter("bands is not null").select("rep", "bands")
-    rows = state.join(heads.select("key", "head"), "key").join(keyed, "rep")
-    rows = written(rows.select("key", "rep", "n", "component", "bands", (F.col("component") != F.col("head")).alias("stray")), "open")
-    x = rows.filter("stray").select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.col("bands").alias("bands_a"))
-    y = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("bands").alias("bands_b"), "stray")
-    once = ~F.col("stray") | (F.col("a") < F.col("b"))
+    rows = still.join(bound, "rep", "left").join(keyed, "rep")
+    rows = written(rows.select("key", "rep", "n", "component", "bands", (F.col("n") - F.coalesce("scarce", F.lit(0))).alias("common"), (F.col("component") != F.col("head")).alias("stray")), "open")
+    side = lambda x: rows.select("key", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "common", "bands", "stray")], F.col("component").alias(f"c_{x}"))
+    once = ~F.col("stray_b") | (F.col("a") < F.col("b"))
+    enough = F.least("common_a", "common_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     first = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("key")
-    return x.join(y, "key").filter((F.col("c_a") != F.col("c_b")) & once & fits(F.col("n_a"), F.col("n_b")) & first).select("a", "b", "c_a", "c_b")
+    x = side("a").filter("stray_a").filter(F.col("common_a") * (100 + percent) >= (F.col("n_a") + F.ceil(F.col("n_a") * percent / 100)) * percent)
+    plain = x.join(side("b"), "key").filter((F.col("c_a") != F.col("c_b")) & once & fits(F.col("n_a"), F.col("n_b")) & enough & first).select("a", "b", "c_a", "c_b")
+    return named.union(plain)
