@@ -1,6 +1,7 @@
 """Secret scan with a random forest against false positives, in built-in expressions.
 
-Candidates are runs of 16 or more characters of key alphabets with a digit.  A
+Candidates are runs of 16 or more characters of key alphabets with a digit, also
+right after a sign =, so NAME=value and ?name=value are seen without quotes.  A
 forest judges each by its length, its character transitions, how much of it
 dictionary words cover, its path and its neighbouring words.  The forest is
 trained from labelled findings, a table of (candidate, before, after, path,
@@ -27,7 +28,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+#: A sign = before a key character assigns; elsewhere up to two of them pad.
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}+(?![A-Za-z0-9+/_\-]))?"
 #: Characters of context on either side.
 CONTEXT = 60
 FIT_ROWS, TREES, DEPTH, SEED = 50_000, 40, 8, 20_250_101
@@ -57,9 +59,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), text.alias("text")).filter(F.col("text").rlike(CANDIDATE))
     cut = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("text", CANDIDATE).alias("gaps"))
+    # a name can be a candidate itself, as in my_password_2=..., and is still its value's context
+    lead = lambda i: F.when(F.get("gaps", i).rlike(r"^[\s:=>\"'`]+$"), F.get("c", i - 1)).otherwise(F.lit(""))
     found = cut.select(
         "doc_id", "path",
-        F.posexplode(F.transform("c", lambda c, i: F.struct(c.alias("candidate"), F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after")))).alias("place", "f"),
+        F.posexplode(F.transform("c", lambda c, i: F.struct(c.alias("candidate"), F.right(F.concat(F.coalesce(lead(i), F.lit("")), F.get("gaps", i)), F.lit(CONTEXT)).alias("before"), F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after")))).alias("place", "f"),
     )
     return found.select("doc_id", "place", "f.*", "path")
 
