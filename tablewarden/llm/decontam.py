@@ -5,7 +5,8 @@ one shingle) every window of m shingles of every document is a candidate.  A
 window can only reach the similarity if it shares a shingle with the item, so
 documents without any benchmark shingle leave after one scan, without a
 shuffle, by a bit table of fixed size; in the others all windows over a shared shingle of an
-item of that length are taken.
+item of that length are taken.  A document of fewer than m shingles is one window
+as a whole.
 
 * SimHash: 64 counters, one for each bit, as four 16-bit lanes in each of 16
   longs; a document's prefix sums give each window's counters by subtraction.
@@ -18,6 +19,10 @@ item of that length are taken.
 * The exact weighted Jaccard similarity of the shingles, sum of the smaller
   weights over sum of the larger ones, must reach `percent`.
 
+* Documents shorter than an item meet it by shared shingles instead of SimHash,
+  whose odds are worse for few shingles of unequal number: of its shingles in the
+  benchmark so many, the rarest first, that no item at the similarity lacks all.
+
 Scale: no text is shuffled but those of the documents that share a shingle with
 the benchmark, which are read a second time for their windows.  The bit table has a fixed size; item
 tables are broadcast only up to `broadcast_rows` rows, else joined by shuffle.
@@ -147,37 +152,45 @@ def find_leaks(
 def _of_width(texts: DataFrame, items: DataFrame, width: int, percent: int, radius: int, broadcast_rows: int) -> DataFrame:
     items = items.select("item_id", shingles(F.col("w"), width).alias("ih")).withColumn("m", F.size("ih"))
     items = written(items.withColumn("g", simhash(F.col("ih"))), "items")
-    hashes = written(items.select(F.explode("ih").alias("h"), "m").distinct(), "hashes")
-    n = hashes.count()
+    hashes = written(items.select(F.explode(F.array_distinct("ih")).alias("h"), "m").groupBy("h", "m").agg(F.count("*").alias("k")), "hashes")
+    n, owned = hashes.agg(F.count("*"), F.coalesce(F.sum("k"), F.lit(0))).first()
     small = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
     bits = min(26, max(TABLE_BITS, (64 * n).bit_length()))
     table = _bit_table(hashes.select("h"), bits)
 
     hashed = texts.select("doc_id", "t", shingles(F.col("w"), width).alias("h"))
-    hits = hashed.select("doc_id", "t", F.posexplode("h").alias("p", "h")).filter(_in_table(F.col("h"), table, bits))
-    places = hits.join(small(hashes, n), "h").groupBy("doc_id", "t", "m").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    hits = hashed.select("doc_id", "t", F.size("h").alias("n"), F.posexplode("h").alias("p", "h")).filter(_in_table(F.col("h"), table, bits))
+    places = hits.join(small(hashes, n), "h").groupBy("doc_id", "t", "n", "m")
+    short = F.col("n") < F.col("m")
+    places = places.agg(F.array_sort(F.collect_set("p")).alias("ps"), F.array_sort(F.collect_set(F.when(short, F.struct("k", "h")))).alias("hs"))
     # a window at the similarity shares at least `need` shingles with the item, so it holds `need` of these places
-    need = F.ceil(F.col("m") * (2 * percent) / (100 + percent)).cast("int")
+    need = F.ceil((F.col("m") + F.least("n", "m")) * percent / (100 + percent)).cast("int")
     last = lambda i: F.get("ps", i + F.col("need") - 1)
     runs = F.filter(F.sequence(F.lit(0), F.size("ps") - F.col("need")), lambda i: last(i) - F.get("ps", i) < F.col("m"))
     starts = F.flatten(F.transform(runs, lambda i: F.sequence(F.greatest(last(i) - F.col("m") + 1, F.lit(0)), F.get("ps", i))))
     enough = written(places.withColumn("need", need).filter(F.size("ps") >= F.col("need")), "places")
-    begun = enough.select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "m", F.explode(F.array_distinct(starts)).alias("s"))
+    starts = F.when(short, F.array(F.lit(0))).otherwise(F.array_distinct(starts))
+    # at most size(ps) - need of these places are not this item's, so one of any size(ps) - need + 1 is
+    keys = F.when(short, F.slice("hs", 1, F.size("ps") - F.col("need") + 1)["h"])
+    begun = enough.select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "m", keys.alias("keys"), F.explode(starts).alias("s"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("u"))
     held = hashed.join(enough.select(F.col("doc_id").alias("id"), F.col("t").alias("u")).distinct(), same, "left_semi").distinct()
-    windows = held.join(begun, same).filter(F.col("s") + F.col("m") <= F.size("h"))
-    windows = windows.select("doc_id", "m", "s", F.slice("h", F.col("s") + 1, F.col("m")).alias("h"))
+    windows = held.join(begun, same).filter(F.col("s") + F.least("m", F.size("h")) <= F.size("h"))
+    windows = windows.select("doc_id", "m", "s", "keys", F.slice("h", F.col("s") + 1, F.col("m")).alias("h"))
     windows = written(windows.withColumn("f", simhash(F.col("h"))), "windows")
 
     flips = radius // BLOCKS
     masks = F.array(*map(F.lit, _neighbours(flips)))
     entries = items.select("item_id", "ih", "g", F.col("m").alias("im"), F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("g"), b).alias("v")) for b in range(BLOCKS)])).alias("e"))
     entries = entries.select("item_id", "ih", "g", "im", F.col("e.b").alias("eb"), F.explode(F.transform(masks, lambda x: F.col("e.v").bitwiseXOR(x))).alias("ev"))
-    probes = windows.withColumn("q", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("f"), b).alias("v")) for b in range(BLOCKS)])))
+    probes = windows.filter("keys is null").withColumn("q", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("f"), b).alias("v")) for b in range(BLOCKS)])))
     close = lambda b: F.bit_count(_block(F.col("f").bitwiseXOR(F.col("g")), b)) <= flips
     first = F.coalesce(*[F.when(close(b), F.lit(b)) for b in range(BLOCKS)])
     met = probes.join(small(entries, items.count() * BLOCKS * len(_neighbours(flips))), (F.col("m") == F.col("im")) & (F.col("q.b") == F.col("eb")) & (F.col("q.v") == F.col("ev")))
     met = met.filter((F.col("eb") == first) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius))
+    owners = items.select("item_id", "ih", F.col("m").alias("im"), F.explode(F.array_distinct("ih")).alias("x"))
+    whole = windows.filter("keys is not null").withColumn("key", F.explode("keys")).join(small(owners, owned), (F.col("m") == F.col("im")) & (F.col("key") == F.col("x")))
+    met = met.select("doc_id", "item_id", "s", "h", "ih").union(whole.select("doc_id", "item_id", "s", "h", "ih"))
     shared, joined = weighted_similarity(F.col("h"), F.col("ih"))
-    sized = met.select("doc_id", "item_id", F.col("s").alias("start_word"), (F.col("m") + width - 1).alias("n_words"), shared.alias("shared"), joined.alias("joined"))
+    sized = met.select("doc_id", "item_id", F.col("s").alias("start_word"), (F.size("h") + width - 1).alias("n_words"), shared.alias("shared"), joined.alias("joined"))
     return sized.filter(F.col("shared") * 100 >= F.col("joined") * percent)
