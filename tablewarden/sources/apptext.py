@@ -19,8 +19,17 @@ from ..schemas import columns
 
 #: The folders whose files are read.
 FOLDERS = ("app/controllers", "app/jobs", "app/models", "app/queries", "app/services", "lib")
-CHAIN = r"(?s)(?<![\w:.\"'])((?:[A-Z]\w*::)*[A-Z]\w*)((?:\s*&?\.\s*[a-z_]\w*[?!]?(?:\((?:[^()\"']|\"[^\"]*\"|'[^']*'|\((?:[^()\"']|\"[^\"]*\"|'[^']*')*\))*\))?)+)"
-CALL = r"(?s)\.\s*(where|order|reorder)\(((?:[^()\"']|\"[^\"]*\"|'[^']*'|\((?:[^()\"']|\"[^\"]*\"|'[^']*')*\))*)\)"
+_PLAIN = r"[^()\"']++|\"[^\"]*\"|'[^']*'"
+#: Arguments with brackets in them, down to the sixth level.
+ARGS = rf"(?:{_PLAIN})*+"
+for _ in range(6):
+    ARGS = rf"(?:{_PLAIN}|\({ARGS}\))*+"
+CHAIN = rf"(?s)(?<![\w:.\"'])((?:[A-Z]\w*::)*[A-Z]\w*)((?:\s*&?\.\s*[a-z_]\w*[?!]?(?:\({ARGS}\))?)+)"
+CALL = rf"(?s)\.\s*(where|order|reorder)\(({ARGS})\)"
+#: Calls whose arguments have no brackets: a symbol, keyword or string and what follows it in the statement.
+UNBRACKETED = rf"(?<![\w:@$\"'])(where|order|reorder)[ \t]+(?=:\w|\w+:[^:]|[\"'])((?:(?!\s+(?:if|unless|do|and|or|then)\b)(?:,\s*\n\s*|[^()\"'\n;{{}}\[\]]|\"[^\"\n]*\"|'[^'\n]*'|\[[^\]\n]*\]|\({ARGS}\)))+)"
+#: Calls without a receiver, and the constant that stands for a model's own file.
+BARE, OWN = r"(?<![\w:@$\"'])(?<!\.\s{0,99})(?<!def )(?=(?:where|order|reorder)\()", "Implicit__Self"
 KEYWORD = r"(?:^|[,{(\s])(\w+):(?!:)"
 SYMBOL = r"(?<![\w:]):(\w+)"
 QUOTED = r"\"([^\"]*)\"|'([^']*)'"
@@ -54,16 +63,21 @@ def _unquoted(args: Column) -> Column:
 def source_usages(files: DataFrame, models: DataFrame, catalog: DataFrame) -> DataFrame:
     """The usage relation of (path, text) files.
 
-    `models` gives a constant's table and `catalog` (table_name, column_name) the
+    `models` gives a constant's table, by source_location (where it has that column) the
+    table of calls without a receiver in that file, and `catalog` (table_name, column_name) the
     columns that count.  An outer call comes before those it is called on; files
     come in order of their paths.
     """
     known = catalog.groupBy("table_name").agg(F.collect_set("column_name").alias("known"))
     tables = models.groupBy(F.col("model").alias("constant")).agg(F.min_by("table_name", "seq").alias("table_name")).join(known, "table_name")
-    text = without_comments(F.col("text"))
+    if "source_location" in models.columns:
+        own = models.filter("source_location is not null").groupBy(F.concat(F.lit("file "), "source_location").alias("constant")).agg(F.max_by("table_name", "seq").alias("table_name"))
+        tables = tables.unionByName(own.join(known, "table_name").select(*tables.columns))
+    text = F.regexp_replace(F.regexp_replace(without_comments(F.col("text")), UNBRACKETED, "$1($2)"), BARE, f"{OWN}.")
     chains = files.select("path", text.alias("text")).select("path", "text", F.posexplode(F.arrays_zip(_groups("text", CHAIN, 1).alias("constant"), _groups("text", CHAIN, 2).alias("calls"))).alias("chain_no", "c"))
-    rows = chains.select("path", "text", "chain_no", "c.constant", "c.calls").join(tables, "constant")
-    line = F.size(F.split(F.call_function("substring_index", F.col("text"), F.col("calls"), F.lit(1)), "\n"))
+    rows = chains.select("path", "text", "chain_no", "c.constant", "c.calls", F.when(F.col("c.constant") == OWN, F.concat(F.lit("file "), "path")).otherwise(F.col("c.constant")).alias("key"))
+    rows = rows.join(tables.withColumnRenamed("constant", "key"), "key")
+    line = F.size(F.split(F.call_function("substring_index", F.col("text"), F.concat("constant", "calls"), F.lit(1)), "\n"))
     calls = F.reverse(F.arrays_zip(_groups("calls", CALL, 1).alias("name"), _groups("calls", CALL, 2).alias("args")))
     met = rows.select("path", line.alias("line"), "chain_no", "constant", "table_name", "known", "calls", F.posexplode(calls).alias("call_no", "k"))
     args, name = F.col("k.args"), F.col("k.name")
@@ -80,7 +94,7 @@ def source_usages(files: DataFrame, models: DataFrame, catalog: DataFrame) -> Da
     out = met.select("path", "line", "chain_no", "call_no", "table_name", "constant", "calls", F.posexplode(F.coalesce(found, empty)).alias("pos", "u"))
     made = {
         "seq": F.col("chain_no").cast("bigint") * 1_000_000 + F.col("call_no") * 1_000 + F.col("pos"), "operation": F.col("u.operation"), "column_name": F.col("u.column_name"), "where_columns": F.col("u.where_columns"),
-        "source": F.regexp_replace(F.concat("constant", "calls"), r"\s+", " "), "origin": F.lit("source"), "count": F.lit(1).cast("bigint"), "total_duration_ms": F.lit(None).cast("double"), "plan_rows": F.lit(None).cast("bigint"),
+        "source": F.regexp_replace(F.replace(F.concat("constant", "calls"), F.lit(f"{OWN}."), F.lit("")), r"\s+", " "), "origin": F.lit("source"), "count": F.lit(1).cast("bigint"), "total_duration_ms": F.lit(None).cast("double"), "plan_rows": F.lit(None).cast("bigint"),
     }
     # one number for each source file, of which an application has thousands at most
     ranks = files.select("path").distinct().select("path", F.row_number().over(Window.orderBy("path")).alias("file_no"))
