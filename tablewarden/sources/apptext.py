@@ -107,10 +107,13 @@ def _groups(col: str, pattern: str, group: int) -> Column:
 
 
 #: Statements of migrations that add a reference.
-ADD_REFERENCE = r"(?m)^[ \t]*(?:add_reference|add_belongs_to)[\s(]+:(\w+)\s*,\s*:(\w+)([^\n]*)"
-ADD_COLUMN = r"(?m)^[ \t]*add_column[\s(]+:(\w+)\s*,\s*:(\w+_id)\b([^\n]*)"
-CREATE_TABLE = r"(?ms)^[ \t]*create_table[\s(]+:(\w+)[^\n]*?\bdo\s*\|(\w+)\|(.*?)^[ \t]*end\b"
-BUILDER = r"(?m)^[ \t]*(\w+)\.(?:references|belongs_to)[\s(]+:(\w+)([^\n]*)"
+_NAME = r"(?::?[\"']|:)({})\b[\"']?"
+_TABLE, _COLUMN = _NAME.format(r"[\w.]+"), _NAME.format(r"\w+")
+ADD_REFERENCE = rf"(?m)^[ \t]*(?:add_reference|add_belongs_to)[\s(]+{_TABLE}\s*,\s*{_COLUMN}([^\n]*)"
+ADD_COLUMN = rf"(?m)^[ \t]*add_column[\s(]+{_TABLE}\s*,\s*{_NAME.format(r'\w+_id')}([^\n]*)"
+#: A block ends at the end with its own indentation.
+CREATE_TABLE = rf"(?ms)^([ \t]*)create_table[\s(]+{_TABLE}[^\n]*?\bdo\s*\|(\w+)\|(.*?)^\1end\b"
+BUILDER = rf"(?m)^[ \t]*(\w+)\.(?:references|belongs_to)[\s(]+{_COLUMN}([^\n]*)"
 COVERED = r"foreign_key:\s*(true|\{)|polymorphic:\s*true"
 
 
@@ -124,7 +127,7 @@ def migration_changes(files: DataFrame) -> DataFrame:
         rows = text.select("path", "text", F.explode(zipped).alias("x"))
         return rows.select("path", line(F.trim(F.col("x.m"))).alias("line"), F.col("x.t").alias("table_name"), F.concat(F.col("x.c"), F.lit(suffix)).alias("column_name"), F.col("x.rest").alias("rest"), F.trim("x.m").alias("source"))
 
-    blocks = F.arrays_zip(_groups("text", CREATE_TABLE, 1).alias("t"), _groups("text", CREATE_TABLE, 2).alias("v"), _groups("text", CREATE_TABLE, 3).alias("body"))
+    blocks = F.arrays_zip(_groups("text", CREATE_TABLE, 2).alias("t"), _groups("text", CREATE_TABLE, 3).alias("v"), _groups("text", CREATE_TABLE, 4).alias("body"))
     inside = text.select("path", "text", F.explode(blocks).alias("b")).select("path", "text", "b.t", "b.v", "b.body")
     built = F.arrays_zip(_groups("body", BUILDER, 0).alias("m"), _groups("body", BUILDER, 1).alias("v"), _groups("body", BUILDER, 2).alias("c"), _groups("body", BUILDER, 3).alias("rest"))
     rows = inside.select("path", "text", "t", "v", F.explode(built).alias("x")).filter(F.col("v") == F.col("x.v"))
