@@ -17,6 +17,7 @@ from .functions.sqltext import explainable
 from .operators.usages import all_usages
 from .plans.explain import annotated
 from .report import Report, suppressed
+from .workspace import saved
 
 
 def usages_of(evidence: Evidence, config: Config, runtime: DataFrame | None = None, plans: DataFrame | None = None) -> DataFrame:
@@ -39,5 +40,5 @@ def audit(evidence: Evidence, options: Mapping[str, Any] | None = None, *, runti
     """Run all rules over `evidence` and return the report, without suppressed findings."""
     config = resolve(options, config_path, root)
     # counts by table and column, small next to the log; four rules read them
-    whole = replace(evidence, usages=usages_of(evidence, config, runtime, plans).persist())
+    whole = replace(evidence, usages=saved(usages_of(evidence, config, runtime, plans), "usages"))
     return Report(suppressed(rules.findings(whole, config), config.ignored_findings))

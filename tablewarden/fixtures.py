@@ -161,13 +161,15 @@ def _close(text: str, views: tuple[str, ...]) -> str:
 
 
 def usages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source usages, then those of the query log with their plans."""
+    """Source usages, then those of the query log with their plans; counted once, for all that read them."""
     from pyspark.sql import functions as F
 
     from .operators.usages import all_usages
     from .schemas import columns
+    from .workspace import saved
 
-    runtime = annotated(runtime_usages(relation(spark, sf_dir, "query_log")), relation(spark, sf_dir, "plans"))
+    counted = saved(runtime_usages(relation(spark, sf_dir, "query_log")), "usages")
+    runtime = saved(annotated(counted, relation(spark, sf_dir, "plans")), "usages")
     given = relation(spark, sf_dir, "source_usages").withColumns({"origin": F.lit("source"), "count": F.lit(1).cast("bigint"), "where_columns": F.array().cast("array<string>")})
     target = {f.name: f.dataType for f in empty(spark, "usages").schema}
     source = given.select(*[(F.col(c) if c in given.columns else F.lit(None)).cast(target[c]).alias(c) for c in columns("usages")])

@@ -33,9 +33,12 @@ def first(found: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, *names: str) -> Column:
-    """Array of structs, one for each match, with the groups by name; '' where a group is absent."""
-    groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)).alias(name) for i, name in enumerate(names)]
-    return F.transform(F.arrays_zip(*groups), lambda m: F.struct(*[m[name].alias(name) for name in names]))
+    """Array of structs, one for each match, with the groups by name; '' where a group is absent.
+
+    The text is searched once; the groups are cut out of the short matches.
+    """
+    cut = lambda m: F.struct(*[F.regexp_extract(m, pattern, i + 1).alias(name) for i, name in enumerate(names)])
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut)
 
 
 def qualified(schema: Column, name: Column) -> Column:
@@ -89,10 +92,13 @@ def pair(row: Column) -> Column:
 
 def json_refs(fragment: Column, tables: Column) -> Column:
     """Distinct (table_name, column_name) under a JSON operator; without a qualifier only if the statement has one table."""
-    of = lambda operator: F.transform(_resolved(matches(fragment, QUALIFIED + operator, "s", "q", "c"), tables), pair)
+    none = F.array().cast("array<struct<table_name:string,column_name:string>>")
+    with_operator = lambda sign, found: F.when(F.contains(fragment, F.lit(sign)), found)
+    of = lambda sign, operator: F.coalesce(with_operator(sign, F.transform(_resolved(matches(fragment, QUALIFIED + operator, "s", "q", "c"), tables), pair)), none)
     bare = F.array_distinct(F.concat(*[F.regexp_extract_all(fragment, F.lit(_NAME + operator), F.lit(1)) for operator in (EXTRACTION, CONTAINMENT)]))
-    alone = let(distinct_tables(tables), lambda d: F.when(F.size(d) == 1, F.transform(bare, lambda c: F.struct(first(d).alias("table_name"), c.alias("column_name")))).otherwise(F.array().cast("array<struct<table_name:string,column_name:string>>")))
-    return F.array_distinct(F.concat(of(EXTRACTION), of(CONTAINMENT), alone))
+    alone = let(distinct_tables(tables), lambda d: F.when(F.size(d) == 1, F.transform(bare, lambda c: F.struct(first(d).alias("table_name"), c.alias("column_name")))).otherwise(none))
+    some = F.contains(fragment, F.lit("->")) | F.contains(fragment, F.lit("@>"))
+    return F.when(some, F.array_distinct(F.concat(of("->", EXTRACTION), of("@>", CONTAINMENT), alone))).otherwise(none)
 
 
 def statement_usages(sql: Column) -> Column:
@@ -113,13 +119,14 @@ def statement_usages(sql: Column) -> Column:
         where = lambda use: let(where_fragment(sql), use)
         return where(lambda w: let(column_refs(w, tables), lambda wheres: let(json_refs(w, tables), lambda json: let(column_refs(order_fragment(sql), tables), lambda orders: build(tables, wheres, json, orders)))))
 
-    return let(table_refs(sql), of)
+    usage_type = "array<struct<operation:string,table_name:string,column_name:string,where_columns:array<string>>>"
+    return F.when(sql.rlike(r"(?i)\b(WHERE|ORDER)\b"), let(table_refs(sql), of)).otherwise(F.array().cast(usage_type))
 
 
 def explainable(sql: Column) -> Column:
     """Whether a statement can be planned as it stands: a query without placeholders."""
     text = F.coalesce(sql, F.lit(""))
-    return text.rlike(r"(?i)^\s*(SELECT|WITH)\b") & ~text.rlike(r"\$\d") & ~F.contains(text, F.lit("?"))
+    return text.rlike(r"(?i)^\s*(SELECT|WITH)(\s|$)") & ~text.rlike(r"\$\d") & ~F.contains(text, F.lit("?"))
 
 
 def quoted(value: Column, numeric: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sqltext import statement_usages
 from ..schemas import columns
+from ..workspace import spread
 
 KEYS = ["table_name", "column_name", "operation", "where_columns"]
 
@@ -33,14 +34,20 @@ def aggregated(usages: DataFrame) -> DataFrame:
         F.count("*").alias("count"),
         F.sum("duration_ms").cast("decimal(28,2)").alias("duration"),
         F.min_by("sql", at).alias("source"),
-        F.min(F.when(F.col("explain_sql").isNotNull(), F.struct("seq", "pos", "explain_sql")))["explain_sql"].alias("explain_source"),
+        F.min(F.when(F.col("explain_sql").isNotNull(), F.struct("seq", "pos", "explain_sql"))).alias("explain"),
         F.min(at).alias("at"),
-    )
+    ).withColumn("explain_source", F.col("explain.explain_sql"))
 
 
-def runtime_usages(query_log: DataFrame) -> DataFrame:
-    """The usage relation of a query log; seq is the statement of first use."""
-    counted = aggregated(observed(recorded(query_log)))
+def merged(counts: DataFrame) -> DataFrame:
+    """Counts of several parts of a log, as `aggregated` gives them, added up."""
+    return counts.groupBy(*KEYS).agg(
+        F.sum("count").alias("count"), F.sum("duration").cast("decimal(28,2)").alias("duration"), F.min_by("source", "at").alias("source"), F.min("explain").alias("explain"), F.min("at").alias("at"),
+    ).withColumn("explain_source", F.col("explain.explain_sql"))
+
+
+def as_relation(counted: DataFrame) -> DataFrame:
+    """The usage relation of counts; seq is the statement of first use."""
     known = {
         "seq": F.col("at.seq") * 1000 + F.col("at.pos"), "origin": F.lit("runtime"), "total_duration_ms": F.col("duration").cast("double"),
         "plan_rows": F.lit(None).cast("bigint"), "line": F.lit(None).cast("int"),
@@ -48,6 +55,11 @@ def runtime_usages(query_log: DataFrame) -> DataFrame:
     return counted.select(*[(known[c] if c in known else F.col(c) if c in counted.columns else F.lit(None).cast("string")).alias(c) for c in columns("usages")])
 
 
+def runtime_usages(query_log: DataFrame) -> DataFrame:
+    """The usage relation of a query log."""
+    return as_relation(aggregated(observed(spread(recorded(query_log)))))
+
+
 def all_usages(source: DataFrame, runtime: DataFrame) -> DataFrame:
     """Usages of the source text first, then those of the log; seq keeps the order."""
     names = columns("usages")

@@ -67,7 +67,7 @@ CTES = {
     "usages": """select 0 as late, cast(seq as bigint) as seq, table_name, column_name, operation, '' as where_columns, 'source' as origin, 1 as count, cast(null as double) as total_duration_ms, source, path, line,
             cast(null as varchar) as plan_summary, cast(null as varchar) as plan_root_node_type, cast(null as varchar) as plan_relation_node_type, cast(null as varchar) as plan_relation_name, cast(null as bigint) as plan_rows from source_usages
         union all select 1, seq, table_name, column_name, operation, where_columns, 'runtime', count, total_duration_ms, source, null, null, plan_summary, plan_root_node_type, plan_relation_node_type, plan_relation_name, plan_rows
-        from runtime left join explained on statement = trim(coalesce(explain_source, source)) and regexp_matches(trim(coalesce(explain_source, source)), '(?i)^(SELECT|WITH)\\b')
+        from runtime left join explained on statement = trim(coalesce(explain_source, source)) and regexp_matches(trim(coalesce(explain_source, source)), '(?i)^(SELECT|WITH)(\\s|$)')
             and not regexp_matches(coalesce(explain_source, source), '\\$\\d|\\?')""",
 } | {f"c_{name}": fixtures.duckdb_sql(name) for name in ("tables", "columns", "indexes", "foreign_keys", "models", "reflections", "enums", "search_path", "migrations")}
 CTES["walk"] = """select statement, cast([] as integer[]) as path, p from roots where p is not null
@@ -188,7 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "f10_literalised": _with("log", f"""select seq, case when b is null then sql when regexp_matches(sql, '\\$\\d') then replace(replace(sql, case when len(b) >= 2 then '$2' else chr(0) end, coalesce(b[2], '')), '$1', b[1])
             when contains(sql, '?') then (select string_agg(part || case when i < n then coalesce(b[i], 'NULL') else '' end, '' order by i) from (select unnest(string_split(sql, '?')) as part, generate_subscripts(string_split(sql, '?'), 1) as i, len(string_split(sql, '?')) as n))
             else sql end as explain_sql from (select *, {_BINDS} as b from log)"""),
-        "p27_explainable": _with("query_log", "select seq, regexp_matches(sql, '(?i)^\\s*(SELECT|WITH)\\b') and not regexp_matches(sql, '\\$\\d') and not contains(sql, '?') as explainable from query_log"),
+        "p27_explainable": _with("query_log", "select seq, regexp_matches(sql, '(?i)^\\s*(SELECT|WITH)(\\s|$)') and not regexp_matches(sql, '\\$\\d') and not contains(sql, '?') as explainable from query_log"),
         "f14_durations": "select event_id, round(cast(round((event_id % 1000) * 1250) as bigint) / 1000.0, 2) as ms from events",
         "f36_order_words": _with("fragments", "select seq, array_to_string(list_filter(list_transform(string_split(trim(o, ' ' || chr(10)), ','), lambda p: regexp_extract(trim(p), '^\\S*')), lambda w: w <> ''), ',') as words from fragments"),
         "a01_usage_counts": _with("runtime", "select * from runtime"),

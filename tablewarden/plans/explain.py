@@ -1,8 +1,9 @@
 """Plan documents (JSON) as relations: nodes, first relation node, summary, annotation.
 
 A plan is a tree; its nodes come out of a VARIANT level by level, as many times
-as the deepest plan has levels.  Each node has the path of child numbers that
-leads to it, so that the order of paths is the order of a depth-first walk.
+as the deepest plan has levels.  A level is written once and the next one read
+from it, so no document is parsed twice.  Each node has the path of child numbers
+that leads to it, so that the order of paths is the order of a depth-first walk.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import saved
+
 NODE = {"node_type": ("Node Type", "string"), "relation_name": ("Relation Name", "string"), "index_name": ("Index Name", "string"), "plan_rows": ("Plan Rows", "bigint"), "startup_cost": ("Startup Cost", "double"), "total_cost": ("Total Cost", "double")}
 
 
@@ -20,14 +23,19 @@ def _field(node: Column, key: str, kind: str) -> Column:
 def nodes(plans: DataFrame) -> DataFrame:
     """(statement, path, node_type, ...) of (statement, plan_json); documents that aren't plans give none."""
     root = F.try_variant_get(F.try_parse_json("plan_json"), "$[0].Plan", "variant")
+    fields = [_field(F.col("node"), key, kind).alias(name) for name, (key, kind) in NODE.items()]
     level = plans.select("statement", F.array().cast("array<int>").alias("path"), root.alias("node")).filter("node is not null")
     out = None
-    while level.limit(1).count():
-        rows = level.select("statement", "path", *[_field(F.col("node"), key, kind).alias(name) for name, (key, kind) in NODE.items()])
+    while True:
+        # children of a document as text, for Parquet readers that have no VARIANT
+        below = F.transform(F.try_variant_get("node", "$.Plans", "array<variant>"), lambda x: F.to_json(x))
+        level = saved(level.select("statement", "path", *fields, below.alias("below")), "plan-level")
+        rows = level.drop("below")
         out = rows if out is None else out.unionByName(rows)
-        children = F.try_variant_get("node", "$.Plans", "array<variant>")
-        level = level.select("statement", "path", F.posexplode(children).alias("i", "child")).select("statement", F.concat("path", F.array("i")).alias("path"), F.col("child").alias("node"))
-    return out if out is not None else level.select("statement", "path", *[_field(F.col("node"), key, kind).alias(name) for name, (key, kind) in NODE.items()])
+        children = level.select("statement", "path", F.posexplode("below").alias("i", "child"))
+        if not children.limit(1).count():
+            return out
+        level = children.select("statement", F.concat("path", F.array("i")).alias("path"), F.try_parse_json("child").alias("node")).filter("node is not null")
 
 
 def label(prefix: str = "") -> Column:
