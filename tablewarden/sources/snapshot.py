@@ -1,8 +1,12 @@
 """Captured query snapshots: reading, validating and writing JSON artifacts.
 
-A snapshot is one JSON document.  It is read as VARIANT, so that absent, null and
-mistyped fields can be told apart; every check is a row (index, order, message)
-of the exploded arrays, and the first of them is reported.
+A snapshot is one JSON document, or a folder with the same content in parts:
+`metadata` holds the head, `queries` and `query_usages` hold one item a line, each
+with its number.  Spark writes and reads the parts row by row, so a long log never
+meets in one task or in the driver; a single document is one value of one row, for
+logs of up to some 100 MB (a VARIANT's limit).  Items are read as VARIANT, so that
+absent, null and mistyped fields can be told apart; every check is a row (index,
+order, message), and the first of them is reported.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from ..config import AuditError
 from ..report import NAME, metadata
 from ..schemas import columns
+from ..workspace import folders
 
 #: Known layouts, the current one, and the usage fields by kind.
 VERSIONS, CURRENT = (1, 2), 2
@@ -86,19 +91,20 @@ def _faults(rows: DataFrame, section: int, index: Column, checks: list[tuple[Col
 
 
 def _items(docs: DataFrame, key: str) -> DataFrame:
+    """(version, i, v): the items of an array of the documents."""
     version = F.try_variant_get("doc", "$.metadata.schema_version", "bigint").alias("version")
     return docs.select(version, F.posexplode(F.try_variant_get("doc", f"$.{key}", "array<variant>")).alias("i", "v"))
 
 
-def query_faults(docs: DataFrame) -> DataFrame:
+def query_faults(items: DataFrame) -> DataFrame:
     v, at = F.col("v"), F.concat(F.lit("queries["), F.col("i").cast("string"), F.lit("]"))
     shape = _is(v, *OBJECT) & _is(_get(v, "sql"), *TEXT) & _absent_or(_get(v, "name"), *TEXT) & _is(_get(v, "duration_ms"), *NUMBER) & _absent_or(_get(v, "explain_sql"), *TEXT)
     negative = (F.col("version") == CURRENT) & (_number(_get(v, "duration_ms")) < 0)
-    rows = _items(docs, "queries").filter(F.col("version").isNotNull())
+    rows = items.filter(F.col("version").isNotNull())
     return _faults(rows, 1, F.col("i"), [(~shape, F.concat(at, F.lit(" is invalid"))), (negative, F.concat(at, F.lit(".duration_ms must be 0 or more")))])
 
 
-def usage_faults(docs: DataFrame) -> DataFrame:
+def usage_faults(items: DataFrame) -> DataFrame:
     v, version = F.col("v"), F.col("version")
     at = lambda key, expected: F.concat(F.lit("query_usages["), F.col("i").cast("string"), F.lit(f"].{key} must be {expected}"))
     of = lambda key: _get(v, key)
@@ -116,16 +122,21 @@ def usage_faults(docs: DataFrame) -> DataFrame:
     checks += [(versioned & ~_is(of(key), *NOTHING), at(key, "present and null")) for key in ("path", "line")]
     checks += [(current & (_number(of("count")) < 1), at("count", "1 or more"))]
     checks += [(current & (_number(of(key)) < 0), at(key, "0 or more, or null")) for key in ("total_duration_ms", "plan_rows")]
-    return _faults(_items(docs, "query_usages"), 2, F.col("i"), checks)
+    return _faults(items, 2, F.col("i"), checks)
 
 
 def faults(docs: DataFrame, generators: tuple[str, ...] = (NAME,)) -> DataFrame:
     """All faults of the documents in `doc`; none means valid."""
-    return reduce(DataFrame.unionByName, [header_faults(docs, generators), query_faults(docs), usage_faults(docs)])
+    return reduce(DataFrame.unionByName, [header_faults(docs, generators), query_faults(_items(docs, "queries")), usage_faults(_items(docs, "query_usages"))])
 
 
 def snapshot_usages(docs: DataFrame) -> DataFrame:
     """The usage relation of valid documents; absent origins and filter columns get their defaults."""
+    return item_usages(_items(docs, "query_usages"))
+
+
+def item_usages(items: DataFrame) -> DataFrame:
+    """The usage relation of valid items (i, v)."""
     v = F.col("v")
     text = lambda key: F.try_variant_get(v, f"$.{key}", "string")
     made = {
@@ -133,38 +144,56 @@ def snapshot_usages(docs: DataFrame) -> DataFrame:
         "total_duration_ms": F.try_variant_get(v, "$.total_duration_ms", "double"), "path": F.lit(None).cast("string"), "line": F.lit(None).cast("int"), "plan_rows": F.try_variant_get(v, "$.plan_rows", "bigint"),
         "where_columns": F.coalesce(F.try_variant_get(v, "$.where_columns", "array<string>"), F.array().cast("array<string>")),
     }
-    return _items(docs, "query_usages").select(*[made.get(c, text(c)).alias(c) for c in columns("usages")])
+    return items.select(*[made.get(c, text(c)).alias(c) for c in columns("usages")])
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(document without items, queries, usages) of a folder; items are (version, i, v)."""
+    head = spark.read.text(f"{path}/metadata", wholetext=True).select(F.try_parse_json("value").alias("doc"))
+    first = head.select(F.try_variant_get("doc", "$.metadata.schema_version", "bigint").alias("version")).first()
+    version = F.lit(first["version"] if first else None).cast("bigint").alias("version")
+    lines = lambda part: spark.read.text(f"{path}/{part}").select(F.try_parse_json("value").alias("line"))
+    items = lambda part: lines(part).select(version, F.try_variant_get("line", "$.i", "bigint").alias("i"), F.try_variant_get("line", "$.v", "variant").alias("v"))
+    return head, items("queries"), items("query_usages")
 
 
 def load(spark: SparkSession, path: str, generators: tuple[str, ...] = (NAME,)) -> DataFrame:
     """Validated usages of the snapshot at `path`; the first fault raises AuditError."""
-    docs = read_document(spark, path)
-    first = faults(docs, generators).orderBy("section", "idx", "ord").first()
+    if "metadata" in folders(spark, path):
+        head, queries, items = _parts(spark, path)
+        found = reduce(DataFrame.unionByName, [header_faults(head, generators), query_faults(queries), usage_faults(items)])
+    else:
+        head = read_document(spark, path)
+        items, found = _items(head, "query_usages"), faults(head, generators)
+    first = found.orderBy("section", "idx", "ord").first()
     if first:
         raise AuditError(f"the query snapshot at {path} is invalid: {first['message']}")
-    return snapshot_usages(docs)
+    return item_usages(items)
+
+
+def _query_items(query_log: DataFrame) -> DataFrame:
+    return query_log.select("seq", F.struct("sql", "name", F.col("duration_ms").cast("double").alias("duration_ms"), "explain_sql").alias("v"))
 
 
-def document(query_log: DataFrame, usages: DataFrame) -> dict:
-    """The artifact of one capture session, which fits the driver as one file does."""
-    bound = bool(query_log.filter("explain_sql is not null").limit(1).count())
+def _usage_items(usages: DataFrame) -> DataFrame:
     names = {"table_name": "table", "column_name": "column"}
-    log = query_log.orderBy("seq").select("sql", "name", F.col("duration_ms").cast("double"), "explain_sql")
-    return {
-        "metadata": metadata(CURRENT, capture={"literalized_binds": bound}),
-        "queries": [r.asDict() for r in log.collect()],
-        "query_usages": [{names.get(k, k): v for k, v in r.asDict().items() if k != "seq"} for r in usages.orderBy("seq").collect()],
-    }
+    return usages.select("seq", F.struct(*[F.col(c).alias(names.get(c, c)) for c in columns("usages") if c != "seq"]).alias("v"))
+
+
+def _head(query_log: DataFrame) -> dict:
+    return metadata(CURRENT, capture={"literalized_binds": bool(query_log.filter("explain_sql is not null").limit(1).count())})
 
 
 def write(query_log: DataFrame, usages: DataFrame, path: str) -> None:
+    """The artifact as a folder of parts; items are numbered by their place in the log."""
     spark = query_log.sparkSession
-    text = json.dumps(document(query_log, usages), indent=2)
-    # one file by Hadoop's file system, so that any store that Spark reads will do
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        stream.write(text.encode("utf-8"))
-    finally:
-        stream.close()
+    text = json.dumps({"metadata": _head(query_log), "queries": [], "query_usages": []})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    for part, rows in (("queries", _query_items(query_log)), ("query_usages", _usage_items(usages))):
+        rows.select(F.to_json(F.struct(F.col("seq").alias("i"), "v"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{path}/{part}")
+
+
+def document(query_log: DataFrame, usages: DataFrame) -> str:
+    """The artifact as one JSON text, for logs that fit the driver as one file does."""
+    lines = lambda rows: [json.loads(r["v"]) for r in rows.orderBy("seq").select(F.to_json("v", {"ignoreNullFields": "false"}).alias("v")).collect()]
+    return json.dumps({"metadata": _head(query_log), "queries": lines(_query_items(query_log)), "query_usages": lines(_usage_items(usages))}, indent=2)

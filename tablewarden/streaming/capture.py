@@ -1,9 +1,11 @@
 """Capture sessions over a stream of SQL events.
 
-Each event is parsed by the same expressions as in batch, the usages are counted
-by a stateful aggregation in update mode, and each micro-batch merges its changed
-counts into a Parquet state table, keyed by epoch: replaying an epoch after a
-failure overwrites its own folder only.
+Each micro-batch of events is written to the session's log, parsed by the same
+expressions as in batch and counted; its counts are a Parquet table of their own,
+keyed by epoch, so that replaying an epoch after a failure overwrites its own
+folders only.  The counts of a session are the sums over its epochs.  Every
+`MERGE` epochs they are merged into one base table, and what it covers is deleted,
+so a session reads at most so many tables however long it runs.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.sqltext import literalised
-from ..operators.usages import KEYS, aggregated, observed, recorded, runtime_usages
+from ..operators.usages import aggregated, as_relation, merged, observed, recorded
 from ..sources import snapshot
+from ..workspace import delete, folders, spread
 
 EVENTS = "seq bigint, sql string, name string, duration_ms decimal(18,2), explain_sql string, ts timestamp"
+#: Epochs between merges of the counts.
+MERGE = 16
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,47 +48,63 @@ class Capture:
     events: DataFrame
     folder: str
     _query: StreamingQuery | None = field(default=None, repr=False)
-    _log: StreamingQuery | None = field(default=None, repr=False)
 
-    def _save(self, changed: DataFrame, epoch: int) -> None:
-        changed.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{self.folder}/counts/epoch={epoch}")
+    def _save(self, events: DataFrame, epoch: int) -> None:
+        spark = events.sparkSession
+        log = f"{self.folder}/log/epoch={epoch}"
+        recorded(events).write.mode("overwrite").parquet(log)
+        own = spark.read.schema(EVENTS).parquet(log)
+        aggregated(observed(spread(own))).write.mode("overwrite").parquet(f"{self.folder}/counts/epoch={epoch}")
+        if epoch % MERGE == MERGE - 1:
+            self._merge(spark, epoch)
+
+    def _tables(self, spark: SparkSession) -> tuple[int, list[str]]:
+        """The last epoch that a whole base covers, and the tables whose sum the counts are."""
+        of = lambda kind: {int(name.split("=")[1]): f"{self.folder}/counts/{name}" for name in folders(spark, f"{self.folder}/counts") if name.startswith(f"{kind}=")}
+        whole = {n: path for n, path in of("base").items() if "_SUCCESS" in folders(spark, path)}
+        last = max(whole, default=-1)
+        return last, [*([whole[last]] if whole else []), *[path for n, path in of("epoch").items() if n > last]]
+
+    def _merge(self, spark: SparkSession, epoch: int) -> None:
+        _, tables = self._tables(spark)
+        merged(spark.read.parquet(*tables)).write.mode("overwrite").parquet(f"{self.folder}/counts/base={epoch}")
+        for name in folders(spark, f"{self.folder}/counts"):
+            if int(name.split("=")[1]) < epoch + name.startswith("epoch"):
+                delete(spark, f"{self.folder}/counts/{name}")
 
     def start(self, **trigger) -> Capture:
         """Begin; a session that runs already goes on."""
         if self._query is None:
             trigger = trigger or {"availableNow": True}
-            counted = aggregated(observed(recorded(self.events)))
-            self._log = recorded(self.events).writeStream.format("parquet").option("path", f"{self.folder}/log").option("checkpointLocation", f"{self.folder}/checkpoint/log").trigger(**trigger).start()
-            self._query = counted.writeStream.outputMode("update").foreachBatch(self._save).option("checkpointLocation", f"{self.folder}/checkpoint/counts").trigger(**trigger).start()
+            self._query = self.events.writeStream.foreachBatch(self._save).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(**trigger).start()
         return self
 
     def stop(self) -> None:
         """End; a session that has ended stays so."""
-        for query in (self._query, self._log):
-            if query is not None:
-                query.stop()
-        self._query = self._log = None
+        if self._query is not None:
+            self._query.stop()
+        self._query = None
 
     def run(self) -> Capture:
         """Take in all events that are there, then end."""
         self.start()
         try:
             self._query.awaitTermination()
-            self._log.awaitTermination()
         finally:
             self.stop()
         return self
 
     def usages(self) -> DataFrame:
-        """The counts so far: of each key, those of its latest epoch."""
+        """The counts so far."""
         spark = self.events.sparkSession
-        saved = spark.read.option("basePath", f"{self.folder}/counts").option("recursiveFileLookup", "true").parquet(f"{self.folder}/counts")
-        rest = [c for c in saved.columns if c not in KEYS]
-        return saved.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "epoch").alias("v")).select(*KEYS, "v.*").drop("epoch")
+        _, tables = self._tables(spark)
+        return merged(spark.read.parquet(*tables) if tables else aggregated(observed(spark.createDataFrame([], EVENTS))))
 
     def log(self) -> DataFrame:
-        return self.events.sparkSession.read.schema(EVENTS).parquet(f"{self.folder}/log")
+        spark = self.events.sparkSession
+        parts = [f"{self.folder}/log/{name}" for name in folders(spark, f"{self.folder}/log")]
+        return spark.read.schema(EVENTS).parquet(*parts) if parts else spark.createDataFrame([], EVENTS)
 
     def write(self, path: str) -> None:
-        """The session's snapshot as one JSON file."""
-        snapshot.write(self.log(), runtime_usages(self.log()), path)
+        """The session's snapshot, a folder of JSON parts; the counts are those that it has."""
+        snapshot.write(self.log(), as_relation(self.usages()), path)

@@ -3,15 +3,19 @@
 import json
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tablewarden import workspace
 from tablewarden.__main__ import main
 from tablewarden.functions.names import canonicalised
-from tablewarden.operators.usages import all_usages, runtime_usages
+from tablewarden.config import AuditError
+from tablewarden.operators.usages import all_usages, as_relation, runtime_usages
 from tablewarden.plans.explain import annotated, nodes, summaries
 from tablewarden.schemas import SCHEMAS, columns, empty
-from tablewarden.sources import apptext, catalog
+from tablewarden.sources import apptext, catalog, snapshot
+from tablewarden.streaming import capture
 from tablewarden.streaming.capture import Capture, event_stream, with_binds
 
 LOG = "seq long, sql string, name string, duration_ms double, explain_sql string"
@@ -55,9 +59,34 @@ def test_capture_equals_batch_and_goes_on(spark, tmp_path):
     key = lambda r: (r["table_name"], r["column_name"], r["operation"], r["count"], r["source"])
     assert sorted(map(key, session.usages().collect())) == sorted(map(key, runtime_usages(first.union(second)).collect()))
     assert session.log().count() == 2
-    session.write(str(tmp_path / "snapshot.json"))
-    made = json.loads((tmp_path / "snapshot.json").read_text())
+    session.write(str(tmp_path / "snapshot"))
+    loaded = snapshot.load(spark, str(tmp_path / "snapshot"))
+    assert {(r["column_name"], r["count"]) for r in loaded.collect()} == {("a", 2), ("b", 1)}
+    assert spark.read.text(str(tmp_path / "snapshot/queries")).count() == 2
+    made = json.loads(snapshot.document(session.log(), runtime_usages(session.log())))
     assert len(made["queries"]) == 2 and {u["column"] for u in made["query_usages"]} == {"a", "b"} and made["metadata"]["capture"] == {"literalized_binds": False}
+    (tmp_path / "snapshot/query_usages/part-x.txt").write_text('{"i": 7, "v": {"table": 3}}\n')
+    with pytest.raises(AuditError, match=r"query_usages\[7\].table must be a string"):
+        snapshot.load(spark, str(tmp_path / "snapshot"))
+
+
+def test_epochs_are_merged_and_replayed(spark, tmp_path, monkeypatch):
+    """Counts stay those of the whole log while epochs are merged; an epoch that is replayed counts once."""
+    monkeypatch.setattr(capture, "MERGE", 2)
+    (tmp_path / "events").mkdir()
+    whole = None
+    session = Capture(event_stream(spark, str(tmp_path / "events")), str(tmp_path / "session"))
+    assert session.usages().count() == 0 and session.log().count() == 0
+    for i in range(5):
+        batch = log(spark, (2 * i, f"SELECT 1 FROM t WHERE t.a = {i}", None), (2 * i + 1, f"SELECT 1 FROM t WHERE t.c{i} = 1", "x"))
+        batch.write.mode("append").parquet(str(tmp_path / "events"))
+        whole = batch if whole is None else whole.union(batch)
+        session.run()
+    session._save(batch, 4)
+    names = workspace.folders(spark, str(tmp_path / "session/counts"))
+    assert names == ["base=3", "epoch=4"]
+    key = lambda r: (r["column_name"], r["count"], r["source"], r["seq"])
+    assert sorted(map(key, as_relation(session.usages()).collect())) == sorted(map(key, runtime_usages(whole).collect()))
 
 
 def test_binds_become_explain_text(spark):
