@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .evidence import Evidence
 from .operators.usages import runtime_usages
 from .plans.explain import annotated
-from .schemas import empty
+from .schemas import SCHEMAS, empty
 
 Q = "chr(39)"
 QUERY_LOG = f"""
@@ -108,6 +108,23 @@ SOURCE_USAGES = """
 select * from (values (1, 'part', 'p_brand', 'where', 'Part.where(p_brand: 1)', 'app/models/part.rb', 7), (2, 'part', 'p_brand', 'where', 'Part.where(p_brand: 2)', 'app/models/part.rb', 9), (3, 'customer', 'c_mktsegment', 'where', 'x', 'lib/a.rb', 1),
     (4, 'supplier', 's_name', 'order', 'y', 'lib/b.rb', 2), (5, null, 's_name', 'where', 'z', 'lib/c.rb', 3), (6, 'ghosts', 'a', 'where', 'w', 'lib/d.rb', 4)) as t(seq, table_name, column_name, operation, source, path, line)
 """
+#: Source files and migrations by rule, one for each customer and each part.
+SOURCE_FILES = """
+select 'gen/' || cast(c_custkey as varchar(20)) || '.rb' as path, case c_custkey % 4
+    when 0 then 'class A' || chr(10) || '  Order.where(o_custkey: ' || cast(c_custkey as varchar(20)) || ', gone: 1)' || chr(10) || 'end'
+    when 1 then 'Event.where(user_id: ' || cast(c_custkey as varchar(20)) || ').order("ts DESC")'
+    when 2 then '# Order.where(o_custkey: 1)' || chr(10) || 'Ghost.where(a: ' || cast(c_custkey as varchar(20)) || ')'
+    else repeat(chr(10), cast(c_custkey % 3 as int)) || 'Customer.where(c_name: 1,' || chr(10) || '  c_acctbal: ' || cast(c_custkey as varchar(20)) || ').reorder(:c_name)' end as text
+from customer
+"""
+MIGRATION_FILES = """
+select 'gen/' || cast(p_partkey as varchar(20)) || '.rb' as path, case p_partkey % 4
+    when 0 then 'class M' || chr(10) || '  add_reference :t' || cast(p_partkey as varchar(20)) || ', :owner' || chr(10) || 'end'
+    when 1 then 'add_reference :t' || cast(p_partkey as varchar(20)) || ', :owner, foreign_key: true'
+    when 2 then 'create_table :t' || cast(p_partkey as varchar(20)) || ' do |t|' || chr(10) || '  t.string :name' || chr(10) || '  t.references :author' || chr(10) || 'end'
+    else 'add_column :t' || cast(p_partkey as varchar(20)) || ', :owner_id, :bigint' end as text
+from part
+"""
 _NODE = '{"Node Type": "%s"%s, "Plan Rows": %d, "Startup Cost": %s, "Total Cost": %s}'
 #: Plan documents by a part of the statement that they answer.
 PLANS = """
@@ -123,7 +140,7 @@ from (select distinct sql from query_log) as s
 """
 RELATIONS = {
     "query_log": QUERY_LOG, "tables": TABLES, "columns": COLUMNS, "indexes": INDEXES, "foreign_keys": FOREIGN_KEYS, "models": MODELS, "reflections": REFLECTIONS, "enums": ENUMS,
-    "search_path": SEARCH_PATH, "migrations": MIGRATIONS, "source_usages": SOURCE_USAGES, "plans": PLANS,
+    "search_path": SEARCH_PATH, "migrations": MIGRATIONS, "source_usages": SOURCE_USAGES, "plans": PLANS, "source_files": SOURCE_FILES, "migration_files": MIGRATION_FILES,
 }
 
 
@@ -149,7 +166,7 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     escaped = re.sub(r"\{(?!(?:" + "|".join(views or ["-"]) + r")\})", "{{", text)
     escaped = re.sub(r"(?<!\{" + r")\}", "}}", escaped) if not views else _close(escaped, tuple(views))
     found = spark.sql(escaped, **views) if views else spark.sql(text)
-    if name == "source_usages":
+    if name not in SCHEMAS:
         return found
     target = empty(spark, name).schema
     return found.select(*[(F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target])

@@ -221,10 +221,20 @@ def oracle_sql() -> dict[str, str]:
             ("app/models/order.rb", 4, "orders", "o_custkey", "where", ""), ("app/models/order.rb", 4, "orders", "o_orderdate", "order", "o_custkey"), ("app/models/order.rb", 4, "orders", "o_totalprice", "order", "o_custkey"),
             ("lib/report.rb", 1, "events", "props", "jsonb_where", ""), ("lib/report.rb", 1, "events", "user_id", "where", ""), ("lib/report.rb", 1, "events", "ts", "order", "user_id"), ("lib/report.rb", 1, "events", "event_id", "order", "user_id"),
             ("lib/report.rb", 3, "customer", "c_name", "order", ""),
-        ], "path, line, table_name, column_name, operation, where_columns"),
+        ], "path, line, table_name, column_name, operation, where_columns") + """
+            union all select path, cast(case k when 0 then 2 when 1 then 1 else 1 + n % 3 end as integer), t, c, op, w from (select c_custkey as n, c_custkey % 4 as k, 'gen/' || c_custkey || '.rb' as path from customer)
+            join (values (0, 'orders', 'o_custkey', 'where', ''), (1, 'events', 'user_id', 'where', ''), (1, 'events', 'ts', 'order', 'user_id'), (3, 'customer', 'c_name', 'where', ''), (3, 'customer', 'c_acctbal', 'where', ''),
+                (3, 'customer', 'c_name', 'order', 'c_name,c_acctbal')) as x(kind, t, c, op, w) on kind = k""",
         "x02_migration_changes": _values([
             ("db/migrate/1.rb", 3, "orders", "customer_id", "add_reference :orders, :customer"), ("db/migrate/1.rb", 6, "nation", "region_id", "add_column :nation, :region_id, :bigint"), ("db/migrate/2.rb", 4, "notes", "author_id", "t.references :author"),
-        ], "path, line, table_name, column_name, source"),
+        ], "path, line, table_name, column_name, source") + """
+            union all select 'gen/' || p_partkey || '.rb', cast(case p_partkey % 4 when 0 then 2 when 2 then 3 else 1 end as integer), 't' || p_partkey, case p_partkey % 4 when 2 then 'author_id' else 'owner_id' end,
+                case p_partkey % 4 when 0 then 'add_reference :t' || p_partkey || ', :owner' when 2 then 't.references :author' else 'add_column :t' || p_partkey || ', :owner_id, :bigint' end from part where p_partkey % 4 <> 1""",
+        "s09_model_relations": """select 'M' || k as model, cast(k % 4 as integer) as default_scope_count, case when k % 3 > 0 then 'r' || k end as name, case when k % 3 > 0 then if(k % 2 = 0, 'has_many', 'belongs_to') end as macro,
+            case when k % 3 > 0 then 't' || k end as target_table, case when k % 3 > 0 then k % 5 = 0 end as polymorphic, case when k % 7 = 0 then 'state' end as enum from (select c_custkey as k from customer)""",
+        "s17_snapshot_round_trip": _with("runtime", "select table_name, column_name, operation, where_columns, count, total_duration_ms, source, explain_source from runtime"),
+        "s18_report_findings": _with("", f"""select cast(row_number() over (order by {_RANK} desc, code, coalesce(table_name, ''), coalesce(column_name, ''), coalesce(model, ''), evidence) as integer) as place, severity, code, table_name,
+            count(*) over (partition by severity) as of_severity from ({_CATALOG_FINDINGS})""", *_FOUR),
         "st03_stream_usages": _with("runtime", "select table_name, column_name, operation, where_columns, count, total_duration_ms, source, explain_source from runtime"),
     }
     every = " union all ".join(sql.replace(", 'add_foreign_key", " --").split(" --")[0] + (" from " + sql.split(" as recommendation from ")[1] if " as recommendation from " in sql else "") for _, _, sql in RULE_SQL.values())

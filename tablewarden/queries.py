@@ -18,6 +18,7 @@ from .functions.sqltext import let
 from .operators import indexes, usages
 from .plans import explain
 from .sources import apptext, catalog, snapshot
+from .workspace import saved, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULES = {
@@ -233,6 +234,40 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.parse_json(text).alias("doc"))
 
 
+def s09_model_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported models, one for each customer, taken apart into reflections and enums."""
+    key = F.col("c_custkey")
+    name = lambda prefix: F.concat(F.lit(prefix), key.cast("string"))
+    none = F.lit(None).cast("string")
+    fields = {
+        "name": name("r"), "macro": F.when(key % 2 == 0, F.lit("has_many")).otherwise(F.lit("belongs_to")), "options": F.create_map(F.lit("dependent"), F.lit("destroy")), "foreign_key": name("k"), "foreign_type": none,
+        "target_table": name("t"), "klass_name": name("K"), "polymorphic": key % 5 == 0, "inverse_name": none, "association_primary_key": none,
+    }
+    reflection = F.struct(*[v.alias(k) for k, v in fields.items()])
+    docs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        key.alias("seq"), name("M").alias("model"), F.lit("customer").alias("table_name"), F.when(key % 3 > 0, F.array_repeat(reflection, 1)).alias("reflections"),
+        F.array_repeat(F.lit("x"), (key % 4).cast("int")).alias("default_scopes"), F.when(key % 7 == 0, F.create_map(F.lit("state"), F.lit("1"))).alias("enums"), none.alias("source_location"),
+    )
+    models, reflections, enums = catalog.model_relations(docs)
+    found = models.join(reflections.select("model", "name", "macro", "target_table", "polymorphic"), "model", "left").join(enums.select("model", F.col("column_name").alias("enum")), "model", "left")
+    return found.select("model", "default_scope_count", "name", "macro", "target_table", "polymorphic", "enum")
+
+
+def s17_snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the query log after they were written as a snapshot's parts and read again."""
+    log = saved(_log(spark, sf_dir), "log")
+    base = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    snapshot.write(log, usages.runtime_usages(log), base)
+    return snapshot.load(spark, base).select("table_name", "column_name", "operation", listed("where_columns").alias("where_columns"), "count", "total_duration_ms", "source", "explain_source")
+
+
+def s18_report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of the JSON report, in its order."""
+    found = report.Report(_catalog_findings(spark, sf_dir)).as_json()
+    rows = [(i, f["severity"], f["code"], f["table"], found["counts"][f["severity"]]) for i, f in enumerate(found["findings"], 1)]
+    return spark.createDataFrame(rows, "place int, severity string, code string, table_name string, of_severity long")
+
+
 def s13_snapshot_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.snapshot_usages(_documents(spark, sf_dir)).select("table_name", "column_name", "operation", listed("where_columns").alias("where_columns"), "count", "total_duration_ms", "source", "origin")
 
@@ -278,19 +313,19 @@ CHANGES = (
 
 
 def x01_source_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame(list(FILES), "path string, text string")
+    files = spark.createDataFrame(list(FILES), "path string, text string").union(fixtures.relation(spark, sf_dir, "source_files"))
     found = apptext.source_usages(files, fixtures.relation(spark, sf_dir, "models"), fixtures.relation(spark, sf_dir, "columns"))
     return found.select("path", "line", "table_name", "column_name", "operation", listed("where_columns").alias("where_columns"))
 
 
 def x02_migration_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apptext.migration_changes(spark.createDataFrame(list(CHANGES), "path string, text string")).select("path", "line", "table_name", "column_name", "source")
+    files = spark.createDataFrame(list(CHANGES), "path string, text string").union(fixtures.relation(spark, sf_dir, "migration_files"))
+    return apptext.migration_changes(files).select("path", "line", "table_name", "column_name", "source")
 
 
 def st03_stream_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query log as a stream, captured to its end; the counts are those of a01."""
     from .streaming.capture import Capture, event_stream
-    from .workspace import shared_dir
 
     base = f"{shared_dir(spark)}/capture-{uuid.uuid4().hex}"
     fixtures.relation(spark, sf_dir, "query_log").write.parquet(f"{base}/events")
@@ -302,6 +337,6 @@ def queries() -> dict[str, Query]:
     found = {f.__name__: f for f in (
         f01_table_refs, f03_fragments, f05_column_refs, f06_json_refs, f10_literalised, p27_explainable, f14_durations, f36_order_words, a01_usage_counts, u01_all_usages, f15_names, j18_canonical_names,
         s01_scanned_tables, s02_columns, s05_row_estimates, s08_models, o05_plan_summaries, j19_annotated_usages, p09_unindexed_columns, p11_leading_columns, p13_unsupported_orders, p22_unserved_json,
-        p23_json_fragments, p29_suppressed, o01_report_order, a07_severity_counts, s19_report_text, s20_fails, s13_snapshot_usages, f30_snapshot_faults, x01_source_usages, x02_migration_changes, st03_stream_usages,
+        p23_json_fragments, p29_suppressed, o01_report_order, a07_severity_counts, s19_report_text, s20_fails, s09_model_relations, s13_snapshot_usages, s17_snapshot_round_trip, s18_report_findings, f30_snapshot_faults, x01_source_usages, x02_migration_changes, st03_stream_usages,
     )}
     return found | {(q := rule_query(i, code)).__name__: q for i, code in enumerate(RULES, 1)}
