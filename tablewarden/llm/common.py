@@ -60,6 +60,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: an executor lost later costs no recomputation, and
     what several branches read is computed once.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, label)
+
+
+class Scratch:
+    """The shared tables that one run of an operator writes; it deletes those that its result does not read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def clear(self, *keep: DataFrame) -> None:
+        """Delete all tables but those in `keep`; nothing that is still to be computed may read them."""
+        for df, path in self.tables:
+            if not any(df is k for k in keep):
+                where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.tables = [(df, path) for df, path in self.tables if any(df is k for k in keep)]
+
+
+def small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """`df`, to be broadcast where it has at most `most` rows."""
+    return F.broadcast(df) if rows <= most else df

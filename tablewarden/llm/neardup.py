@@ -15,36 +15,44 @@ Steps, all of them Spark jobs over tables in the shared folder:
 2. Equal sets are one class, represented by the smallest id, so copies
    never reach the candidate search.
 3. Buckets of equal band keys: a pivot, chosen by hash from the bucket's
-   largest component, is compared with the classes in other components.  Other
-   buckets of the same group try other pivots, and after a few rounds nearly
-   all of a group is one component.
-4. What still lies outside the largest component of a bucket meets those classes
-   that share a rare shingle with it, and the rest of the bucket only where the
-   shingles that are not rare could reach the similarity.  No link that a bucket
-   proposes is lost and no bucket is capped.
-5. Each round's links join components, not documents, and the components of
+   largest component, is compared with the classes in other components.  At first
+   the buckets of one group choose the same one, so that few pairs are compared.
+4. Buckets that still hold several components: one of at most `FEW` rows is
+   compared in full; in a larger one other pivots are tried for a few rounds, and
+   then what lies outside the largest component meets those classes that share a
+   rare shingle with it, and the rest of the bucket only where the shingles that
+   are not rare could reach the similarity.  No link that a bucket proposes is
+   lost and no bucket is capped.
+5. Candidates are first compared by their signatures, four bits of each
+   coordinate: a pair at the similarity falls below the bar, six standard
+   deviations down, with a probability of about 1e-8.  Only the sets of those that
+   pass are moved, and their exact similarity decides.
+6. Each round's links join components, not documents, and the components of
    that small graph follow by minimum labels with pointer jumping.
 
 Defined results: null or empty texts, and texts without a word, have an empty
 set (n_shingles 0) and are linked with nothing.  Fewer words than a shingle
-give one shingle, the whole sequence.  Rows that share an id link through any of
-their texts, and each row reports the component of its own text.  A null id is
-kept alone unless its text equals another document's.  An empty table gives an
-empty result.  Columns other than the id and the text are ignored.
+give one shingle, the whole sequence.  Very long texts count whole; their minima
+are taken piece by piece.  Rows that share an id link through any of their
+texts, and each row reports the component of its own text.  A null id is kept
+alone unless its text equals another document's.  An empty table gives an empty
+result.  Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import written
+from .common import Scratch, small
 
 SLOTS = 1 << 20
 BANDS, ROWS = 32, 5
@@ -53,6 +61,13 @@ SEED = 20_250_101
 CHUNK = 1 << 14
 #: A shingle that at most so many of the classes still open hold proposes all their pairs.
 RARE = 8
+#: An open bucket of at most so many rows is compared in full.
+FEW = 16
+#: Ids of candidates that are broadcast; beyond that their sets are found by a shuffled join.
+BROADCAST_IDS = 1_000_000
+#: Lengths within this factor of each other meet under one key.
+BIN = 1.05
+NIBBLES = 0x1111111111111111
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,24 +116,46 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.astype(np.int64)
 
 
+def nibbles(signature: np.ndarray) -> np.ndarray:
+    """The lowest four bits of each coordinate, sixteen to a long; zeros fill the last one."""
+    low = np.zeros(-(-len(signature) // 16) * 16, np.uint64)
+    low[: len(signature)] = signature.astype(np.uint64) & np.uint64(15)
+    return np.bitwise_or.reduce(low.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).astype(np.int64)
+
+
+def alike(a: Column, b: Column, coordinates: int, percent: int) -> Column:
+    """Whether two `nibbles` agree as often as those of sets at the similarity do, less six standard deviations."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    most = coordinates - math.floor(coordinates * p - 6 * math.sqrt(coordinates * p * (1 - p)))
+    differ = F.lit(0)
+    for i in range(-(-coordinates // 16)):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(NIBBLES)))
+    return differ <= most
+
+
 def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, bands) of (doc_id, text)."""
+    """(doc_id, n, fp1, fp2, bands, low) of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, fps, keys = [], [], []
+            sizes, fps, keys, low = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), width)
                 sizes.append(len(s))
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 fps.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-                keys.append(band_keys(signature(s, bands * rows), bands, rows)[0] if len(s) else [])
+                sig = signature(s, bands * rows) if len(s) else None
+                keys.append(band_keys(sig, bands, rows)[0] if len(s) else [])
+                low.append(nibbles(sig) if len(s) else [])
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([a for a, _ in fps], pa.int64()), pa.array([b for _, b in fps], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n", "fp1", "fp2", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([a for a, _ in fps], pa.int64()), pa.array([b for _, b in fps], pa.int64()), pa.array(keys, longs), pa.array(low, longs)],
+                ["doc_id", "n", "fp1", "fp2", "bands", "low"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, bands array<long>, low array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -139,20 +176,20 @@ def starred(links: DataFrame) -> DataFrame:
     return near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(rest)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for the nodes of the undirected `links` (a, b).
 
     Labels fall to the smallest neighbour's label and then jump to that
     label's own label, so chains halve with each round.
     """
     few = starred(links)
-    both = written(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
+    both = scratch.write(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = written(lower.join(jump, lower.label == jump.at, "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        new = scratch.write(lower.join(jump, lower.label == jump.at, "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         moved = new.filter("label < old").limit(1).count()
         labels = new.select("node", "label")
         if not moved:
@@ -168,7 +205,9 @@ def near_duplicates(
     percent: int = 80,
     bands: int = BANDS,
     rows: int = ROWS,
-    pivot_rounds: int = 3,
+    pivot_rounds: int = 2,
+    few: int = FEW,
+    broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`.
 
@@ -177,89 +216,121 @@ def near_duplicates(
     3e-6.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = written(sketch(source, width, bands, rows), "sketch")
+    scratch = Scratch(docs.sparkSession)
+    sketched = scratch.write(sketch(source, width, bands, rows), "sketch")
     # only texts that occur again; from a table of its own, so that adaptive execution can split a hot fingerprint in the join
-    classes = written(sketched.filter("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "classes")
-    members = written(
-        sketched.join(classes, ["fp1", "fp2"], "left").select(
-            "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when((F.col("n") > 0) & (F.col("doc_id") == F.coalesce("rep", "doc_id")), F.col("bands")).alias("bands")
-        ),
-        "members",
+    classes = scratch.write(sketched.filter("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "classes")
+    rep = F.coalesce("rep", "doc_id")
+    first = (F.col("n") > 0) & (F.col("doc_id") == rep)
+    members = scratch.write(
+        sketched.join(classes, ["fp1", "fp2"], "left").select("doc_id", "n", rep.alias("rep"), F.when(first, F.col("bands")).alias("bands"), F.when(first, F.col("low")).alias("low")), "members"
     )
-    entries = members.filter("bands is not null").select("rep", "n", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
-    active = written(entries.join(buckets, "key"), "buckets")
-    nodes = written(active.select("rep").distinct(), "nodes")
-    sets = written(full_sets(source.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text"), width), "sets")
-    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    scratch.clear(members)
+    of_key = Window.partitionBy("key")
+    entries = members.filter("bands is not null").select("rep", F.explode("bands").alias("key"))
+    shared = entries.withColumns({"lo": F.min("rep").over(of_key), "hi": F.max("rep").over(of_key)}).filter("lo < hi").select("key", "rep")
+    state = scratch.write(shared, "buckets")
+    met = scratch.write(state.select("rep").distinct(), "met")
+    n_met = met.count()
+    nodes = scratch.write(members.filter("bands is not null").join(small(met, n_met, broadcast_ids), "rep", "left_semi").select("rep", "n", "low", "bands"), "nodes")
+    sets = scratch.write(full_sets(source.join(small(met.select(F.col("rep").alias("doc_id")), n_met, broadcast_ids), "doc_id", "left_semi").select("doc_id", "text"), width), "sets")
+    labels = scratch.write(met.select("rep", F.col("rep").alias("component")), "labels")
+
+    def likely(n_a: Column, low_a: Column, n_b: Column, low_b: Column) -> Column:
+        return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & alike(low_a, low_b, bands * rows, percent)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Components (a, b) of those candidate pairs whose full sets are similar enough."""
-        left = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
-        right = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
+        """Components (a, b) of those candidate pairs (a, b, c_a, c_b) that are similar enough."""
+        pairs = scratch.write(pairs.distinct(), "pairs")
+        ids = scratch.write(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids")
+        own = sets.join(small(ids, ids.count(), broadcast_ids), "rep", "left_semi")
+        left = own.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
+        right = own.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
         shared = F.size(F.array_intersect("items_a", "items_b")).cast("long")
         both = pairs.join(right, "b").join(left, "a").select("c_a", "c_b", shared.alias("shared"), (F.size("items_a") + F.size("items_b")).cast("long").alias("total"))
-        return both.filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
+        both = both.filter(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent)
+        return scratch.write(both.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "links")
 
-    state = active.withColumn("component", F.col("rep"))
     for turn in range(pivot_rounds + 1):
-        heads = written(_heads(state, turn), "heads")
+        rows_of = scratch.write(state.join(nodes.select("rep", "n", "low").join(labels, "rep"), "rep"), "rows")
+        heads = scratch.write(_heads(rows_of, turn), "heads")
         if not heads.limit(1).count():
             break
+        pairs, rows_of = None, rows_of.join(heads, "key")
+        if turn:  # buckets of one component are done, and so are small ones after this round
+            rows_of = scratch.write(rows_of, "open")
+            pairs = _all_pairs(rows_of.filter(F.col("size") <= few), likely)
+            rows_of = rows_of.filter(F.col("size") > few)
+            state = rows_of.select("key", "rep")
         if turn < pivot_rounds:
-            others = state.join(heads, "key").filter((F.col("component") != F.col("head")) & fits(F.col("n"), F.col("pivot_n")))
-            pairs = others.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("head").alias("c_a"), F.col("component").alias("c_b")).distinct()
+            others = rows_of.filter((F.col("component") != F.col("head")) & likely(F.col("n"), F.col("low"), F.col("pivot.n"), F.col("pivot.low")))
+            more = others.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"), F.col("head").alias("c_a"), F.col("component").alias("c_b"))
         else:
-            pairs = _open_pairs(state, heads, members, sets, percent, fits)
-        merged = components(written(linked(pairs), "links")).withColumnRenamed("component", "merged")
-        now = state.join(merged, state.component == merged.node, "left")
-        state = written(now.select("key", "rep", "n", F.coalesce("merged", "component").alias("component")), "state")
-    labels = state.select(F.col("rep").alias("node"), "component").distinct()
+            more = _open_pairs(rows_of, nodes, sets, percent, likely, scratch)
+        links = linked(more if pairs is None else pairs.union(more))
+        if links.limit(1).count():
+            merged = components(links, scratch).withColumnRenamed("component", "merged")
+            labels = scratch.write(labels.join(merged, labels.component == merged.node, "left").select("rep", F.coalesce("merged", "component").alias("component")), "labels")
+    scratch.clear(members, labels)
     return (
-        members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        members.join(labels, "rep", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
 
 
-def _heads(state: DataFrame, turn: int) -> DataFrame:
-    """(key, head, pivot, pivot_n) for the buckets with several components: the component with most
-    rows there, and one of its rows, chosen by hash so that buckets with the same rows try different ones."""
-    chance = lambda x: F.xxhash64(F.lit(turn), "key", x)
-    parts = state.groupBy("key", "component").agg(F.count("*").alias("rows"), F.min_by(F.struct("rep", "n"), chance("rep")).alias("p"))
-    found = parts.groupBy("key").agg(F.max_by(F.struct("component", "p"), F.struct("rows", chance("component"))).alias("h"), F.count("*").alias("components"))
-    return found.filter("components > 1").select("key", F.col("h.component").alias("head"), F.col("h.p.rep").alias("pivot"), F.col("h.p.n").alias("pivot_n"))
+def _heads(rows: DataFrame, turn: int) -> DataFrame:
+    """(key, head, pivot (rep, n, low), size) for the buckets with several components: the component with most
+    rows there, and one of its rows, chosen by hash: the same row in all buckets at first, then different ones."""
+    chance = lambda x: F.xxhash64(F.lit(turn), *(["key"] if turn else []), x)
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("rows"), F.min_by(F.struct("rep", "n", "low"), chance("rep")).alias("p"))
+    found = parts.groupBy("key").agg(F.max_by(F.struct("component", "p"), F.struct("rows", chance("component"))).alias("h"), F.count("*").alias("components"), F.sum("rows").alias("size"))
+    return found.filter("components > 1").select("key", F.col("h.component").alias("head"), F.col("h.p").alias("pivot"), "size")
+
+
+def _pairs_of(rows: Column, likely) -> Column:
+    """Array of (a, b, c_a, c_b): the likely pairs in different components of a short array of (rep, component, n, low)."""
+    pair = lambda a: lambda b: F.struct(a["rep"].alias("a"), b["rep"].alias("b"), a["component"].alias("c_a"), b["component"].alias("c_b"))
+    later = lambda a: lambda b: (a["rep"] < b["rep"]) & (a["component"] != b["component"]) & likely(a["n"], a["low"], b["n"], b["low"])
+    return F.flatten(F.transform(rows, lambda a: F.transform(F.filter(rows, later(a)), pair(a))))
+
+
+def _all_pairs(rows: DataFrame, likely) -> DataFrame:
+    """(a, b, c_a, c_b): the likely pairs in different components of each bucket; buckets are small."""
+    lists = rows.groupBy("key").agg(F.collect_set(F.struct("rep", "component", "n", "low")).alias("rs"))
+    return lists.select(F.explode(_pairs_of(F.col("rs"), likely)).alias("p")).select("p.*")
 
 
-def _open_pairs(state: DataFrame, heads: DataFrame, members: DataFrame, sets: DataFrame, percent: int, fits) -> DataFrame:
-    """All pairs in different components of one bucket that may be linked: (a, b, c_a, c_b).
+def _open_pairs(still: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, likely, scratch: Scratch) -> DataFrame:
+    """All likely pairs in different components of one bucket: (a, b, c_a, c_b).
 
     A pair either shares a shingle that few of the open classes hold, and is
     found by it, or shares common shingles only.  Then the similarity is bounded
     by how many of those either one has, and of two such rows in one bucket one
-    lies outside the bucket's largest component.  So the bound leaves few pairs,
-    and they come once each, in the first bucket that they share.
+    lies outside the bucket's largest component.  Rows meet only at lengths that
+    the bound allows, and once each, in the first bucket that they share.
     """
-    still = written(state.join(heads.select("key", "head"), "key"), "still")
-    own = sets.join(still.select("rep").distinct(), "rep", "left_semi")
-    items = written(own.select("rep", F.explode("items").alias("item")), "items")
-    rare = written(items.groupBy("item").agg(F.count("*").alias("held")).filter(F.col("held") <= RARE), "rare")
-    scarce = written(items.join(rare, "item"), "scarce")
-    component = still.select("rep", "component").distinct()
-    met = scarce.filter("held > 1").groupBy("item").agg(F.array_sort(F.collect_set("rep")).alias("reps"))  # at most RARE
-    two = met.select(F.explode(F.flatten(F.transform("reps", lambda a: F.transform(F.filter("reps", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.*").distinct()
-    named = two.join(component.toDF("a", "c_a"), "a").join(component.toDF("b", "c_b"), "b").filter("c_a <> c_b").select("a", "b", "c_a", "c_b")
+    ids = scratch.write(still.select("rep", "component", "n", "low").distinct(), "ids")
+    own = sets.join(small(ids.select("rep"), ids.count(), BROADCAST_IDS), "rep", "left_semi")
+    items = scratch.write(own.select("rep", F.explode("items").alias("item")), "items")
+    rare = items.groupBy("item").agg(F.count("*").alias("held")).filter(F.col("held") <= RARE)
+    scarce = scratch.write(items.join(rare, "item"), "scarce")
+    met = scarce.filter("held > 1").join(ids, "rep").groupBy("item").agg(F.collect_set(F.struct("rep", "component", "n", "low")).alias("rs"))  # at most RARE ids
+    named = met.select(F.explode(_pairs_of(F.col("rs"), likely)).alias("p")).select("p.*")
 
     # an id with several texts has no bound
     single = own.groupBy("rep").agg(F.count("*").alias("texts")).filter("texts = 1")
     bound = scarce.groupBy("rep").agg(F.count("*").alias("scarce")).join(single, "rep").select("rep", "scarce")
-    keyed = members.filter("bands is not null").select("rep", "bands")
-    rows = still.join(bound, "rep", "left").join(keyed, "rep")
-    rows = written(rows.select("key", "rep", "n", "component", "bands", (F.col("n") - F.coalesce("scarce", F.lit(0))).alias("common"), (F.col("component") != F.col("head")).alias("stray")), "open")
-    side = lambda x: rows.select("key", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "common", "bands", "stray")], F.col("component").alias(f"c_{x}"))
+    rows = still.join(bound, "rep", "left").join(nodes.select("rep", "bands"), "rep").withColumn("common", F.col("n") - F.coalesce("scarce", F.lit(0)))
+    reach = F.floor(F.col("common") * (100 + percent) / percent) - F.col("n")  # the longest partner that the common shingles allow
+    rows = rows.withColumn("upto", F.least(reach, F.floor(F.col("n") * 100 / percent))).filter(F.col("upto") * 100 >= F.col("n") * percent)
+    rows = scratch.write(rows.select("key", "rep", "n", "low", "component", "bands", "common", "upto", (F.col("component") != F.col("head")).alias("stray")), "open")
+    bin_of = lambda n: F.floor(F.log(n.cast("double")) / math.log(BIN)).cast("int")
+    side = lambda x: rows.select("key", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "low", "common", "bands", "stray", "upto")], F.col("component").alias(f"c_{x}"))
     once = ~F.col("stray_b") | (F.col("a") < F.col("b"))
     enough = F.least("common_a", "common_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     first = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("key")
-    x = side("a").filter("stray_a").filter(F.col("common_a") * (100 + percent) >= (F.col("n_a") + F.ceil(F.col("n_a") * percent / 100)) * percent)
-    plain = x.join(side("b"), "key").filter((F.col("c_a") != F.col("c_b")) & once & fits(F.col("n_a"), F.col("n_b")) & enough & first).select("a", "b", "c_a", "c_b")
-    return named.union(plain)
+    x = side("a").filter("stray_a").withColumn("bin", F.explode(F.sequence(bin_of(F.ceil(F.col("n_a") * percent / 100)), bin_of(F.col("upto_a")))))
+    close = likely(F.col("n_a"), F.col("low_a"), F.col("n_b"), F.col("low_b"))
+    plain = x.join(side("b").withColumn("bin", bin_of(F.col("n_b"))), ["key", "bin"]).filter((F.col("c_a") != F.col("c_b")) & once & enough & close & first)
+    return named.union(plain.select("a", "b", "c_a", "c_b"))
