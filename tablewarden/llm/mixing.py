@@ -17,9 +17,10 @@ The one bound: per-source rows (name, size, threshold) are broadcast while
 there are at most `broadcast_sources` of them, else joined by shuffle.
 
 Defined results: null and empty texts have size 0 and take 0.  Null is a source
-of its own, last.  Rows with one id stand or fall together.  An empty table
-gives an empty result.  Columns other than id, text and source pass through
-`mix` untouched.
+of its own, last.  Rows with one id stand or fall together, so a repeated row
+comes as often as the mix takes it, each time.  Texts are counted whole.  An
+empty table gives an empty result.  `mix` reads id, text and source only;
+`mix_documents` passes all columns through and replaces one called copies.
 """
 
 from __future__ import annotations
@@ -113,17 +114,17 @@ def mix(
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """All columns of `docs`, whatever they are called, and `copies`: how often the mix takes the row.
 
-    Takes the options of `mix`.
+    An input column `copies` is replaced.  Takes the options of `mix`.
     """
     _, cuts = mix(docs, **options)
-    at = place(F.col(options.get("id_col", "doc_id")))
-    bound = options.get("broadcast_sources", BROADCAST_SOURCES)
-    return copies_of(docs, cuts, options.get("source_col", "source"), at, bound).select(*docs.columns, "copies")
+    names = [c for c in docs.columns if c != "copies"]
+    rows = docs.select(F.col(options.get("source_col", "source")).alias("source"), place(F.col(options.get("id_col", "doc_id"))).alias("place"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    return copies_of(rows, cuts, "source", F.col("place"), options.get("broadcast_sources", BROADCAST_SOURCES)).select("row.*", "copies")
 
 
-def copies_of(docs: DataFrame, cuts: DataFrame, source_col: str, at: Column, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """`docs` with source_size, target and copies (how often the mix takes the row)."""
+def copies_of(rows: DataFrame, cuts: DataFrame, source_col: str, at: Column, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """`rows`, which have no columns of `cuts`, with source_size, target and copies (how often the mix takes the row)."""
     right = cuts.withColumnRenamed("source", "__source")
     right = F.broadcast(right) if cuts.count() <= broadcast_sources else right
-    joined = docs.join(right, F.col(source_col).eqNullSafe(F.col("__source")))
+    joined = rows.join(right, F.col(source_col).eqNullSafe(F.col("__source")))
     return joined.withColumn("copies", F.col("passes") + (at < F.col("cut")).cast("long")).drop("__source", "passes", "cut")

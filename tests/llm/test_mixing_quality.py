@@ -26,8 +26,10 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         copies = [r["copies"] for r in extra]
         assert copies == sorted(copies, reverse=True)
     assert abs(sum({r["source"]: r["target"] for r in found.values()}.values()) - 1.5 * sum(r["size"] for r in found.values())) < 1e-6
-    mixed = mix_documents(docs)
-    assert mixed.columns == [*docs.columns, "copies"] and mixed.count() == 600
+    clashing = docs.withColumns({c: F.lit(7) for c in ("target", "cut", "passes", "source_size", "size", "copies", "row")})
+    mixed = mix_documents(clashing)
+    assert mixed.columns == [c for c in clashing.columns if c != "copies"] + ["copies"]
+    assert {(r["doc_id"], r["copies"]) for r in mixed.filter("target + cut + passes + source_size + size + row = 42").collect()} == {(i, r["copies"]) for i, r in found.items()}
 
 
 def test_mix_of_nothing_and_of_empty_texts(spark):
