@@ -1,21 +1,24 @@
 """Language identification with word-first backoff.
 
 A document's words are runs of letters in lower case.  A word that training saw
-often enough is scored by its log frequency in each language.  Any other word
-falls back to its character n-grams, the longest first: the mean log frequency of
-those of its n-grams (padded with a blank at both ends) that training knows, at
-the greatest length where it knows any.  Scores add up over all words; the
-language with the highest one wins.
+is scored by its log frequency in each language.  Any other word falls back to
+its character n-grams, the longest first: the mean log frequency of those of its
+n-grams (padded with a blank at both ends) that training knows, at the greatest
+length where it knows any.  Scores add up over all words; the language with the
+highest one wins.
 
 Training counts words and n-grams with Spark over a bounded sample of labelled
-rows: at most `fit_rows` rows of each language are expected, chosen by hash of
-the id.  The model keeps the `max_words` most frequent words and `max_grams`
-n-grams of each length; it has a fixed size, so it is broadcast.  Prediction is
-one narrow scan of Arrow batches over whole texts.
-
-Defined results: null texts and those without a letter are ``und`` with score 0,
-as are all texts if nothing was learned.  Equal scores go to the language that
-sorts first.  Repeated rows are judged alike.  Columns pass through.
+texts: about `fit_rows` of each language, chosen by hash of id and text, repeated
+rows once.  The model keeps all their words and n-grams, so its size is that of
+the sample's vocabulary, and it is broadcast.  Prediction is one narrow scan of
+Arrow batches over whole texts.
+
+Defined results: null texts and those without a letter (digits, numerals like
+roman or fraction characters and marks are none) are ``und`` with score 0, as are
+all texts if nothing was learned.  Equal scores go to the language that sorts
+first.  Very long texts are counted whole.  Repeated rows are judged alike.  Empty
+tables give empty results.  Columns pass through, but lang_pred and score are
+replaced.
 """
 
 from __future__ import annotations
@@ -30,14 +33,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIT_ROWS, MAX_WORDS, MAX_GRAMS = 2_000, 40_000, 20_000
+from .common import Scratch
+
+FIT_ROWS = 2_000
 GRAMS = (5, 4, 3, 2, 1)
 #: Unseen words kept with their score in one task.
 CACHE = 100_000
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # and other numerals than digits, which `letter_words` cuts out
 UNDETERMINED = "und"
 
 
+def letter_words(text: str | None) -> Counter[str]:
+    """Runs of letters (Unicode's categories L) in lower case, counted."""
+    found = Counter(LETTERS.findall((text or "").lower()))
+    for word in [w for w in found if not w.isalpha()]:
+        n = found.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            found[part] += n
+    return found
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
@@ -78,7 +93,7 @@ class Scorer:
         return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(LETTERS.findall((text or "").lower()))
+        words = letter_words(text)
         if not words or not self.model.languages:
             return UNDETERMINED, 0.0
         rows, extra = list(map(self.at.get, words)), 0.0
@@ -100,41 +115,34 @@ def _letter_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def _scores(counts: pd.DataFrame, key: str, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Index of the keys, and their smoothed log relative frequencies by language."""
-    names = {k: i for i, k in enumerate(sorted(counts[key].unique()))}
-    table = np.full((len(names), len(languages)), 0.5)
-    where = {k: i for i, k in enumerate(languages)}
-    for k, lang, n in counts[[key, "lang", "n"]].itertuples(index=False):
-        table[names[k], where[lang]] += n
-    return names, np.log(table / table.sum(axis=0, keepdims=True)) if len(names) else table
+def _scores(counts: DataFrame, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Index of the keys of `counts` (lang, key, n), and their smoothed log relative frequencies by language."""
+    of = lambda lang: F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0))
+    table = counts.groupBy("key").agg(F.array(*map(of, languages)).alias("n")).toArrow().sort_by("key")
+    seen = table["n"].combine_chunks().flatten().to_numpy().reshape(-1, len(languages)) + 0.5
+    return {k: i for i, k in enumerate(table["key"].to_pylist())}, np.log(seen / seen.sum(axis=0, keepdims=True))
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
     """Learn from the rows of `docs` that have a language and a text."""
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
+    labelled = docs.select(F.xxhash64(F.lit(6), F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], {}, {n: {} for n in GRAMS}, np.zeros((0, 0)), {n: np.zeros((0, 0)) for n in GRAMS})
     share = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, fit_rows / sizes[lang]))]), F.col("lang"))
-    sample = labelled.filter(F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1 << 30)) < share * (1 << 30))
+    sample = labelled.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "h"])
+    scratch = Scratch(docs.sparkSession)
     words = sample.select("lang", F.explode(_letter_words(F.col("text"))).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
-    words = words.persist()
-
-    def top(counts: DataFrame, most: int, least: int) -> pd.DataFrame:
-        total = counts.groupBy("key").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-        kept = total.orderBy(F.desc("total"), "key").limit(most).select("key")
-        return counts.join(kept, "key").toPandas()
-
-    known, word_scores = _scores(top(words, max_words, 3), "key", languages)
+    words = scratch.write(words, "words")
+    known, word_scores = _scores(words, languages)
     grams, gram_scores = {}, {}
     padded = F.concat(F.lit(" "), F.col("key"), F.lit(" "))
     for n in GRAMS:
         starts = F.filter(F.sequence(F.lit(1), F.length("key") + 2), lambda i: i <= F.length("key") + 3 - n)
         cut = words.select("lang", "n", F.explode(F.transform(starts, lambda i: F.substr(padded, i, F.lit(n)))).alias("key"))
-        grams[n], gram_scores[n] = _scores(top(cut.groupBy("lang", "key").agg(F.sum("n").alias("n")), max_grams, 3), "key", languages)
-    words.unpersist()
+        grams[n], gram_scores[n] = _scores(cut, languages)
+    scratch.clear()
     return Model(languages, known, grams, word_scores, gram_scores)
 
 
