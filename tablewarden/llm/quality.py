@@ -7,12 +7,16 @@ expectation-maximisation estimates each rule's accuracy on good and on bad
 documents and the share of good ones; the posterior probability of being good
 replaces the all-rules-must-pass filter.  A hard base test stays in front.
 
-Scale: one scan, no shuffle of texts or documents, one aggregation to at most
-3**R rows, which are also all that the driver sees.
+Scale: no shuffle of texts or documents and none written: one scan counts the
+vote patterns, at most 3**R rows, which are also all that the driver sees, and
+a second one measures again and judges.  Who wants the verdicts without the
+texts keeps what `voted` gives (a few numbers a document) and measures once.
 
 Defined results: a null text counts as empty; without a word every measure is 0
-and the base test fails.  Repeated rows are judged alike.  An empty table gives
-an empty result.  All columns of the input pass through.
+and the base test fails.  Very long texts are measured whole.  Repeated rows are
+judged alike.  An empty table gives an empty result.  Columns pass through, but
+those the result adds (m, votes, base_failed, quality, kept) and one called v are
+replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import pieces
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+#: The columns of a verdict.
+NAMES = ("m", "votes", "base_failed", "quality", "kept")
 #: Words without a letter.
 BARE = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
 
@@ -91,13 +97,13 @@ def repeated_words(w: Column, n: Column, window: int = WINDOW) -> Column:
     return F.when(n < window, F.lit(0)).otherwise(_then(hashes, of))
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the measures, all long, in a struct `m`.
+def measures(text: Column) -> Column:
+    """Struct of the measures, all long.
 
     Words and lines are bound inside one expression, so that their arrays are
     never written into rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(text.cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
 
@@ -109,7 +115,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(*[value.cast("long").alias(name) for name, value in fields.items()])
 
     whole = lambda p: _then(F.array_remove(p, ""), lambda w: _then(lines, lambda found: of(F.length(text) - F.size(p) + 1, w, found)))
-    return docs.withColumn("m", _then(pieces(text), whole))
+    return _then(pieces(text), whole)
 
 
 def base_failed() -> str:
@@ -146,17 +152,40 @@ def posterior(votes: tuple[int | None, ...], share: float, rates: list[tuple[flo
     return good / (good + bad)
 
 
-def _vote(rule: Rule) -> Column:
-    return F.expr(re.sub(r"\b(n_\w+|word_chars)\b", r"m.\1", f"case when {rule.bad} then 0 when {rule.good} then 1 end"))
+def _voted(rules: tuple[Rule, ...]) -> Column:
+    """(m, votes, base_failed) of `__m`, the measures as an array of one; they stand in one place, so that no rewriting of a plan repeats them."""
+    of = lambda sql: re.sub(r"\b(n_\w+|word_chars)\b", r"m.\1", sql)
+    votes = ", ".join(f"case when {of(r.bad)} then 0 when {of(r.good)} then 1 end" for r in rules)
+    fields = f"named_struct('m', m, 'votes', array({votes}), 'base_failed', {of(base_failed())})"
+    return F.get(F.expr(f"transform(__m, m -> {fields})"), F.lit(0))
+
+
+def voted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """`docs` with `v`: m (measures), votes and base_failed."""
+    return docs.withColumn("__m", F.array(measures(F.col(text_col)))).withColumn("v", _voted(rules)).drop("__m")
+
+
+def learn(votes: DataFrame, rounds: int = 20) -> tuple[float, list[tuple[float, float]]]:
+    """`estimate` over the counted patterns of `voted` rows that pass the base test."""
+    counted = votes.groupBy("v.base_failed", "v.votes").agg(F.count("*").alias("n")).collect()
+    return estimate(sorted(((tuple(r["votes"]), r["n"]) for r in counted if not r["base_failed"]), key=str), rounds)
+
+
+def judged(votes: DataFrame, learned: tuple[float, list[tuple[float, float]]], threshold: float = 0.5) -> DataFrame:
+    """`voted` rows with m, votes, base_failed, `quality` (posterior, null where the base test failed) and `kept` in place of v."""
+    share, rates = learned
+
+    def of(v: Column) -> Column:
+        factor = lambda good: [F.when(v["votes"][j] == 1, F.lit(a if good else 1 - b)).when(v["votes"][j] == 0, F.lit(1 - a if good else b)).otherwise(F.lit(1.0)) for j, (a, b) in enumerate(rates)]
+        good, bad = (reduce(operator.mul, factor(g), F.lit(p)) for g, p in ((True, share), (False, 1 - share)))
+        quality = F.when(~v["base_failed"], good / (good + bad))
+        return _then(quality, lambda q: F.struct(*[v[c].alias(c) for c in NAMES[:3]], q.alias("quality"), F.coalesce(q >= threshold, F.lit(False)).alias("kept")))
+
+    names = [F.col(f"`{c}`") for c in votes.columns if c not in (*NAMES, "v")]
+    return votes.withColumn("v", _then(F.col("v"), of)).select(*names, *[F.col("v")[c].alias(c) for c in NAMES])
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, rounds: int = 20) -> DataFrame:
-    """`docs` with `m` (measures), `votes`, `base_failed`, `quality` (posterior, null where the base test failed) and `kept`."""
-    scored = written(measured(docs, text_col).withColumn("votes", F.array(*map(_vote, rules))).withColumn("base_failed", F.expr(re.sub(r"\b(n_\w+)\b", r"m.\1", base_failed()))), "votes")
-    counted = scored.filter("not base_failed").groupBy("votes").agg(F.count("*").alias("n")).collect()
-    patterns = sorted(((tuple(r["votes"]), r["n"]) for r in counted), key=str)
-    share, rates = estimate(patterns, rounds)
-    factor = lambda good: [F.when(F.col("votes")[j] == 1, F.lit(a if good else 1 - b)).when(F.col("votes")[j] == 0, F.lit(1 - a if good else b)).otherwise(F.lit(1.0)) for j, (a, b) in enumerate(rates)]
-    good, bad = (reduce(operator.mul, factor(g), F.lit(p)) for g, p in ((True, share), (False, 1 - share)))
-    quality = F.when(~F.col("base_failed"), good / (good + bad))
-    return scored.withColumn("quality", quality).withColumn("kept", F.coalesce(F.col("quality") >= threshold, F.lit(False)))
+    """`docs` with `m` (measures), `votes`, `base_failed`, `quality` and `kept`, in two scans."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    return judged(voted(docs, text_col, rules), learn(voted(texts, rules=rules), rounds), threshold)

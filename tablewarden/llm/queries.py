@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from . import langid, ranking, secrets
 from .captures import page_captures
-from .common import held_out, table
+from .common import held_out, table, written
 from .decontam import find_leaks
 from .linededup import dedup_lines
 from .mixing import mix
 from .neardup import near_duplicates
 from .oracle import oracle_sql  # noqa: F401
-from .quality import judge
+from .quality import judged, learn, voted
 from .revisits import resolve_revisits
 from .urlfilter import judge_urls
 
@@ -39,8 +39,8 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept", "quality")
+    votes = written(voted(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "votes")
+    return judged(votes, learn(votes)).select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept", "quality")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
