@@ -15,7 +15,9 @@ can come and go and the counts are as if it had never been there.
 points in at least `min_docs` documents lose their lines everywhere but in the
 largest id that holds them.  A second set of filters, of the repeated keys
 only, lets the documents' lines pass without a shuffle unless they may be
-repeated; the exact counts then decide.
+repeated; the exact counts then decide.  Shards grow in number with the keys, so
+that none outgrows a task, and the postings of several insertions are written as
+one from time to time.
 
 A hot line costs one posting for each document; counting is partial before
 the shuffle.  Filters are broadcast only while their bytes are below
@@ -23,9 +25,12 @@ the shuffle.  Filters are broadcast only while their bytes are below
 group is unbounded.
 
 Defined results: null and empty texts are one empty line and never change.
-Rows that share an id are one document.  A row with a null id holds no key; its
-repeated lines go.  Empty tables give empty results.  Only the id and the text
-are read; `resolve` returns all columns of its input with the text replaced.
+Rows that share an id are one document, also when they are inserted one after the
+other; repeated rows count once.  A row with a null id holds no key; its repeated
+lines go.  Very long texts are cut whole.  Ids to delete that are not there change
+nothing.  Empty tables give empty results.  Only the id and the text are read;
+`resolve` returns all columns of its input with the text replaced, and n_lines and
+n_dropped too where the input has them.
 """
 
 from __future__ import annotations
@@ -40,13 +45,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, written
+from .common import SEPARATORS, Scratch, small, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys that one shard's filter is sized for; the number of shards follows the number of keys.
 SHARD_KEYS = 1 << 17
 BROADCAST_BYTES = 32 << 20
 SLOTS, KICKS = 4, 500
+#: Ids that are broadcast; more meet the postings in a shuffled join.
+BROADCAST_IDS = 1_000_000
+#: Insertions after which the postings are written as one.
+PARTS = 8
 
 
 def key_of(line: str, min_chars: int = MIN_CHARS) -> tuple[int, int] | None:
@@ -85,27 +94,37 @@ class CuckooFilter:
         p, a, b = self._places(keys)
         return (self.table[a] == p[:, None]).any(axis=1) | (self.table[b] == p[:, None]).any(axis=1)
 
+    def _settle(self, prints: np.ndarray, places: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """Put in those of `who` that find a free slot at their place; returns the others."""
+        who = who[np.argsort(places[who], kind="stable")]
+        at = places[who].astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        turn = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+        free = self.table[at] == 0
+        slot = free & (np.cumsum(free, axis=1) == turn[:, None] + 1)
+        found = slot.any(axis=1)
+        self.table[at[found], slot[found].argmax(axis=1)] = prints[who[found]]
+        return who[~found]
+
     def insert(self, keys: np.ndarray) -> None:
         """Adds keys that are not in yet; a full filter raises OverflowError."""
         rng = np.random.default_rng(1)
-        for p, a, b in zip(*self._places(keys), strict=True):
-            for place in (a, b):
+        prints, first, second = self._places(keys)
+        rest = np.arange(len(prints))
+        for places in (first, second):
+            if len(rest):
+                rest = self._settle(prints, places, rest)
+        for p, place in zip(prints[rest], second[rest], strict=True):
+            for _ in range(KICKS):
+                slot = rng.integers(SLOTS)
+                p, self.table[place, slot] = self.table[place, slot], p
+                place = self._other(place, p)
                 free = np.flatnonzero(self.table[place] == 0)
                 if len(free):
                     self.table[place, free[0]] = p
                     break
             else:
-                place = b
-                for _ in range(KICKS):
-                    slot = rng.integers(SLOTS)
-                    p, self.table[place, slot] = self.table[place, slot], p
-                    place = self._other(place, p)
-                    free = np.flatnonzero(self.table[place] == 0)
-                    if len(free):
-                        self.table[place, free[0]] = p
-                        break
-                else:
-                    raise OverflowError("cuckoo filter is full")
+                raise OverflowError("cuckoo filter is full")
 
     def delete(self, keys: np.ndarray) -> None:
         for p, a, b in zip(*self._places(keys), strict=True):
@@ -204,6 +223,10 @@ def _may_hold(keys: DataFrame, filters: DataFrame, shards: int, broadcast_bytes:
     return salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(meet, schema)
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 @dataclass(frozen=True)
 class LineIndex:
     """One state of the index; see the module's docstring."""
@@ -212,39 +235,61 @@ class LineIndex:
     counts: DataFrame
     filters: DataFrame
     shards: int
+    scratch: Scratch
+    parts: int = 1
     min_chars: int = MIN_CHARS
     broadcast_bytes: int = BROADCAST_BYTES
 
     @staticmethod
     def build(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> LineIndex:
-        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        postings = written(_postings(source, min_chars), "postings")
-        counts = written(_counted(postings), "counts")
+        scratch = Scratch(docs.sparkSession)
+        postings = written(_postings(_source(docs, id_col, text_col), min_chars), "postings")
+        counts = scratch.write(_counted(postings), "counts")
         shards = _shards_for(counts.count())
-        return LineIndex(postings, counts, written(_filters(counts, shards), "filters"), shards, min_chars, broadcast_bytes)
+        return LineIndex(postings, counts, scratch.write(_filters(counts, shards), "filters"), shards, scratch, 1, min_chars, broadcast_bytes)
 
     def insert(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """The state with `docs` added; their ids must be new."""
-        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        fresh = written(_postings(source, self.min_chars).filter("doc_id is not null").distinct(), "postings")
-        probed = written(_may_hold(fresh, self.filters, self.shards, self.broadcast_bytes), "probed")
+        """The state with `docs` added; of ids that are there, lines that their document holds already count once."""
+        scratch = Scratch(docs.sparkSession)
+        fresh = scratch.write(_postings(_source(docs, id_col, text_col), self.min_chars).filter("doc_id is not null").distinct(), "fresh")
+        ids = scratch.write(fresh.select("doc_id").distinct(), "ids")
+        held = self.postings.join(small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_semi")
+        fresh = written(fresh.join(held, ["doc_id", "k1", "k2"], "left_anti"), "postings")
+        probed = scratch.write(_may_hold(fresh, self.filters, self.shards, self.broadcast_bytes), "probed")
         added = probed.groupBy("k1", "k2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"), F.first("maybe").alias("maybe"))
         known = added.filter("maybe").join(self.counts.select("k1", "k2", F.col("docs").alias("old_docs"), F.col("last").alias("old_last")), ["k1", "k2"], "left")
         merged = known.select("k1", "k2", (F.col("docs") + F.coalesce("old_docs", F.lit(0))).alias("docs"), F.greatest("last", "old_last").alias("last"))
         counts = self.counts.join(merged.select("k1", "k2"), ["k1", "k2"], "left_anti").union(merged).union(added.filter("not maybe").select("k1", "k2", "docs", "last"))
-        counts = written(counts, "counts")
-        fresh_keys = added.filter("not maybe").select("k1", "k2").union(known.filter("old_docs is null").select("k1", "k2"))
-        return LineIndex(self.postings.union(fresh), counts, written(self._changed(fresh_keys, grow=True), "filters"), self.shards, self.min_chars, self.broadcast_bytes)
+        counts = scratch.write(counts, "counts")
+        shards = max(self.shards, _shards_for(counts.count()))
+        if shards > self.shards:
+            filters = scratch.write(_filters(counts, shards), "filters")
+        else:
+            fresh_keys = added.filter("not maybe").select("k1", "k2").union(known.filter("old_docs is null").select("k1", "k2"))
+            filters = scratch.write(self._changed(fresh_keys, grow=True), "filters")
+        scratch.clear(counts, filters)
+        postings, parts = self.postings.union(fresh), self.parts + 1
+        if parts > PARTS:
+            postings, parts = written(postings, "postings"), 1
+        return LineIndex(postings, counts, filters, shards, scratch, parts, self.min_chars, self.broadcast_bytes)
 
     def delete(self, ids: DataFrame, *, id_col: str = "doc_id") -> LineIndex:
         """The state without the documents whose ids are in `ids`."""
-        gone = ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-        touched = self.postings.join(gone, "doc_id", "left_semi").select("k1", "k2").distinct()
+        scratch = Scratch(ids.sparkSession)
+        gone = scratch.write(ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "gone")
+        gone = small(gone, gone.count(), BROADCAST_IDS)
+        touched = scratch.write(self.postings.join(gone, "doc_id", "left_semi").select("k1", "k2").distinct(), "touched")
         rest = written(self.postings.join(gone, "doc_id", "left_anti"), "postings")
-        recount = written(_counted(rest.join(touched, ["k1", "k2"], "left_semi")), "recount")
-        counts = written(self.counts.join(touched, ["k1", "k2"], "left_anti").union(recount), "counts")
+        recount = scratch.write(_counted(rest.join(touched, ["k1", "k2"], "left_semi")), "recount")
+        counts = scratch.write(self.counts.join(touched, ["k1", "k2"], "left_anti").union(recount), "counts")
         dead = touched.join(recount, ["k1", "k2"], "left_anti")
-        return LineIndex(rest, counts, written(self._changed(dead, grow=False), "filters"), self.shards, self.min_chars, self.broadcast_bytes)
+        filters = scratch.write(self._changed(dead, grow=False), "filters")
+        scratch.clear(counts, filters)
+        return LineIndex(rest, counts, filters, self.shards, scratch, 1, self.min_chars, self.broadcast_bytes)
+
+    def forget(self) -> None:
+        """Delete this state's counts and filters, once a later state has its own."""
+        self.scratch.clear()
 
     def _changed(self, keys: DataFrame, grow: bool) -> DataFrame:
         """The filters with `keys` inserted or deleted; a full shard gets a larger filter from `counts`."""

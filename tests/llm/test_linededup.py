@@ -61,6 +61,23 @@ def test_insert_and_delete_are_as_if_never(spark):
     assert counts == again
 
 
+def test_known_ids_repeated_rows_and_growing_shards(spark, monkeypatch):
+    """An id that comes again is the same document, and shards and postings follow the number of keys and insertions."""
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    line = "a line of more than twenty characters"
+    index = LineIndex.build(frame([(1, line), (1, line), (2, line)])).insert(frame([(1, line), (2, f"{line}\n{line} two")]))
+    assert sorted(r["docs"] for r in index.counts.collect()) == [1, 2]
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 8)
+    monkeypatch.setattr(linededup, "PARTS", 2)
+    rows = [(i, "\n".join(f"line {i % 7 * 40 + k} with more than twenty characters" for k in range(40))) for i in range(30)]
+    index = LineIndex.build(frame(rows[:1]).limit(0))
+    for i in range(0, 30, 10):
+        index = index.insert(frame(rows[i : i + 10]))
+    assert index.shards >= 16 and index.parts < 3
+    assert result(index.resolve(frame(rows))) == brute(rows)
+    assert result(index.delete(frame(rows[:10] + [(999, "")])).resolve(frame(rows[10:]))) == brute(rows[10:])
+
+
 def test_empty_table_and_null_ids(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     line = "a line of more than twenty characters"
