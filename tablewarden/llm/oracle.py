@@ -92,13 +92,17 @@ with u as (
 ), rules(key, h, p, v) as (
     values ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
         ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+), parts as (
+    select distinct host as h, regexp_extract(path, '^/[^/]+/') as p from u where regexp_extract(path, '^/[^/]+/') <> ''
+), listed as (
+    select h, p from parts where substr(md5(h || p), 1, 1) in ('0', '1', '2', '3')
+    union all select a || '.example.' || b, '' from (values ('cheap-pills'), ('spam-farm')) as x(a), (values ('com'), ('net'), ('org')) as y(b)
 ), best as (
     select page_id, arg_max(key, length(key)) as rule, arg_max(v, length(key)) as v from u join rules
         on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id
-)
-select page_id, host, path, rule,
-    coalesce(v, case when regexp_matches(host, '(^|\\.)(cheap-pills|spam-farm)\\.example\\.(com|net|org)$') then 'block' else 'allow' end) as verdict
-from u left join best using (page_id)
+), blocked as (select distinct page_id, true as b from u join listed on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select page_id, host, path, rule, coalesce(v, case when b then 'block' else 'allow' end) as verdict
+from u left join best using (page_id) left join blocked using (page_id)
 """
 
 SOURCE_MIX = """

@@ -21,7 +21,7 @@ from .neardup import near_duplicates
 from .oracle import oracle_sql  # noqa: F401
 from .quality import judged, learn, voted
 from .revisits import resolve_revisits
-from .urlfilter import judge_urls
+from .urlfilter import host_of, judge_urls, path_of
 
 #: The rules by host and path, and the hosts to block where no rule fits.
 URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -60,10 +60,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def listed_keys(pages: DataFrame) -> DataFrame:
+    """Keys to block, made by rule: the blocked hosts, and of all hosts with the first part of a path those whose MD5 begins with 0 to 3."""
+    hosts = pages.sparkSession.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
+    parts = pages.select(F.concat(host_of(F.col("url")), F.regexp_extract(path_of(F.col("url")), "^/[^/]+/", 0)).alias("key"))
+    return hosts.union(parts.filter(F.contains("key", F.lit("/")) & F.md5(F.col("key").cast("binary")).rlike("^[0-3]")).distinct())
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "key string, verdict string")
-    listed = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
-    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules, listed).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, rules, listed_keys(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

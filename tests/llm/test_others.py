@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm import langid, ranking, secrets
 from tablewarden.llm.revisits import canonical, resolve_revisits
-from tablewarden.llm.urlfilter import candidates, cascade, judge_urls
+from tablewarden.llm.common import Scratch
+from tablewarden.llm.urlfilter import candidates, cascade, judge_urls, then
 
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
@@ -42,8 +43,8 @@ def test_url_verdicts_are_those_of_a_plain_loop(spark):
     listed = ["bad.org"] + [f"host{i}.org" for i in range(0, 400, 3)] + [f"host{i}.info/p/" for i in range(0, 400, 5)]
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, key int")
     rules, keys = spark.createDataFrame(list(RULES.items()), "key string, verdict string"), spark.createDataFrame([(k,) for k in listed], "key string")
-    for size in (1 << 22, 1):  # the cascade, and the join beyond its size
-        found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(pages, rules, keys, literal_bytes=size).collect()}
+    for size in (1 << 22, 150):  # one round, and several
+        found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(pages, rules, keys, table_bytes=size).collect()}
         assert found == {i: verdict(u, listed) for i, u in enumerate(urls)}
     assert judge_urls(pages.limit(0), rules, keys).count() == 0
     assert {r["verdict"] for r in judge_urls(pages, rules.limit(0), keys.limit(0)).collect()} == {"allow"}
@@ -52,10 +53,11 @@ def test_url_verdicts_are_those_of_a_plain_loop(spark):
 def test_cascade_is_exact_on_its_universe(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.filter("crc32(key) % 40 = 0")
-    made = cascade(listed, universe.subtract(listed))
+    made = cascade(listed, universe.subtract(listed), Scratch(spark))
     assert len(made.levels) > 1
-    assert {r["key"] for r in universe.filter(made.holds(F.col("key"))).collect()} == {r["key"] for r in listed.collect()}
-    assert made.size < 20_000 / 8
+    found = universe.filter(then(made.table(), lambda w: made.holds(F.col("key"), w)))
+    assert {r["key"] for r in found.collect()} == {r["key"] for r in listed.collect()}
+    assert sum(x.bits for x in made.levels) < 20_000
     assert universe.limit(1).select(candidates(F.lit("a.b.c"), F.lit("/x/y"), [1, 3, 9], [0, 2, 9])).first()[0] == ["c", "c/x", "a.b.c", "a.b.c/x"]
 
 
@@ -96,9 +98,9 @@ def test_languages_are_told_apart_by_words_then_grams(spark):
     text = lambda lang: " ".join(rng.choice(stems[lang]) + rng.choice(("", "s", "an")) for _ in range(20))
     rows = [(i, text(lang), lang) for i in range(60) for lang in ("aa", "bb")] + [(900, "x", None), (901, None, "aa")]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    tests = [(1, "Lopa lopas", 0), (2, "lopax mirutin", 0), (3, "gnirfwhump, zdro", 0), (4, None, 0), (5, "12 _ 3!", 0), (6, "", 0)]
+    tests = [(1, "Lopa lopas", 0), (2, "lopax mirutin", 0), (3, "gnirfwhump, zdro", 0), (4, None, 0), (5, "12 _ 3!", 0), (6, "", 0), (7, "½ ²", 0), (8, "Ⅷ", 0), (9, "½lopa²Ⅷ", 0)]
     found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(tests, "doc_id long, text string, score int"), model).collect()}
-    assert [found[i][0] for i in range(1, 7)] == ["aa", "aa", "bb", "und", "und", "und"]
+    assert [found[i][0] for i in range(1, 10)] == ["aa", "aa", "bb", "und", "und", "und", "und", "und", "aa"] and found[7][1] == 0
     assert all(0 <= s <= 1 for _, s in found.values())
     assert np.allclose(model.of_word("lopa"), model.word_scores[model.words["lopa"]])
     nothing = langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
