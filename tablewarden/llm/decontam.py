@@ -8,29 +8,36 @@ shuffle, by a bit table of fixed size; in the others all windows over a shared s
 item of that length are taken.  A document of fewer than m shingles is one window
 as a whole.
 
-* SimHash: 64 counters, one for each bit, as four 16-bit lanes in each of 16
-  longs; a document's prefix sums give each window's counters by subtraction.
+* SimHash: 64 counters, two in each of 32 longs, which no array can overflow.
+  Windows of up to 512 shingles are summed as they are; for longer ones sums of
+  blocks of 256 shingles are added up once a document, and a window takes two
+  of those and the ends of two blocks, so its cost does not grow with the item.
   A shingle counts as often as it occurs: that is its weight.
 * Multi-index Hamming search: a fingerprint is cut into 8 blocks of 8 bits.
   Within distance `radius` some block differs by at most radius // 8 bits, so
   items are entered under all such neighbours of each block and every
-  fingerprint within the radius is found by equality.  A pair is taken at its
-  first close block only, so no pair comes twice.
+  fingerprint within the radius is found by equality.
 * The exact weighted Jaccard similarity of the shingles, sum of the smaller
-  weights over sum of the larger ones, must reach `percent`.
-
+  weights over sum of the larger ones, must reach `percent`.  For a document and
+  an item that met, each place of a shared shingle counts in an interval of
+  window starts, so the running sum of their ends gives the similarity of all
+  windows, in time linear in the places.
 * Documents shorter than an item meet it by shared shingles instead of SimHash,
   whose odds are worse for few shingles of unequal number: of its shingles in the
   benchmark so many, the rarest first, that no item at the similarity lacks all.
 
-Scale: no text is shuffled but those of the documents that share a shingle with
-the benchmark, which are read a second time for their windows.  The bit table has a fixed size; item
-tables are broadcast only up to `broadcast_rows` rows, else joined by shuffle.
-
-Defined results: null or empty texts and items match nothing.  Equal items all
-match.  Rows with one id are examined each for itself and reported once for
-each item.  A row with a null id is reported under null.  Empty tables give
-empty results.  Words are compared in lower case.
+Scale: no text is shuffled but the hashes of those documents that share enough
+shingles with the benchmark, which are read a second time for their windows.
+The bit table has 64 bits and more for each benchmark shingle up to 2**27 bits in
+all (16 MB); beyond two million shingles it passes more of the others to the
+exact join, 3% at sixteen million.  Tables of items are broadcast only
+where their rows take `broadcast_bytes` at most, else joined by shuffle.
+
+Defined results: null or empty texts and items match nothing.  Items and texts
+may be of any length.  Equal items all match.  Rows with one id are examined each
+for itself and reported once for each item.  A row with a null id is reported
+under null.  Empty tables give empty results.  Words are compared in lower case.
+Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -39,15 +46,20 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import words, written
+from .common import Scratch, small, words
 
 WIDTH, PERCENT, RADIUS = 5, 80, 20
 BLOCKS, BLOCK_BITS = 8, 8
-TABLE_BITS = 20
-BROADCAST_ROWS = 2_000_000
-#: One bit in each of four 16-bit lanes.
-LANES = 0x0001000100010001
+TABLE_BITS, MOST_TABLE_BITS = 20, 27
+BROADCAST_BYTES = 32 << 20
+#: What a row of a few longs takes in a broadcast, at most.
+ROW_BYTES = 96
+#: One bit in each of two 32-bit lanes.
+LANES = 0x0000000100000001
+#: Shingles to a block of sums, and the longest window that is summed without them.
+BLOCK, DIRECT = 256, 512
 
 
 def shingles(w: Column, width: int) -> Column:
@@ -57,33 +69,34 @@ def shingles(w: Column, width: int) -> Column:
     return F.get(F.transform(F.filter(F.array(w), lambda w: F.size(w) >= width), of), F.lit(0))
 
 
-def simhash(h: Column) -> Column:
-    """Fingerprint of an array of fewer than 2**15 hashes: bit b is set where more than half of them have it."""
-    half = F.size(h) / 2
-    lanes_at = lambda k: lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(LANES))
-    sums = [F.aggregate(h, F.lit(0).cast("long"), lanes_at(k)) for k in range(16)]
+def _then(value: Column, use) -> Column:
+    """use(value), with `value` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    def bits(total: Column, k: int) -> Column:
-        lane = lambda j: F.shiftrightunsigned(total, 16 * j).bitwiseAND(F.lit(0xFFFF))
-        out = F.lit(0).cast("long")
-        for j in range(4):
-            out = out + F.when(lane(j) > half, F.shiftleft(F.lit(1).cast("long"), 16 * j + k)).otherwise(F.lit(0).cast("long"))
-        return out
+def simhashes(h: Column, starts: Column, m: Column, direct: int = DIRECT) -> Column:
+    """Fingerprints of the windows of `m` hashes of `h` at `starts`: bit b is set where more than half of them have it."""
 
-    out = F.lit(0).cast("long")
-    bits_at = lambda k: lambda t: bits(t, k)
-    for k, total in enumerate(sums):
-        out = out + F.get(F.transform(F.array(total), bits_at(k)), F.lit(0))
-    return out
+    zero, one, ks = F.lit(0).cast("long"), F.lit(1).cast("long"), F.sequence(F.lit(0), F.lit(31))
+    right = lambda x, k: F.call_function("shiftrightunsigned", x, k)
+    left = lambda x, k: F.call_function("shiftleft", x, k)
 
+    def counted(k: Column) -> Column:
+        """For each start, how many hashes have bit k (low half) and bit 32 + k (high half)."""
+        total = lambda part: F.aggregate(part, zero, lambda a, x: a + right(x, k).bitwiseAND(F.lit(LANES)))
+        plain = F.transform(starts, lambda s: total(F.slice(h, s + 1, m)))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(h) / BLOCK).cast("int")), lambda b: total(F.slice(h, b * BLOCK + 1, F.lit(BLOCK))))
+        before = lambda sums: F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, F.lit(1), b), zero, lambda a, x: a + x))
+        upto = lambda p, x: F.get(p, F.floor(x / BLOCK).cast("int")) + total(F.slice(h, x - x % BLOCK + 1, x % BLOCK))
+        summed = _then(_then(blocks, before), lambda p: F.transform(starts, lambda s: upto(p, s + m) - upto(p, s)))
+        return F.when(m <= direct, plain).otherwise(summed)
 
-def weighted_similarity(a: Column, b: Column) -> tuple[Column, Column]:
-    """(sum of smaller, sum of larger) weights of two arrays of hashes, an occurrence weighing 1."""
-    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
-    count = lambda x, v: F.size(F.filter(x, lambda y: y == v))
-    many = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda t, v: t + F.least(count(a, v), count(b, v)))
-    shared = F.when(plain, F.size(F.array_intersect(a, b))).otherwise(many)
-    return shared, F.size(a) + F.size(b) - shared
+    def bits(total: Column, k: Column) -> Column:
+        low, high = total.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(total, 32)
+        return F.when(2 * low > m, left(one, k)).otherwise(zero).bitwiseOR(F.when(2 * high > m, left(one, k + 32)).otherwise(zero))
+
+    of_window = lambda sums, i: F.aggregate(ks, zero, lambda f, k: f.bitwiseOR(bits(F.get(F.get(sums, k), i), k)))
+    return _then(F.transform(ks, counted), lambda sums: F.transform(starts, lambda _, i: of_window(sums, i)))
 
 
 def _neighbours(flips: int) -> list[int]:
@@ -131,66 +144,92 @@ def find_leaks(
     width: int = WIDTH,
     percent: int = PERCENT,
     radius: int = RADIUS,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, shared, joined): for each document and item the most
     similar window, the first among equals; the similarity is shared / joined."""
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), words(F.lower(F.col(text_col).cast("string"))).alias("w"))
-    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.lower(F.col(item_text_col).cast("string"))).alias("w")).filter(F.size("w") > 0)
-    items = written(items.withColumn("width", F.least(F.size("w"), F.lit(width))), "items")
-    found = [_of_width(texts, items.filter(F.col("width") == k), k, percent, radius, broadcast_rows) for k in sorted(r["width"] for r in items.select("width").distinct().collect())]
-    if not found:
+    items = benchmark.select(F.monotonically_increasing_id().alias("item_no"), F.col(item_col).alias("item_id"), words(F.lower(F.col(item_text_col).cast("string"))).alias("w")).filter(F.size("w") > 0)
+    items = scratch.write(items.withColumn("width", F.least(F.size("w"), F.lit(width))), "items")
+    rows = None
+    for k in range(1, width + 1):
+        own = items.filter(F.col("width") == k)
+        if own.limit(1).count():
+            found = _of_width(texts, own, k, percent, radius, broadcast_bytes, scratch)
+            rows = found if rows is None else rows.union(found)
+    if rows is None:
         none = docs.sparkSession.createDataFrame([], "start_word int, n_words int, shared int, joined int")
         return docs.select(F.col(id_col).alias("doc_id")).join(benchmark.select(F.col(item_col).alias("item_id")), F.lit(False)).join(none, F.lit(False))
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.union(more)
     best = F.max_by(F.struct("start_word", "n_words", "shared", "joined"), F.struct(F.col("shared") / F.col("joined"), -F.col("start_word")))
-    return rows.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
+    rows = rows.groupBy("doc_id", "item_no").agg(best.alias("best"))
+    found = scratch.write(rows.join(items.select("item_no", "item_id"), "item_no").select("doc_id", "item_id", "best.*"), "leaks")
+    scratch.clear(found)
+    return found
 
 
-def _of_width(texts: DataFrame, items: DataFrame, width: int, percent: int, radius: int, broadcast_rows: int) -> DataFrame:
-    items = items.select("item_id", shingles(F.col("w"), width).alias("ih")).withColumn("m", F.size("ih"))
-    items = written(items.withColumn("g", simhash(F.col("ih"))), "items")
-    hashes = written(items.select(F.explode(F.array_distinct("ih")).alias("h"), "m").groupBy("h", "m").agg(F.count("*").alias("k")), "hashes")
-    n, owned = hashes.agg(F.count("*"), F.coalesce(F.sum("k"), F.lit(0))).first()
-    small = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
-    bits = min(26, max(TABLE_BITS, (64 * n).bit_length()))
+def _of_width(texts: DataFrame, items: DataFrame, width: int, percent: int, radius: int, broadcast_bytes: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, item_no, start_word, n_words, shared, joined) for each text and item that are similar."""
+    fits = broadcast_bytes // ROW_BYTES
+    items = scratch.write(items.select("item_no", shingles(F.col("w"), width).alias("ih")).withColumn("m", F.size("ih")), "items")
+    weights = scratch.write(items.select("item_no", "m", F.explode("ih").alias("h")).groupBy("item_no", "m", "h").agg(F.count("*").cast("int").alias("weight")), "weights")
+    hashes = scratch.write(weights.groupBy("h", "m").agg(F.count("*").alias("k")), "hashes")
+    n, owned = hashes.count(), weights.count()
+    bits = min(MOST_TABLE_BITS, max(TABLE_BITS, (64 * n).bit_length()))
     table = _bit_table(hashes.select("h"), bits)
 
     hashed = texts.select("doc_id", "t", shingles(F.col("w"), width).alias("h"))
     hits = hashed.select("doc_id", "t", F.size("h").alias("n"), F.posexplode("h").alias("p", "h")).filter(_in_table(F.col("h"), table, bits))
-    places = hits.join(small(hashes, n), "h").groupBy("doc_id", "t", "n", "m")
+    hits = scratch.write(hits.join(small(hashes.select("h").distinct(), n, fits), "h", "left_semi").distinct(), "hits")
+    places = hits.join(small(hashes, n, fits), "h").groupBy("doc_id", "t", "n", "m")
     short = F.col("n") < F.col("m")
     places = places.agg(F.array_sort(F.collect_set("p")).alias("ps"), F.array_sort(F.collect_set(F.when(short, F.struct("k", "h")))).alias("hs"))
     # a window at the similarity shares at least `need` shingles with the item, so it holds `need` of these places
     need = F.ceil((F.col("m") + F.least("n", "m")) * percent / (100 + percent)).cast("int")
     last = lambda i: F.get("ps", i + F.col("need") - 1)
     runs = F.filter(F.sequence(F.lit(0), F.size("ps") - F.col("need")), lambda i: last(i) - F.get("ps", i) < F.col("m"))
-    starts = F.flatten(F.transform(runs, lambda i: F.sequence(F.greatest(last(i) - F.col("m") + 1, F.lit(0)), F.get("ps", i))))
-    enough = written(places.withColumn("need", need).filter(F.size("ps") >= F.col("need")), "places")
-    starts = F.when(short, F.array(F.lit(0))).otherwise(F.array_distinct(starts))
+    starts = F.flatten(F.transform(runs, lambda i: F.sequence(F.greatest(last(i) - F.col("m") + 1, F.lit(0)), F.least(F.get("ps", i), F.col("n") - F.col("m")))))
     # at most size(ps) - need of these places are not this item's, so one of any size(ps) - need + 1 is
-    keys = F.when(short, F.slice("hs", 1, F.size("ps") - F.col("need") + 1)["h"])
-    begun = enough.select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "m", keys.alias("keys"), F.explode(starts).alias("s"))
+    keys = F.slice("hs", 1, F.size("ps") - F.col("need") + 1)["h"]
+    enough = scratch.write(places.withColumn("need", need).filter(F.size("ps") >= F.col("need")), "places")
+    begun = enough.filter(~short).select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "m", F.array_distinct(starts).alias("starts")).filter(F.size("starts") > 0)
+    begun = scratch.write(begun, "starts")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("u"))
-    held = hashed.join(enough.select(F.col("doc_id").alias("id"), F.col("t").alias("u")).distinct(), same, "left_semi").distinct()
-    windows = held.join(begun, same).filter(F.col("s") + F.least("m", F.size("h")) <= F.size("h"))
-    windows = windows.select("doc_id", "m", "s", "keys", F.slice("h", F.col("s") + 1, F.col("m")).alias("h"))
-    windows = written(windows.withColumn("f", simhash(F.col("h"))), "windows")
+    ids = scratch.write(begun.select("id", "u").distinct(), "ids")
+    held = hashed.join(small(ids, ids.count(), fits), same, "left_semi").dropDuplicates(["doc_id", "t"])
+    fingerprints = F.array_distinct(simhashes(F.col("h"), F.col("starts"), F.col("m")))
+    windows = scratch.write(held.join(begun, same).select("doc_id", "t", "m", F.explode(fingerprints).alias("f")), "windows")
 
     flips = radius // BLOCKS
     masks = F.array(*map(F.lit, _neighbours(flips)))
-    entries = items.select("item_id", "ih", "g", F.col("m").alias("im"), F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("g"), b).alias("v")) for b in range(BLOCKS)])).alias("e"))
-    entries = entries.select("item_id", "ih", "g", "im", F.col("e.b").alias("eb"), F.explode(F.transform(masks, lambda x: F.col("e.v").bitwiseXOR(x))).alias("ev"))
-    probes = windows.filter("keys is null").withColumn("q", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("f"), b).alias("v")) for b in range(BLOCKS)])))
-    close = lambda b: F.bit_count(_block(F.col("f").bitwiseXOR(F.col("g")), b)) <= flips
-    first = F.coalesce(*[F.when(close(b), F.lit(b)) for b in range(BLOCKS)])
-    met = probes.join(small(entries, items.count() * BLOCKS * len(_neighbours(flips))), (F.col("m") == F.col("im")) & (F.col("q.b") == F.col("eb")) & (F.col("q.v") == F.col("ev")))
-    met = met.filter((F.col("eb") == first) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius))
-    owners = items.select("item_id", "ih", F.col("m").alias("im"), F.explode(F.array_distinct("ih")).alias("x"))
-    whole = windows.filter("keys is not null").withColumn("key", F.explode("keys")).join(small(owners, owned), (F.col("m") == F.col("im")) & (F.col("key") == F.col("x")))
-    met = met.select("doc_id", "item_id", "s", "h", "ih").union(whole.select("doc_id", "item_id", "s", "h", "ih"))
-    shared, joined = weighted_similarity(F.col("h"), F.col("ih"))
-    sized = met.select("doc_id", "item_id", F.col("s").alias("start_word"), (F.size("h") + width - 1).alias("n_words"), shared.alias("shared"), joined.alias("joined"))
-    return sized.filter(F.col("shared") * 100 >= F.col("joined") * percent)
+    slot = lambda b: lambda v: (F.col("m").cast("long") * BLOCKS + b) * (1 << BLOCK_BITS) + v
+    slots = lambda f, values: F.flatten(F.array(*[F.transform(values(_block(f, b)), slot(b)) for b in range(BLOCKS)]))
+    marks = items.withColumn("g", simhashes(F.col("ih"), F.array(F.lit(0)), F.col("m"))[0])
+    entries = marks.select("item_no", "g", F.explode(slots(F.col("g"), lambda v: F.transform(masks, lambda x: v.bitwiseXOR(x)))).alias("slot"))
+    entries = scratch.write(entries, "entries")
+    probes = windows.withColumn("slot", F.explode(slots(F.col("f"), F.array)))
+    near = probes.join(small(entries, entries.count(), fits), "slot").filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
+    whole = enough.filter(short).select("doc_id", "t", "m", F.explode(keys).alias("h")).join(small(weights, owned, fits), ["m", "h"])
+    pairs = scratch.write(near.select("doc_id", "t", "m", "item_no").union(whole.select("doc_id", "t", "m", "item_no")).distinct(), "pairs")
+    return _verified(hits, pairs, weights, width, percent, fits, owned)
+
+
+def _verified(hits: DataFrame, pairs: DataFrame, weights: DataFrame, width: int, percent: int, fits: int, owned: int) -> DataFrame:
+    """The best window of each pair, by exact weights.
+
+    The j-th place of a shingle that the item holds k times adds to a window that
+    holds it but not the one k places before: to an interval of starts.
+    """
+    of = pairs.select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "m", "item_no")
+    met = hits.join(of, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("u"))).drop("id", "u").join(small(weights.drop("m"), owned, fits), ["item_no", "h"])
+    size = F.least("n", "m")
+    one = met.groupBy("doc_id", "t", "item_no", "n", "m", "h", "weight").agg(F.array_sort(F.collect_list("p")).alias("ps"))  # places of one shingle in one text
+    interval = lambda p, i: F.struct(F.greatest(p - size + 1, F.get("ps", i - F.col("weight")) + 1, F.lit(0)).alias("lo"), F.least(p, F.col("n") - size).alias("hi"))
+    spans = F.filter(F.transform("ps", interval), lambda x: x["lo"] <= x["hi"])
+    ends = F.flatten(F.transform(spans, lambda x: F.array(F.struct(x["lo"].alias("s"), F.lit(1).alias("d")), F.struct((x["hi"] + 1).alias("s"), F.lit(-1).alias("d")))))
+    pair = ["doc_id", "t", "item_no", "n", "m"]
+    steps = one.select(*pair, F.explode(ends).alias("e")).groupBy(*pair, F.col("e.s").alias("s")).agg(F.sum("e.d").alias("d"))
+    shared = F.sum("d").over(Window.partitionBy(*pair).orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    best = steps.withColumn("shared", shared).groupBy(*pair).agg(F.max_by(F.struct("s", "shared"), F.struct("shared", -F.col("s"))).alias("b"))
+    found = best.select("doc_id", "item_no", F.col("b.s").cast("int").alias("start_word"), (size + width - 1).cast("int").alias("n_words"), F.col("b.shared").cast("int").alias("shared"), (size + F.col("m") - F.col("b.shared")).cast("int").alias("joined"))
+    return found.filter(F.col("shared") * 100 >= F.col("joined") * percent)

@@ -49,7 +49,7 @@ def test_same_leaks_as_brute_force(spark):
     found = find_leaks(spark.createDataFrame([(i, t, 1, "u") for i, t in docs], "doc_id long, text string, m int, h string"), spark.createDataFrame([(i, t, 2) for i, t in items], "item_id long, text string, g int"))
     got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["shared"]) for r in found.collect()}
     assert got == brute(docs, items)
-    shuffled = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=0)
+    shuffled = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=0)
     assert {(r["doc_id"], r["item_id"]) for r in shuffled.collect()} == set(got)
 
 

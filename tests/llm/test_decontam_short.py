@@ -39,6 +39,6 @@ def test_documents_shorter_than_an_item(spark):
         docs.append((100 + 10 * i + 9, " ".join(w)))
     want = brute(docs, items)
     assert (0, 0) in want and (1, 90) in want and sum(len(dict(docs)[d].split()) < len(dict(items)[i].split()) for d, i in want) > 80
-    for rows in (2_000_000, 0):
-        found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=rows)
+    for size in (32 << 20, 0):
+        found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=size)
         assert {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in found.collect()} == want
