@@ -54,7 +54,7 @@ def _lowered(headers: Column) -> Column:
 
 
 def _tag(headers: Column) -> Column:
-    return F.regexp_replace(F.get_json_object(F.to_json(headers), "$.etag"), r'^W/', "")
+    return F.regexp_replace(F.try_element_at(headers, F.lit("etag")), r'^W/', "")
 
 
 def resolve_revisits(

@@ -13,7 +13,8 @@ whoever supplies it; `fit` refuses more than `fit_rows` rows, so that nobody
 trains on a corpus by mistake.
 
 Defined results: null and empty texts have no candidates.  A candidate that
-occurs twice is judged at each place.  A null path counts as empty.  Without
+occurs twice is judged at each place, and a repeated row each time.  Very long
+texts are read whole.  A null path counts as empty.  Without
 findings of both kinds the forest is replaced by the share of secrets.  Empty
 tables give empty results.  Only the id, the text and the path are read.
 """

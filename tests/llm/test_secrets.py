@@ -21,3 +21,11 @@ def test_values_right_after_a_sign(spark):
     assert before[4] == "my_database_password_2=" and before[7] == 'my_database_password_2="'
     names = {r["candidate"] for r in found if r["doc_id"] in (4, 7)} - {HEX}
     assert names == {"my_database_password_2", "my_database_password_2="}
+
+
+def test_long_and_repeated_texts(spark):
+    """The last words of a text of a million words count, and equal rows are judged each for itself."""
+    text = "word " * 1_000_000 + 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"'
+    rows = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, text, None)], "doc_id long, text string, candidate string")
+    found = secrets.candidates(rows).collect()
+    assert len(found) == 3 and {r["candidate"] for r in found} == {"b44e15e09fd311c3cf3163b66d5a9875b883d8ce"} and all(r["before"].endswith('token = "') for r in found)
