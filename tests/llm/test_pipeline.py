@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from tests.llm import test_decontam, test_linededup, test_neardup
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, m string, n_lines long"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, m string, n_lines long, target int, cut int, passes int, source_size int, copies int, copy int, kept int, v int, place int, row int"
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,7 @@ def folder(spark, tmp_path_factory):
     rows = [(i, f"{words(i, 70)}\nA line that many documents share in full.\n{words(i + 500, 40)}") for i in range(24)]
     rows += [(50 + i, rows[i][1] + " more") for i in range(4)]
     rows += [(70, f"{words(900, 30)} {words(3000, 60)} {words(901, 30)}"), (71, "### !! " * 40), (72, None), (73, "too short")]
-    docs = spark.createDataFrame([(i, t, "en", ("a", None)[i % 2], 1, "m", 2) for i, t in rows], COLUMNS)
+    docs = spark.createDataFrame([(i, t, "en", ("a", None)[i % 2], 1, "m", 2, *[3] * 10) for i, t in rows], COLUMNS)
     docs.write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame([(1, words(3000, 60))], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
     return base, rows
@@ -40,7 +40,8 @@ def test_stages_in_turn(spark, folder):
     assert leaks == {70} and {r["doc_id"] for r in d.collect()} == {r["doc_id"] for r in c.collect()} - leaks
     assert d.filter("m = 'm' and n_lines = 2").count() == d.count()
     e = mix(spark, d, base)
-    assert {r["doc_id"] for r in e.collect()} <= {r["doc_id"] for r in d.collect()} and e.columns[: len(columns)] == columns
+    assert {r["doc_id"] for r in e.collect()} <= {r["doc_id"] for r in d.collect()} and e.columns == [*[c for c in columns if c not in ("copies", "copy")], "copies", "copy"]
+    assert e.filter("target + cut + passes + source_size + kept + v + place + row = 24").count() == e.count() and e.filter("copy <= copies").count() == e.count()
     whole = corpus_pipeline.run(spark, base)
     key = lambda r: (r["doc_id"], r["copy"])
     assert sorted(map(key, whole.collect())) == sorted(map(key, e.collect()))
