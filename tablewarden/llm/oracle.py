@@ -137,6 +137,49 @@ from marked group by doc_id
 """
 
 
+CONVERSATION_REPAIR = """
+with recursive bits as (select i, i as c, 0 as n from range(256) t(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n + 1 from bits where n < 8),
+crcs as (select list(c order by i) as crc from bits where n = 8),
+faulty as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(list_reduce(
+        list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ord(x) as bigint)),
+        lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 as f from conversations, crcs
+), hurt as (
+    select conv_id, turn, case f when 4 then 'user' else role end as role, case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+    from faulty, range(case f when 0 then 0 when 3 then 2 else 1 end)
+), placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, right(rtrim(text, BLANKS), 1) as last, left(role, 1) as initial from hurt
+), marked as (select * exclude again, case when last = '' then 'b' when again then 'd' when last not in ('.', '!', '?') then 't' else '' end as fault, lag(initial) over (partition by conv_id order by i) || initial as pair
+    from (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again from placed)),
+counts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+        count(*) filter (fault = 't') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from marked group by conv_id
+), moves as (select * from (values ('', 's'), ('', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')) t(q, next)),
+added as (
+    select * from (values ('', '', '', []), ('s', 's', '', []), ('u', 'u', '', []), ('a', 'a', '', []), ('', 'u', 'I', ['user:']), ('', 'a', 'II', ['user:', 'assistant:']),
+        ('s', 'u', 'I', ['user:']), ('s', 'a', 'II', ['user:', 'assistant:']), ('a', 'u', 'I', ['user:']), ('u', 'a', 'I', ['assistant:'])) t(q, next, letters, lines)
+), edits as (
+    select conv_id, i, 'D' as letter, 2 as cost, null as to_role, cast([] as varchar[]) as line from marked
+    union all select conv_id, i, 'K', case fault when 't' then 5 else 0 end, initial, [role || ':' || text] from marked where fault not in ('b', 'd')
+    union all select conv_id, i, 'R', case fault when 't' then 6 else 1 end, left(r, 1), [r || ':' || text] from marked, (values ('user'), ('assistant')) t(r) where fault not in ('b', 'd')
+), ways as (
+    select conv_id, cast(0 as bigint) as i, next as q, cast(5 * length(letters) as bigint) as cost, letters as audit, cast(lines as varchar[]) as lines
+    from (select distinct conv_id from conversations), added where q = ''
+    union all
+    select conv_id, i, q, min(way).cost, min(way).audit, min(way).lines from (
+        select w.conv_id, e.i, a.next as q, {'cost': w.cost + e.cost + 5 * length(a.letters), 'audit': w.audit || e.letter || a.letters, 'lines': w.lines || e.line || cast(a.lines as varchar[])} as way
+        from ways w join edits e on e.conv_id is not distinct from w.conv_id and e.i = w.i + 1
+        left join moves m on m.q = w.q and m.next = e.to_role join added a on a.q = case when e.letter = 'D' then w.q else m.next end
+    ) group by conv_id, i, q
+), ends as (
+    select conv_id, arg_max(best, i) as best from (select conv_id, i, min({'cost': cost, 'audit': audit, 'lines': lines}) as best from ways where q in ('', 'a') group by conv_id, i) group by conv_id
+)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    best.cost as cost, best.audit as audit, sha256(array_to_string(best.lines, chr(10))) as repaired_sha256
+from ends e left join counts c on c.conv_id is not distinct from e.conv_id
+""".replace("BLANKS", BLANKS)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_minhash_near_dedup": NEAR_DUPLICATES,
@@ -145,4 +188,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": URL_FILTER,
         "op8_source_mix": SOURCE_MIX,
         "op9_line_dedup": LINE_DEDUP,
+        "op13_conversation_repair": CONVERSATION_REPAIR,
     }

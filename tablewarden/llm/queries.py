@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import langid, ranking, secrets
 from .captures import page_captures
 from .common import held_out, table, written
+from .conversations import damaged, repair_conversations
 from .decontam import find_leaks
 from .linededup import LineIndex
 from .mixing import mix
@@ -97,6 +98,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.score(docs, fitted).select("doc_id", "held_out", "score", "predicted")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")), times_col="times")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +111,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scan, op2_minhash_near_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_warc_revisits, op6_language_id,
-        op7_url_filter, op8_source_mix, op9_line_dedup, op10_quality_classifier, pipeline,
+        op7_url_filter, op8_source_mix, op9_line_dedup, op10_quality_classifier, op13_conversation_repair, pipeline,
     )
     return {f.__name__: f for f in found}
