@@ -22,6 +22,7 @@ from .neardup import near_duplicates
 from .oracle import oracle_sql  # noqa: F401
 from .quality import judged, learn, voted
 from .revisits import resolve_revisits
+from .simhash import simhash_duplicates
 from .urlfilter import host_of, judge_urls, path_of
 
 #: The rules by host and path, and the hosts to block where no rule fits.
@@ -98,6 +99,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.score(docs, fitted).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")), times_col="times")
 
@@ -111,6 +116,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scan, op2_minhash_near_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_warc_revisits, op6_language_id,
-        op7_url_filter, op8_source_mix, op9_line_dedup, op10_quality_classifier, op13_conversation_repair, pipeline,
+        op7_url_filter, op8_source_mix, op9_line_dedup, op10_quality_classifier, op12_simhash_near_dedup, op13_conversation_repair, pipeline,
     )
     return {f.__name__: f for f in found}
