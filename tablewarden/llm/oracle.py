@@ -137,6 +137,21 @@ from marked group by doc_id
 """
 
 
+HARD_NEGATIVES = """
+with own as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+    where vec_id is not null and label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) is distinct from false
+), scores as (
+    select a.vec_id as anchor, b.vec_id as other, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score from own a join own b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positives as (
+    select anchor, other as positive, score as p from scores where same qualify row_number() over (partition by anchor order by score desc, other) <= 5
+), ranked as (
+    select anchor, positive, p, other, score, row_number() over (partition by anchor, positive order by score desc, other) as rank
+    from positives join scores using (anchor) where not same and 80 * p <= 100 * score and 100 * score <= 100 * p
+)
+select anchor as anchor_id, positive as positive_id, cast(rank as integer) as rank, other as negative_id, p as positive_score, score as negative_score from ranked where rank <= 5
+"""
+
 CONVERSATION_REPAIR = """
 with recursive bits as (select i, i as c, 0 as n from range(256) t(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n + 1 from bits where n < 8),
 crcs as (select list(c order by i) as crc from bits where n = 8),
@@ -188,5 +203,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": URL_FILTER,
         "op8_source_mix": SOURCE_MIX,
         "op9_line_dedup": LINE_DEDUP,
+        "op11_hard_negatives": HARD_NEGATIVES,
         "op13_conversation_repair": CONVERSATION_REPAIR,
     }

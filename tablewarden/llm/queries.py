@@ -19,6 +19,7 @@ from .decontam import find_leaks
 from .linededup import LineIndex
 from .mixing import mix
 from .neardup import near_duplicates
+from .negatives import hard_negatives, scaled
 from .oracle import oracle_sql  # noqa: F401
 from .quality import judged, learn, voted
 from .revisits import resolve_revisits
@@ -99,6 +100,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.score(docs, fitted).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", scaled(F.col("embedding")).alias("vector"), relabelled.alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"))
 
@@ -116,6 +123,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_secret_scan, op2_minhash_near_dedup, op3_quality_rules, op4_benchmark_decontamination, op5_warc_revisits, op6_language_id,
-        op7_url_filter, op8_source_mix, op9_line_dedup, op10_quality_classifier, op12_simhash_near_dedup, op13_conversation_repair, pipeline,
+        op7_url_filter, op8_source_mix, op9_line_dedup, op10_quality_classifier, op11_hard_negatives, op12_simhash_near_dedup, op13_conversation_repair, pipeline,
     )
     return {f.__name__: f for f in found}
