@@ -8,11 +8,14 @@ shuffle, by a bit table of fixed size; in the others all windows over a shared s
 item of that length are taken.  A document of fewer than m shingles is one window
 as a whole.
 
-* SimHash: 64 counters, two in each of 32 longs, which no array can overflow.
-  Windows of up to 512 shingles are summed as they are; for longer ones sums of
-  blocks of 256 shingles are added up once a document, and a window takes two
-  of those and the ends of two blocks, so its cost does not grow with the item.
-  A shingle counts as often as it occurs: that is its weight.
+* SimHash: of a window's shingles those count that occur in the benchmark, each
+  once, and so do an item's own; what stands beside a passage adds nothing,
+  however often it is repeated.  Windows begin where such a shingle does (any
+  other holds no more of them than the next of these, or than the text's last).
+  64 counters stand two in each of 32 longs, which no array can overflow.  Windows
+  of up to 512 shingles are summed as they are; for longer ones sums of blocks of
+  256 shingles are added up once a document, so their cost does not grow with the
+  item.
 * Multi-index Hamming search: a fingerprint is cut into 8 blocks of 8 bits.
   Within distance `radius` some block differs by at most radius // 8 bits, so
   items are entered under all such neighbours of each block and every
@@ -22,12 +25,14 @@ as a whole.
   an item that met, each place of a shared shingle counts in an interval of
   window starts, so the running sum of their ends gives the similarity of all
   windows, in time linear in the places.
-* Documents shorter than an item meet it by shared shingles instead of SimHash,
-  whose odds are worse for few shingles of unequal number: of its shingles in the
-  benchmark so many, the rarest first, that no item at the similarity lacks all.
-
-Scale: no text is shuffled but the hashes of those documents that share enough
-shingles with the benchmark, which are read a second time for their windows.
+* Two kinds of documents meet items by shared shingles instead, since a
+  fingerprint of single shingles says too little about weights: those shorter than
+  an item, and those in which a shingle of the benchmark occurs again.  Of such a
+  document's shingles in the benchmark so many are looked up, the rarest first,
+  that no item at the similarity lacks all.
+
+Scale: documents are read once for each width of shingles among the items, and no
+text is shuffled, only hashes that occur in the benchmark.
 The bit table has 64 bits and more for each benchmark shingle up to 2**27 bits in
 all (16 MB); beyond two million shingles it passes more of the others to the
 exact join, 3% at sixteen million.  Tables of items are broadcast only
@@ -74,29 +79,32 @@ def _then(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def simhashes(h: Column, starts: Column, m: Column, direct: int = DIRECT) -> Column:
-    """Fingerprints of the windows of `m` hashes of `h` at `starts`: bit b is set where more than half of them have it."""
+def simhashes(h: Column, ranges: Column, long: Column) -> Column:
+    """Fingerprints of the `ranges` (first, k) of `h`: bit b is set where more than half of a range's hashes have it.
+
+    `long` says whether to take them from sums of blocks.
+    """
 
     zero, one, ks = F.lit(0).cast("long"), F.lit(1).cast("long"), F.sequence(F.lit(0), F.lit(31))
     right = lambda x, k: F.call_function("shiftrightunsigned", x, k)
     left = lambda x, k: F.call_function("shiftleft", x, k)
 
     def counted(k: Column) -> Column:
-        """For each start, how many hashes have bit k (low half) and bit 32 + k (high half)."""
+        """For each range, how many hashes have bit k (low half) and bit 32 + k (high half)."""
         total = lambda part: F.aggregate(part, zero, lambda a, x: a + right(x, k).bitwiseAND(F.lit(LANES)))
-        plain = F.transform(starts, lambda s: total(F.slice(h, s + 1, m)))
+        plain = F.transform(ranges, lambda r: total(F.slice(h, r["first"] + 1, r["k"])))
         blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(h) / BLOCK).cast("int")), lambda b: total(F.slice(h, b * BLOCK + 1, F.lit(BLOCK))))
         before = lambda sums: F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, F.lit(1), b), zero, lambda a, x: a + x))
         upto = lambda p, x: F.get(p, F.floor(x / BLOCK).cast("int")) + total(F.slice(h, x - x % BLOCK + 1, x % BLOCK))
-        summed = _then(_then(blocks, before), lambda p: F.transform(starts, lambda s: upto(p, s + m) - upto(p, s)))
-        return F.when(m <= direct, plain).otherwise(summed)
+        summed = _then(_then(blocks, before), lambda p: F.transform(ranges, lambda r: upto(p, r["first"] + r["k"]) - upto(p, r["first"])))
+        return F.when(long, summed).otherwise(plain)
 
-    def bits(total: Column, k: Column) -> Column:
+    def bits(total: Column, k: Column, of: Column) -> Column:
         low, high = total.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(total, 32)
-        return F.when(2 * low > m, left(one, k)).otherwise(zero).bitwiseOR(F.when(2 * high > m, left(one, k + 32)).otherwise(zero))
+        return F.when(2 * low > of, left(one, k)).otherwise(zero).bitwiseOR(F.when(2 * high > of, left(one, k + 32)).otherwise(zero))
 
-    of_window = lambda sums, i: F.aggregate(ks, zero, lambda f, k: f.bitwiseOR(bits(F.get(F.get(sums, k), i), k)))
-    return _then(F.transform(ks, counted), lambda sums: F.transform(starts, lambda _, i: of_window(sums, i)))
+    of_range = lambda sums, i, r: F.aggregate(ks, zero, lambda f, k: f.bitwiseOR(bits(F.get(F.get(sums, k), i), k, r["k"])))
+    return _then(F.transform(ks, counted), lambda sums: F.transform(ranges, lambda r, i: of_range(sums, i, r)))
 
 
 def _neighbours(flips: int) -> list[int]:
@@ -133,6 +141,17 @@ def _in_table(h: Column, table: Column, bits: int) -> Column:
     return found
 
 
+def _below(sorted_values: Column, bound: Column, low: Column, high: Column) -> Column:
+    """How many of the sorted values lie below `bound`, known to be from `low` to `high`; by halving."""
+    step = lambda r: F.struct(
+        F.when(F.get(sorted_values, F.floor((r["low"] + r["high"]) / 2).cast("int")) < bound, F.floor((r["low"] + r["high"]) / 2).cast("int") + 1).otherwise(r["low"]).alias("low"),
+        F.when(F.get(sorted_values, F.floor((r["low"] + r["high"]) / 2).cast("int")) < bound, r["high"]).otherwise(F.floor((r["low"] + r["high"]) / 2).cast("int")).alias("high"),
+    )
+    begin = F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    halve = lambda r, _: F.when(r["low"] < r["high"], step(r)).otherwise(r)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), begin, halve, lambda r: r["low"])
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -182,34 +201,33 @@ def _of_width(texts: DataFrame, items: DataFrame, width: int, percent: int, radi
     hits = hashed.select("doc_id", "t", F.size("h").alias("n"), F.posexplode("h").alias("p", "h")).filter(_in_table(F.col("h"), table, bits))
     hits = scratch.write(hits.join(small(hashes.select("h").distinct(), n, fits), "h", "left_semi").distinct(), "hits")
     places = hits.join(small(hashes, n, fits), "h").groupBy("doc_id", "t", "n", "m")
-    short = F.col("n") < F.col("m")
-    places = places.agg(F.array_sort(F.collect_set("p")).alias("ps"), F.array_sort(F.collect_set(F.when(short, F.struct("k", "h")))).alias("hs"))
+    places = places.agg(F.array_sort(F.collect_list(F.struct("p", "h"))).alias("at"), F.array_sort(F.collect_set(F.struct("k", "h"))).alias("hs"))
+    places = places.withColumns({"ps": F.col("at")["p"], "short": F.col("n") < F.col("m"), "again": F.size("hs") < F.size("at")})
     # a window at the similarity shares at least `need` shingles with the item, so it holds `need` of these places
     need = F.ceil((F.col("m") + F.least("n", "m")) * percent / (100 + percent)).cast("int")
     last = lambda i: F.get("ps", i + F.col("need") - 1)
     runs = F.filter(F.sequence(F.lit(0), F.size("ps") - F.col("need")), lambda i: last(i) - F.get("ps", i) < F.col("m"))
-    starts = F.flatten(F.transform(runs, lambda i: F.sequence(F.greatest(last(i) - F.col("m") + 1, F.lit(0)), F.least(F.get("ps", i), F.col("n") - F.col("m")))))
+    enough = scratch.write(places.withColumn("need", need).filter(F.size("ps") >= F.col("need")).withColumn("runs", runs).filter(F.col("short") | (F.size("runs") > 0)), "places")
     # at most size(ps) - need of these places are not this item's, so one of any size(ps) - need + 1 is
     keys = F.slice("hs", 1, F.size("ps") - F.col("need") + 1)["h"]
-    enough = scratch.write(places.withColumn("need", need).filter(F.size("ps") >= F.col("need")), "places")
-    begun = enough.filter(~short).select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "m", F.array_distinct(starts).alias("starts")).filter(F.size("starts") > 0)
-    begun = scratch.write(begun, "starts")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("u"))
-    ids = scratch.write(begun.select("id", "u").distinct(), "ids")
-    held = hashed.join(small(ids, ids.count(), fits), same, "left_semi").dropDuplicates(["doc_id", "t"])
-    fingerprints = F.array_distinct(simhashes(F.col("h"), F.col("starts"), F.col("m")))
-    windows = scratch.write(held.join(begun, same).select("doc_id", "t", "m", F.explode(fingerprints).alias("f")), "windows")
+    # the places of the window that begins with the i-th, or of the text's last one
+    ends = F.transform("runs", lambda i: F.struct(i.alias("i"), F.get("ps", i).alias("s")))
+    held = lambda x: F.struct(x["i"].alias("first"), (_below(F.col("ps"), x["s"] + F.col("m"), x["i"], F.least(x["i"] + F.col("m"), F.size("ps"))) - x["i"]).alias("k"))
+    ranges = enough.filter(~F.col("short") & ~F.col("again")).select("doc_id", "t", "m", F.col("at")["h"].alias("h"), F.transform(ends, held).alias("ranges"))
+    fingerprints = F.array_distinct(simhashes(F.col("h"), F.col("ranges"), F.col("m") > DIRECT))
+    windows = scratch.write(ranges.select("doc_id", "t", "m", F.explode(fingerprints).alias("f")), "windows")
 
     flips = radius // BLOCKS
     masks = F.array(*map(F.lit, _neighbours(flips)))
     slot = lambda b: lambda v: (F.col("m").cast("long") * BLOCKS + b) * (1 << BLOCK_BITS) + v
     slots = lambda f, values: F.flatten(F.array(*[F.transform(values(_block(f, b)), slot(b)) for b in range(BLOCKS)]))
-    marks = items.withColumn("g", simhashes(F.col("ih"), F.array(F.lit(0)), F.col("m"))[0])
+    own = items.select("item_no", "m", F.array_distinct("ih").alias("ih"))
+    marks = own.withColumn("g", simhashes(F.col("ih"), F.array(F.struct(F.lit(0).alias("first"), F.size("ih").alias("k"))), F.col("m") > DIRECT)[0])
     entries = marks.select("item_no", "g", F.explode(slots(F.col("g"), lambda v: F.transform(masks, lambda x: v.bitwiseXOR(x)))).alias("slot"))
     entries = scratch.write(entries, "entries")
     probes = windows.withColumn("slot", F.explode(slots(F.col("f"), F.array)))
     near = probes.join(small(entries, entries.count(), fits), "slot").filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
-    whole = enough.filter(short).select("doc_id", "t", "m", F.explode(keys).alias("h")).join(small(weights, owned, fits), ["m", "h"])
+    whole = enough.filter(F.col("short") | F.col("again")).select("doc_id", "t", "m", F.explode(keys).alias("h")).join(small(weights, owned, fits), ["m", "h"])
     pairs = scratch.write(near.select("doc_id", "t", "m", "item_no").union(whole.select("doc_id", "t", "m", "item_no")).distinct(), "pairs")
     return _verified(hits, pairs, weights, width, percent, fits, owned)
 

@@ -39,11 +39,11 @@ grams as (select item_id, k, len(w) - k + 1 as m, unnest(list_transform(range(1,
 wanted as (select item_id, k, m, g, count(*) as n from grams group by all),
 pieces as (select doc_id, rid, k, len(w) - k + 1 as total, unnest(range(0, len(w) - k + 1)) as pos, unnest(list_transform(range(1, len(w) - k + 2), lambda i: hash(w[i:i + k - 1]))) as g
     from docs, (select distinct k from items) where len(w) >= k),
-starts as (select distinct p.rid, p.doc_id, p.k, item_id, m, s from pieces p join wanted t on t.k = p.k and t.g = p.g, unnest(range(greatest(pos - m + 1, 0), least(pos, total - m) + 1)) as u(s)),
-held as (select s.rid, s.doc_id, item_id, s.k, m, s, p.g, count(*) as n from starts s join pieces p on p.rid = s.rid and p.k = s.k and pos >= s and pos < s + m group by all),
-sized as (select rid, h.doc_id, h.item_id, h.k, h.m, s, sum(least(h.n, t.n)) as shared from held h join wanted t on t.item_id = h.item_id and t.g = h.g group by all)
-select doc_id, item_id, cast(arg_max(s, shared * 1000000 - s) as integer) as start_word, cast(any_value(m + k - 1) as integer) as n_words, cast(max(shared) as integer) as shared, cast(any_value(2 * m) - max(shared) as integer) as joined
-from sized where 100 * shared >= 80 * (2 * m - shared) group by doc_id, item_id
+starts as (select distinct p.rid, p.doc_id, p.k, item_id, m, least(total, m) as size, s from pieces p join wanted t on t.k = p.k and t.g = p.g, unnest(range(greatest(pos - m + 1, 0), greatest(least(pos, total - m), 0) + 1)) as u(s)),
+held as (select s.rid, s.doc_id, item_id, s.k, m, size, s, p.g, count(*) as n from starts s join pieces p on p.rid = s.rid and p.k = s.k and pos >= s and pos < s + m group by all),
+sized as (select rid, h.doc_id, h.item_id, h.k, h.m, size, s, sum(least(h.n, t.n)) as shared from held h join wanted t on t.item_id = h.item_id and t.g = h.g group by all),
+best as (select doc_id, item_id, arg_max({'s': s, 'size': size, 'k': k, 'm': m, 'shared': shared}, {'like': shared / (size + m - shared), 'late': -s}) as b from sized where 100 * shared >= 80 * (size + m - shared) group by doc_id, item_id)
+select doc_id, item_id, cast(b.s as integer) as start_word, cast(b.size + b.k - 1 as integer) as n_words, cast(b.shared as integer) as shared, cast(b.size + b.m - b.shared as integer) as joined from best
 """
 
 _HEADERS = """list_aggregate(list_sort(list_transform(map_entries(h), lambda e: e.key || '=' || e.value)), 'string_agg', ';')"""

@@ -9,7 +9,8 @@ from tablewarden.llm.decontam import find_leaks, simhashes
 
 def test_fingerprints_by_blocks_are_those_of_plain_sums(spark):
     df = spark.range(4).select(F.expr("transform(sequence(0, 1499 + int(id)), x -> xxhash64(x % 700, id))").alias("h"), F.expr("array(0, 1, 255, 256, 257, 700)").alias("s"))
-    pairs = df.select(simhashes(F.col("h"), F.col("s"), F.lit(700), 10**6).alias("a"), simhashes(F.col("h"), F.col("s"), F.lit(700), 0).alias("b"), "h").collect()
+    ranges = F.transform("s", lambda s: F.struct(s.alias("first"), F.lit(700).alias("k")))
+    pairs = df.select(simhashes(F.col("h"), ranges, F.lit(False)).alias("a"), simhashes(F.col("h"), ranges, F.lit(True)).alias("b"), "h").collect()
     for r in pairs:
         counts = lambda s: [sum(x >> b & 1 for x in r["h"][s : s + 700]) for b in range(64)]
         plain = [sum(1 << b for b, c in enumerate(counts(s)) if 2 * c > 700) for s in (0, 1, 255, 256, 257, 700)]
