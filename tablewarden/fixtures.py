@@ -125,6 +125,58 @@ select 'gen/' || cast(p_partkey as varchar(20)) || '.rb' as path, case p_partkey
     else 'add_column :t' || cast(p_partkey as varchar(20)) || ', :owner_id, :bigint' end as text
 from part
 """
+
+
+def _text(template: str, key: str) -> str:
+    """A text as an expression: @ stands for the number `key`."""
+    quoted = "'" + template.replace("'", "' || chr(39) || '").replace("\n", "' || chr(10) || '").replace("@", f"' || cast({key} as varchar(20)) || '") + "'"
+    return quoted.replace(" || '' ||", " ||")
+
+
+#: An application by rule: a model for each supplier, with scopes and helpers, and code of five kinds that uses them, a file for each customer.
+MODEL = """class Gen::M@ < Base
+  # scope :hidden, -> { where(c: 1) }
+  scope :opening, -> { where(a: @) }
+  scope :both, -> { opening.where(b: 1).order(:c) }
+  def self.named(x)
+    note = %w[where a]
+    later(x).where(c: x)
+  end
+
+  def self.later(y)
+    where(b: y)
+  end
+=begin
+  def self.later(y) = where(a: y)
+=end
+  class << self
+    def again
+      again.where("a" => 1)
+    end
+    def short(z) = where(d: z, gone: 1)
+  end
+  def helper(other)
+    other.order(:a)
+    where a: @ if other
+  end
+"""
+CODE = (
+    "rel = Gen::M#.where(a: @)\nputs \"rel.where(b: 1) # no\"\nrel.order(:b)\nrel = 5\nrel.order(:a)\n",
+    "def run(list)\n  rel = Gen::M#.where a: 1\n  list.each do |row|\n    rel = rel.where(b: row) # where(d: 1)\n    rel.order('c DESC, d')\n  end\n  list.map { |rel| rel.order(:d) }\n  rel\n    .order(:c)\nend\n",
+    "Gen::M#.both.order(:b)\nGen::M#.short(1).opening.reorder(d: :desc)\nGhost.both.order(:b)\n",
+    "Gen::M#.named(@).reorder(b: :desc)\n",
+    "Gen::M#.where(<<~SQL, @).again.order(:c)\n  d ->> 'k' = ?\nSQL\n",
+)
+MODEL_FILES = f"""
+select 'app/models/m' || cast(s_suppkey as varchar(20)) || '.rb' as path, {_text(MODEL, 's_suppkey')} || case when s_suppkey % 3 = 1 then {_text("  scope :opening do", "s_suppkey")} || chr(10) || '    where(c: 1)' || chr(10) || '  end' || chr(10) else '' end || 'end' as text
+from supplier
+"""
+USER_FILES = f"""
+select 'lib/u' || cast(c as varchar(20)) || '.rb' as path, c, m, case c % 5 {' '.join(f"when {i} then replace({_text(t, 'c')}, chr(35) || '.', cast(m as varchar(20)) || '.')" for i, t in enumerate(CODE))} end as text
+from (select c_custkey as c, c_custkey % n as m from customer cross join (select count(*) as n from supplier) as s) as u
+"""
+CODE_MODELS = "select s_suppkey as seq, 'Gen::M' || cast(s_suppkey as varchar(20)) as model, 't' || cast(s_suppkey as varchar(20)) as table_name, 'app/models/m' || cast(s_suppkey as varchar(20)) || '.rb' as source_location from supplier"
+CODE_COLUMNS = "select k as seq, 't' || cast(s_suppkey as varchar(20)) as table_name, c as column_name, case when c = 'd' then 'jsonb' else 'bigint' end as sql_type from supplier cross join (values (1, 'id'), (2, 'a'), (3, 'b'), (4, 'c'), (5, 'd')) as x(k, c)"
 _NODE = '{"Node Type": "%s"%s, "Plan Rows": %d, "Startup Cost": %s, "Total Cost": %s}'
 #: Plan documents by a part of the statement that they answer.
 PLANS = """
@@ -141,6 +193,7 @@ from (select distinct sql from query_log) as s
 RELATIONS = {
     "query_log": QUERY_LOG, "tables": TABLES, "columns": COLUMNS, "indexes": INDEXES, "foreign_keys": FOREIGN_KEYS, "models": MODELS, "reflections": REFLECTIONS, "enums": ENUMS,
     "search_path": SEARCH_PATH, "migrations": MIGRATIONS, "source_usages": SOURCE_USAGES, "plans": PLANS, "source_files": SOURCE_FILES, "migration_files": MIGRATION_FILES,
+    "model_files": MODEL_FILES, "user_files": USER_FILES, "code_models": CODE_MODELS, "code_columns": CODE_COLUMNS,
 }
 
 

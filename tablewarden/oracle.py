@@ -179,6 +179,29 @@ def _suppressed(rule: dict) -> str:
     return "(" + " and ".join(f"coalesce({names.get(k, k)}, '') = '{v}'" for k, v in rule.items()) + ")"
 
 
+def _used(*kinds: tuple) -> str:
+    """Usages in the code of some kinds: (kind, ((line, column, operation, filters, source), ...)); # is the model's number and @ the file's."""
+    rows = ", ".join("(" + ", ".join([str(kind), str(line), *("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in rest)]) + ")" for kind, found in kinds for line, *rest in found)
+    return f"""select 'lib/u' || c || '.rb' as path, cast(line as integer) as line, 't' || m as table_name, x.c1 as column_name, op as operation, replace(w, 'OPENING', case when m % 3 = 1 then 'c' else 'a' end) as where_columns,
+        replace(replace(src, '#', cast(m as varchar)), '@', cast(c as varchar)) as source from (select c_custkey as c, c_custkey % (select count(*) from supplier) as m from customer) join (values {rows}) as x(kind, line, c1, op, w, src) on kind = c % 5"""
+
+
+#: A lexer of another make: the file is cut at what the generated code holds, without looking around; what a token is follows from its first letters and the one before.
+_CUT = r"=begin\n(?:[^=]|=[^e])*=end|#[^\n]*|<<~SQL|\n  d ->>[^\n]*\nSQL|\n| +|%w\[[^\]]*\]|\"[^\"]*\"|'[^']*'|def [a-z.]+\([a-z]\) =|::|:[a-z]+|[a-z]+:|[a-z]+|[A-Z][A-Za-z]*[0-9]*|[0-9]+|->|=>|<<|.".replace("'", "''")
+_TOKENS = f"""
+with files as (select path, text from ({fixtures.duckdb_sql("user_files")}) union all select path, text from ({fixtures.duckdb_sql("model_files")})),
+cut as (select path, unnest(regexp_extract_all(text, '{_CUT}')) as text, generate_subscripts(regexp_extract_all(text, '{_CUT}'), 1) as i from files),
+placed as (
+    select path, i, text, coalesce(sum(length(text)) over before, 0) as pos, 1 + coalesce(sum(length(text) - length(replace(text, chr(10), ''))) over before, 0) as line
+    from cut window before as (partition by path order by i rows between unbounded preceding and 1 preceding)
+)
+select path, cast(pos as bigint) as pos, cast(line as integer) as line, case when text[1] = '#' or starts_with(text, '=begin') then 'comment' when text = chr(10) then 'newline' when text[1] = chr(10) then 'heredoc' when text = '<<~SQL' then 'heredoc_start'
+    when text[1] in ('"', chr(39)) then 'string' when starts_with(text, '%w') then 'words' when starts_with(text, 'def ') then 'endless' when text[1] = ':' and length(text) > 1 and text <> '::' then 'symbol'
+    when regexp_matches(text, '^[a-z]+:$') then 'label' when text in ('class', 'def', 'do', 'end', 'if', 'self') then 'keyword' when regexp_matches(text, '^[A-Z]') then 'constant' when regexp_matches(text, '^[a-z]') then 'name'
+    when regexp_matches(text, '^[0-9]') then 'number' else 'mark' end as kind, text from placed where trim(text, ' ') <> ''
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "f01_table_refs": _with("refs", "select seq, cast(pos as integer) as pos, name, canonical, alias from refs"),
@@ -225,6 +248,15 @@ def oracle_sql() -> dict[str, str]:
             union all select path, cast(case k when 0 then 2 when 1 then 1 else 1 + n % 3 end as integer), t, c, op, w from (select c_custkey as n, c_custkey % 4 as k, 'gen/' || c_custkey || '.rb' as path from customer)
             join (values (0, 'orders', 'o_custkey', 'where', ''), (1, 'events', 'user_id', 'where', ''), (1, 'events', 'ts', 'order', 'user_id'), (3, 'customer', 'c_name', 'where', ''), (3, 'customer', 'c_acctbal', 'where', ''),
                 (3, 'customer', 'c_name', 'order', 'c_name,c_acctbal')) as x(kind, t, c, op, w) on kind = k""",
+        "x03_tokens": _TOKENS,
+        "x04_local_variables": _used((0, ((1, "a", "where", "", "Gen::M#.where(a: @)"), (3, "b", "order", "a", "rel.order(:b)"))), (1, (
+            (2, "a", "where", "", "Gen::M#.where a: 1"), (4, "b", "where", "", "rel.where(b: row)"), (5, "c", "order", "a,b", "rel.order('c DESC, d')"), (5, "d", "order", "a,b", "rel.order('c DESC, d')"), (8, "c", "order", "a", "rel\n    .order(:c)")))),
+        "x05_named_scopes": _used((2, ((1, "b", "order", "OPENING,b", "Gen::M#.both.order(:b)"), (2, "d", "order", "d,OPENING", "Gen::M#.short(1).opening.reorder(d: :desc)")))) + """
+            union all select 'app/models/m' || m || '.rb', cast(line as integer), 't' || m, c, op, replace(w, 'OPENING', case when m % 3 = 1 then 'c' else 'a' end), replace(source, '@', cast(m as varchar)) from (select s_suppkey as m from supplier)
+            join (values (3, 'a', 'where', '', 'where(a: @)', false), (4, 'c', 'order', 'OPENING,b', 'opening.where(b: 1).order(:c)', false), (4, 'b', 'where', '', 'opening.where(b: 1)', false), (7, 'c', 'where', '', 'later(x).where(c: x)', false),
+                (11, 'b', 'where', '', 'where(b: y)', false), (18, 'a', 'where', '', 'again.where("a" => 1)', false), (20, 'd', 'where', '', 'where(d: z, gone: 1)', false), (24, 'a', 'where', '', 'where a: @', false),
+                (27, 'c', 'where', '', 'where(c: 1)', true)) as x(line, c, op, w, source, more) on not more or m % 3 = 1""",
+        "x06_helpers": _used((3, ((1, "b", "order", "b,c", "Gen::M#.named(@).reorder(b: :desc)"),)), (4, ((1, "c", "order", "a", "Gen::M#.where(<<~SQL, @).again.order(:c)"), (1, "d", "jsonb_where", "", "Gen::M#.where(<<~SQL, @)")))),
         "x02_migration_changes": _values([
             ("db/migrate/1.rb", 3, "orders", "customer_id", "add_reference :orders, :customer"), ("db/migrate/1.rb", 6, "nation", "region_id", "add_column :nation, :region_id, :bigint"), ("db/migrate/2.rb", 4, "notes", "author_id", "t.references :author"),
         ], "path, line, table_name, column_name, source") + """

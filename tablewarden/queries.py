@@ -17,7 +17,7 @@ from .functions import names, sqltext
 from .functions.sqltext import let
 from .operators import indexes, usages
 from .plans import explain
-from .sources import apptext, catalog, snapshot
+from .sources import apptext, catalog, code, snapshot, tokens
 from .workspace import saved, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,6 +318,34 @@ def x01_source_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "line", "table_name", "column_name", "operation", listed("where_columns").alias("where_columns"))
 
 
+def _code(spark: SparkSession, sf_dir: str, *kinds: int) -> DataFrame:
+    """Usages in the generated models' files and the code of some kinds."""
+    files = fixtures.relation(spark, sf_dir, "user_files").filter(F.col("c").isNotNull() & (F.col("c") % 5).isin(*kinds)).select("path", "text").union(fixtures.relation(spark, sf_dir, "model_files"))
+    found = code.analysed(files, fixtures.relation(spark, sf_dir, "code_models"), fixtures.relation(spark, sf_dir, "code_columns"))
+    return found.select("path", "line", "table_name", "column_name", "operation", listed("where_columns").alias("where_columns"), "source")
+
+
+def x03_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of all generated files, each with its place, line and kind."""
+    files = fixtures.relation(spark, sf_dir, "user_files").select("path", "text").union(fixtures.relation(spark, sf_dir, "model_files"))
+    return tokens.lexed(files).filter("kind <> 'space'").select("path", "pos", "line", "kind", "text")
+
+
+def x04_local_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usages through local variables, reassigned and shadowed."""
+    return _code(spark, sf_dir, 0, 1).filter("path like 'lib/%'")
+
+
+def x05_named_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usages through named scopes, with those in the models' own files."""
+    return _code(spark, sf_dir, 2)
+
+
+def x06_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usages through class methods that call others, or themselves."""
+    return _code(spark, sf_dir, 3, 4).filter("path like 'lib/%'")
+
+
 def x02_migration_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.createDataFrame(list(CHANGES), "path string, text string").union(fixtures.relation(spark, sf_dir, "migration_files"))
     return apptext.migration_changes(files).select("path", "line", "table_name", "column_name", "source")
@@ -337,6 +365,6 @@ def queries() -> dict[str, Query]:
     found = {f.__name__: f for f in (
         f01_table_refs, f03_fragments, f05_column_refs, f06_json_refs, f10_literalised, p27_explainable, f14_durations, f36_order_words, a01_usage_counts, u01_all_usages, f15_names, j18_canonical_names,
         s01_scanned_tables, s02_columns, s05_row_estimates, s08_models, o05_plan_summaries, j19_annotated_usages, p09_unindexed_columns, p11_leading_columns, p13_unsupported_orders, p22_unserved_json,
-        p23_json_fragments, p29_suppressed, o01_report_order, a07_severity_counts, s19_report_text, s20_fails, s09_model_relations, s13_snapshot_usages, s17_snapshot_round_trip, s18_report_findings, f30_snapshot_faults, x01_source_usages, x02_migration_changes, st03_stream_usages,
+        p23_json_fragments, p29_suppressed, o01_report_order, a07_severity_counts, s19_report_text, s20_fails, s09_model_relations, s13_snapshot_usages, s17_snapshot_round_trip, s18_report_findings, f30_snapshot_faults, x01_source_usages, x03_tokens, x04_local_variables, x05_named_scopes, x06_helpers, x02_migration_changes, st03_stream_usages,
     )}
     return found | {(q := rule_query(i, code)).__name__: q for i, code in enumerate(RULES, 1)}

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, col: str) -> DataFrame:
+    """`df` with `col` replaced by its rank from 1, over all parts: ranges of values, numbered inside, and the sizes of the ranges before."""
+    own = df.repartitionByRange(col).withColumn("__part", F.spark_partition_id())
+    rows = saved(own, "ranges")  # ranges come from a sample: written, so that all readers see the same ones
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy("a.__part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("__before"))  # a row a part
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(col))
+    return rows.withColumn("__inside", inside).join(before, "__part").withColumn(col, (F.col("__inside") + F.col("__before")).cast("bigint")).drop("__part", "__inside", "__before")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores where it comes in fewer parts: statements take little room and much parsing."""
     cores = df.sparkSession.sparkContext.defaultParallelism
