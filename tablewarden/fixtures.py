@@ -57,6 +57,7 @@ union all select 'orders', list('o_orderkey'), (select count(*) from orders)
 union all select 'lineitem', list('l_orderkey', 'l_linenumber'), (select count(*) from lineitem)
 union all select 'events', null, (select count(*) from events)
 union all select 'accounts', list('id'), null
+union all select 't' || cast(s_suppkey as varchar(20)), case when s_suppkey % 5 = 0 then null else list('id') end, cast(s_suppkey * 700 as bigint) from supplier
 """
 COLUMNS = """
 select * from (values ('region', 'r_regionkey'), ('region', 'r_name'), ('nation', 'n_nationkey'), ('nation', 'n_name'), ('nation', 'n_regionkey'), ('customer', 'c_custkey'), ('customer', 'c_name'),
@@ -64,6 +65,7 @@ select * from (values ('region', 'r_regionkey'), ('region', 'r_name'), ('nation'
     ('part', 'p_brand'), ('orders', 'o_orderkey'), ('orders', 'o_custkey'), ('orders', 'o_orderstatus'), ('orders', 'o_totalprice'), ('orders', 'o_orderdate'), ('lineitem', 'l_orderkey'), ('lineitem', 'l_partkey'),
     ('lineitem', 'l_suppkey'), ('lineitem', 'l_linenumber'), ('lineitem', 'l_shipdate'), ('events', 'event_id'), ('events', 'user_id'), ('events', 'event_type'), ('events', 'props'), ('events', 'ts'),
     ('accounts', 'id'), ('accounts', 'created_at'), ('accounts', 'updated_at'), ('accounts', 'owner_type'), ('accounts', 'owner_id'), ('part', 'created_at')) as t(table_name, column_name)
+union all select 't' || cast(s_suppkey as varchar(20)), c from supplier cross join (values (1, 'id'), (1, 'status'), (1, 'owner_id'), (2, 'owner_type'), (3, 'created_at'), (4, 'updated_at')) as x(k, c) where k = 1 or s_suppkey % k > 0
 """
 INDEXES = """
 select 'orders' as table_name, 'orders_custkey' as index_name, list('o_custkey') as columns, 'btree' as method
@@ -73,6 +75,7 @@ union all select 'nation', 'nation_region_name', list('n_regionkey', 'n_name'),
 union all select 'accounts', 'accounts_owner', list('owner_id', 'owner_type'), 'btree'
 union all select 'events', 'events_props', list('props'), 'GIN'
 union all select 'events', 'events_other', list('(props ->> ''other''::text)'), 'btree'
+union all select 't' || cast(s_suppkey as varchar(20)), 'i' || cast(s_suppkey as varchar(20)), case s_suppkey % 4 when 0 then list('owner_id') when 1 then list('owner_type', 'owner_id') else list('status', 'owner_id') end, case when s_suppkey % 3 = 0 then 'btree' end from supplier where s_suppkey % 3 < 2
 """
 FOREIGN_KEYS = """
 select 'nation' as table_name, 'nation_region' as fk_name, 'region' as to_table, list('n_regionkey') as columns, 'r_regionkey' as primary_key
@@ -80,10 +83,12 @@ union all select 'orders', 'orders_customer', 'customer', list('o_custkey'), 'c_
 union all select 'lineitem', 'lineitem_orders', 'orders', list('l_orderkey'), 'o_orderkey'
 union all select 'supplier', 'supplier_nation', 'nation', list('s_nationkey'), null
 union all select 'lineitem', 'lineitem_pair', 'part', list('l_suppkey', 'l_partkey'), 'p_partkey'
+union all select 't' || cast(s_suppkey as varchar(20)), 'k' || cast(s_suppkey as varchar(20)), 't' || cast(s_suppkey + 1 as varchar(20)), list('owner_id'), case when s_suppkey % 4 < 2 then 'id' end from supplier where s_suppkey % 2 = 0
 """
 MODELS = """
 select * from (values (1, 'Customer', 'customer', 0, 'app/models/customer.rb'), (2, 'Order', 'orders', 1, null), (3, 'LineItem', 'lineitem', 0, null), (4, 'Event', 'events', 2, null),
     (5, 'ArchivedOrder', 'orders', 0, null), (6, 'Account', 'accounts', 0, null), (7, 'Ghost', 'ghosts', 3, null), (8, 'Customer', 'customer', 5, null)) as t(seq, model, table_name, default_scope_count, source_location)
+union all select 100 + s_suppkey, 'M' || cast(s_suppkey as varchar(20)), 't' || cast(s_suppkey as varchar(20)), s_suppkey % 3, 'app/models/m' || cast(s_suppkey as varchar(20)) || '.rb' from supplier
 """
 REFLECTIONS = """
 select 1 as seq, 'Customer' as model, 'customer' as table_name, 'orders' as name, 'has_many' as macro, dict(list('dependent'), list('destroy')) as options, 'o_custkey' as foreign_key, null as foreign_type, 'orders' as target_table, false as polymorphic, 'customer' as inverse_name, null as association_primary_key
@@ -97,12 +102,20 @@ union all select 8, 'Customer', 'customer', 'notes', 'has_many', dict(list('depe
 union all select 9, 'Event', 'events', 'user', 'belongs_to', dict(list('a'), list('b')), 'user_id', null, 'customer', false, null, null
 union all select 10, 'Order', 'orders', 'gone', 'belongs_to', dict(list('a'), list('b')), 'gone_id', null, 'customer', false, null, null
 union all select 11, 'Customer', 'customer', 'events', 'has_many', dict(list('dependent'), list('destroy')), 'user_id', null, 'events', false, null, null
+union all select 100 + s_suppkey, 'M' || cast(s_suppkey as varchar(20)), 't' || cast(s_suppkey as varchar(20)), 'owner', case when s_suppkey % 7 = 6 then 'has_many' else 'belongs_to' end, dict(list('dependent'), list(case when s_suppkey % 2 = 0 then 'destroy' else 'x' end)), 'owner_id',
+    case when s_suppkey % 3 = 1 then 'owner_type' end, 't' || cast(s_suppkey + 1 as varchar(20)), s_suppkey % 3 = 1, case when s_suppkey % 5 = 1 then 'm' end, case when s_suppkey % 4 > 1 then 'uuid' else 'id' end from supplier
 """
 ENUMS = "select * from (values ('Customer', 'customer', 'c_mktsegment'), ('Order', 'orders', 'o_orderstatus'), ('ArchivedCustomer', 'customer', 'c_mktsegment'), ('Part', 'part', 'p_size')) as t(model, table_name, column_name)"
+NAMES = """
+select distinct table_name from (
+    select * from (values ('analytics.orders'), ('archive.orders'), ('public.orders'), ('archive.lineitem'), ('public.part'), ('analytics.part'), ('x.events'), ('y.events'), ('customer')) as t(table_name)
+    union all select case s_suppkey % 4 when 0 then 'public.' when 1 then 'analytics.' when 2 then 's' || cast(s_suppkey as varchar(20)) || '.' else '' end || 't' || cast(s_suppkey % 50 as varchar(20)) from supplier) as n
+"""
 SEARCH_PATH = "select * from (values (0, 'analytics'), (1, 'public')) as t(rank, schema_name)"
 MIGRATIONS = """
 select * from (values (1, 'orders', 'o_custkey', 'db/1.rb', 3, 'add_reference :orders, :o_custkey'), (2, 'lineitem', 'l_suppkey', 'db/2.rb', 4, 'add_reference :lineitem, :l_suppkey'), (3, 'ghosts', 'user_id', 'db/3.rb', 5, 'x'),
     (4, 'orders', 'gone_id', 'db/4.rb', 6, 'y'), (5, 'supplier', 's_nationkey', 'db/5.rb', 7, 'z')) as t(seq, table_name, column_name, path, line, source)
+union all select 100 + s_suppkey, 't' || cast(s_suppkey * 2 as varchar(20)), case when s_suppkey % 3 = 0 then 'owner_id' else 'status' end, 'db/g' || cast(s_suppkey as varchar(20)) || '.rb', s_suppkey % 40, 'add_reference ' || cast(s_suppkey as varchar(20)) from supplier
 """
 SOURCE_USAGES = """
 select * from (values (1, 'part', 'p_brand', 'where', 'Part.where(p_brand: 1)', 'app/models/part.rb', 7), (2, 'part', 'p_brand', 'where', 'Part.where(p_brand: 2)', 'app/models/part.rb', 9), (3, 'customer', 'c_mktsegment', 'where', 'x', 'lib/a.rb', 1),
@@ -192,7 +205,7 @@ from (select distinct sql from query_log) as s
 """
 RELATIONS = {
     "query_log": QUERY_LOG, "tables": TABLES, "columns": COLUMNS, "indexes": INDEXES, "foreign_keys": FOREIGN_KEYS, "models": MODELS, "reflections": REFLECTIONS, "enums": ENUMS,
-    "search_path": SEARCH_PATH, "migrations": MIGRATIONS, "source_usages": SOURCE_USAGES, "plans": PLANS, "source_files": SOURCE_FILES, "migration_files": MIGRATION_FILES,
+    "search_path": SEARCH_PATH, "names": NAMES, "migrations": MIGRATIONS, "source_usages": SOURCE_USAGES, "plans": PLANS, "source_files": SOURCE_FILES, "migration_files": MIGRATION_FILES,
     "model_files": MODEL_FILES, "user_files": USER_FILES, "code_models": CODE_MODELS, "code_columns": CODE_COLUMNS,
 }
 

@@ -69,12 +69,12 @@ CTES = {
         union all select 1, seq, table_name, column_name, operation, where_columns, 'runtime', count, total_duration_ms, source, null, null, plan_summary, plan_root_node_type, plan_relation_node_type, plan_relation_name, plan_rows
         from runtime left join explained on statement = trim(coalesce(explain_source, source)) and regexp_matches(trim(coalesce(explain_source, source)), '(?i)^(SELECT|WITH)(\\s|$)')
             and not regexp_matches(coalesce(explain_source, source), '\\$\\d|\\?')""",
-} | {f"c_{name}": fixtures.duckdb_sql(name) for name in ("tables", "columns", "indexes", "foreign_keys", "models", "reflections", "enums", "search_path", "migrations")}
+} | {f"c_{name}": fixtures.duckdb_sql(name) for name in ("tables", "columns", "indexes", "foreign_keys", "models", "reflections", "enums", "search_path", "migrations", "names")}
 CTES["walk"] = """select statement, cast([] as integer[]) as path, p from roots where p is not null
     union all select statement, list_append(path, cast(i as integer)), json_extract(p, '$.Plans[' || i || ']') from walk, unnest(range(cast(coalesce(json_array_length(p, '$.Plans'), 0) as bigint))) as t(i)"""
 del CTES["nodes"]
 ORDER = ["query_log", "log", "refs", "aliases", "fragments", "wheres", "orders_", "alone", "json", "context", "seen", "observed", "runtime", "plans", "roots", "walk", "explained", "source_usages", "usages"]
-CATALOG = [f"c_{n}" for n in ("tables", "columns", "indexes", "foreign_keys", "models", "reflections", "enums", "search_path", "migrations")]
+CATALOG = [f"c_{n}" for n in ("tables", "columns", "indexes", "foreign_keys", "models", "reflections", "enums", "search_path", "migrations", "names")]
 
 
 def _with(last: str, query: str, *catalog: str) -> str:
@@ -159,7 +159,7 @@ RULE_SQL = {
 _CATALOG_FINDINGS = " union all ".join(sql for _, sql in _CATALOG_RULES.values())
 _FOUR = ("tables", "columns", "indexes", "foreign_keys", "models")
 _RANK = "case severity when 'high' then 3 when 'medium' then 2 else 1 end"
-_KNOWN = "(values ('analytics.orders'), ('archive.orders'), ('public.orders'), ('archive.lineitem'), ('public.part'), ('analytics.part'), ('x.events'), ('y.events'), ('customer')) as known(table_name)"
+_KNOWN = "c_names known"
 _BINDS = "case when seq % 5 <> 0 then case seq % 3 when 0 then [cast(seq as varchar)] when 1 then [cast(seq as varchar), '''it''''s $1'''] else [cast(seq as varchar), 'NULL'] end end"
 
 
@@ -217,10 +217,10 @@ def oracle_sql() -> dict[str, str]:
         "a01_usage_counts": _with("runtime", "select * from runtime"),
         "u01_all_usages": _with("usages", "select origin, operation, count(*) as n, cast(sum(count) as bigint) as uses from usages group by all"),
         "f15_names": _with("", f"""select table_name, case when contains(table_name, '.') then split_part(table_name, '.', 1) end as schema_name, regexp_replace(table_name, '^[^.]*\\.', '') as base,
-            coalesce((select min(rank) from c_search_path p where p.schema_name = split_part(table_name, '.', 1) and contains(table_name, '.')), 1000000) as rank from {_KNOWN}""", "search_path"),
+            coalesce((select min(rank) from c_search_path p where p.schema_name = split_part(table_name, '.', 1) and contains(table_name, '.')), 1000000) as rank from {_KNOWN}""", "search_path", "names"),
         "j18_canonical_names": _with("runtime", f"""select seq, case when contains(table_name, '.') then table_name else coalesce((select case when count(*) = 1 then min(k) else arg_min(k, r) filter (r is not null) end from (
             select known.table_name as k, (select rank from c_search_path p where p.schema_name || '.' || regexp_replace(known.table_name, '^[^.]*\\.', '') = known.table_name) as r from {_KNOWN} where regexp_replace(known.table_name, '^[^.]*\\.', '') = runtime.table_name)), table_name) end as table_name,
-            '' as plan_relation_name from runtime""", "search_path"),
+            '' as plan_relation_name from runtime""", "search_path", "names"),
         "s01_scanned_tables": _with("", "select table_name from (select table_name from c_tables union select table_name from c_models union select 'analytics.part' union select 'other.nation') where table_name not in ('region', 'part')", "tables", "models"),
         "s02_columns": "select table_name, column_name from information_schema.columns where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')",
         "s05_row_estimates": """select * from (select 'orders' as table_name, (select count(*) from orders) + 9 as estimated_row_count union all select 'part', (select count(*) from part) + 6 union all select 'nation', null

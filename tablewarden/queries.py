@@ -18,7 +18,7 @@ from .functions.sqltext import let
 from .operators import indexes, usages
 from .plans import explain
 from .sources import apptext, catalog, code, snapshot, tokens
-from .workspace import saved, shared_dir
+from .workspace import ranked, saved, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 RULES = {
@@ -109,8 +109,7 @@ def u01_all_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = ("analytics.orders", "archive.orders", "public.orders", "archive.lineitem", "public.part", "analytics.part", "x.events", "y.events", "customer")
-    return spark.createDataFrame([(n,) for n in known], "table_name string")
+    return fixtures.relation(spark, sf_dir, "names")
 
 
 def f15_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,13 +200,11 @@ def p29_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o01_report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's order as numbers; findings are few, and a report numbers them in one place."""
-    from pyspark.sql.window import Window
-
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    found = _catalog_findings(spark, sf_dir)
-    order = Window.orderBy(report.rank().desc(), "code", blank("table_name"), blank("column_name"), blank("model"), blank("evidence"))
-    return found.select(F.row_number().over(order).alias("place"), "severity", "code", "table_name", "column_name")
+    """The report's order as numbers, ranked over all parts."""
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    place = F.struct((-report.rank()).alias("r"), "code", blank("table_name"), blank("column_name"), blank("model"), blank("evidence"))
+    found = ranked(_catalog_findings(spark, sf_dir).withColumn("place", place), "place")
+    return found.select(F.col("place").cast("int").alias("place"), "severity", "code", "table_name", "column_name")
 
 
 def a07_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
