@@ -358,10 +358,42 @@ def st03_stream_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("table_name", "column_name", "operation", listed("where_columns").alias("where_columns"), "count", F.col("duration").cast("double").alias("total_duration_ms"), "source", "explain_source")
 
 
+def _counted(found: DataFrame) -> DataFrame:
+    return found.select("table_name", "column_name", "operation", listed("where_columns").alias("where_columns"), "count", F.col("duration").cast("double").alias("total_duration_ms"), "source", "explain_source")
+
+
+def st03_running_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query log in three parts, counted in the state store by a session that is begun anew for each; the counts are those of a01."""
+    from .streaming.capture import event_stream
+    from .streaming.running import Running
+
+    base = f"{shared_dir(spark)}/running-{uuid.uuid4().hex}"
+    log = fixtures.relation(spark, sf_dir, "query_log")
+    for part in range(3):
+        log.filter(F.pmod("seq", F.lit(3)) == part).write.mode("append").parquet(f"{base}/events")
+        session = Running(event_stream(spark, f"{base}/events"), f"{base}/session").run()
+    return _counted(session.usages())
+
+
+def st05_session_while_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a session that still runs: it has taken in the statements with even numbers, and a batch of others lies half-written."""
+    from .streaming.capture import Capture, event_stream
+
+    base = f"{shared_dir(spark)}/capture-{uuid.uuid4().hex}"
+    log = fixtures.relation(spark, sf_dir, "query_log")
+    log.filter(F.pmod("seq", F.lit(2)) == 0).write.parquet(f"{base}/events")
+    session = Capture(event_stream(spark, f"{base}/events"), f"{base}/session").start(processingTime="1 second").settle()
+    try:
+        log.filter(F.pmod("seq", F.lit(2)) == 1).write.parquet(f"{base}/session/log/epoch=9-unfinished")
+        return _counted(saved(session.usages(), "counts"))
+    finally:
+        session.stop()
+
+
 def queries() -> dict[str, Query]:
     found = {f.__name__: f for f in (
         f01_table_refs, f03_fragments, f05_column_refs, f06_json_refs, f10_literalised, p27_explainable, f14_durations, f36_order_words, a01_usage_counts, u01_all_usages, f15_names, j18_canonical_names,
         s01_scanned_tables, s02_columns, s05_row_estimates, s08_models, o05_plan_summaries, j19_annotated_usages, p09_unindexed_columns, p11_leading_columns, p13_unsupported_orders, p22_unserved_json,
-        p23_json_fragments, p29_suppressed, o01_report_order, a07_severity_counts, s19_report_text, s20_fails, s09_model_relations, s13_snapshot_usages, s17_snapshot_round_trip, s18_report_findings, f30_snapshot_faults, x01_source_usages, x03_tokens, x04_local_variables, x05_named_scopes, x06_helpers, x02_migration_changes, st03_stream_usages,
+        p23_json_fragments, p29_suppressed, o01_report_order, a07_severity_counts, s19_report_text, s20_fails, s09_model_relations, s13_snapshot_usages, s17_snapshot_round_trip, s18_report_findings, f30_snapshot_faults, x01_source_usages, x03_tokens, x04_local_variables, x05_named_scopes, x06_helpers, x02_migration_changes, st03_stream_usages, st03_running_usages, st05_session_while_running,
     )}
     return found | {(q := rule_query(i, code)).__name__: q for i, code in enumerate(RULES, 1)}

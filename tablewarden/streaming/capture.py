@@ -1,15 +1,16 @@
 """Capture sessions over a stream of SQL events.
 
 Each micro-batch of events is written to the session's log, parsed by the same
-expressions as in batch and counted; its counts are a Parquet table of their own,
-keyed by epoch, so that replaying an epoch after a failure overwrites its own
-folders only.  The counts of a session are the sums over its epochs.  Every
-`MERGE` epochs they are merged into one base table, and what it covers is deleted,
-so a session reads at most so many tables however long it runs.
+expressions as in batch and counted.  A list of the tables that count is then
+swapped at once (`manifest`): readers see whole epochs only, also while a batch
+runs or after one has failed half-way, and an epoch that is replayed after its
+commit is left out.  Every `MERGE` tables of counts become one, and so do `LOGS`
+folders of the log; what they cover is deleted one such merge later.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.sqltext import literalised
 from ..operators.usages import aggregated, as_relation, merged, observed, recorded
 from ..sources import snapshot
-from ..workspace import delete, folders, spread
+from ..workspace import spread
+from .manifest import Manifest
 
 EVENTS = "seq bigint, sql string, name string, duration_ms decimal(18,2), explain_sql string, ts timestamp"
-#: Epochs between merges of the counts.
-MERGE = 16
+#: Tables of counts, and folders of the log, that become one.
+MERGE, LOGS = 16, 256
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,28 +51,29 @@ class Capture:
     folder: str
     _query: StreamingQuery | None = field(default=None, repr=False)
 
+    def _lists(self, spark: SparkSession) -> Manifest:
+        return Manifest.read(spark, f"{self.folder}/manifest")
+
     def _save(self, events: DataFrame, epoch: int) -> None:
         spark = events.sparkSession
-        log = f"{self.folder}/log/epoch={epoch}"
-        recorded(events).write.mode("overwrite").parquet(log)
-        own = spark.read.schema(EVENTS).parquet(log)
-        aggregated(observed(spread(own))).write.mode("overwrite").parquet(f"{self.folder}/counts/epoch={epoch}")
-        if epoch % MERGE == MERGE - 1:
-            self._merge(spark, epoch)
-
-    def _tables(self, spark: SparkSession) -> tuple[int, list[str]]:
-        """The last epoch that a whole base covers, and the tables whose sum the counts are."""
-        of = lambda kind: {int(name.split("=")[1]): f"{self.folder}/counts/{name}" for name in folders(spark, f"{self.folder}/counts") if name.startswith(f"{kind}=")}
-        whole = {n: path for n, path in of("base").items() if "_SUCCESS" in folders(spark, path)}
-        last = max(whole, default=-1)
-        return last, [*([whole[last]] if whole else []), *[path for n, path in of("epoch").items() if n > last]]
-
-    def _merge(self, spark: SparkSession, epoch: int) -> None:
-        _, tables = self._tables(spark)
-        merged(spark.read.parquet(*tables)).write.mode("overwrite").parquet(f"{self.folder}/counts/base={epoch}")
-        for name in folders(spark, f"{self.folder}/counts"):
-            if int(name.split("=")[1]) < epoch + name.startswith("epoch"):
-                delete(spark, f"{self.folder}/counts/{name}")
+        before = self._lists(spark)
+        if epoch <= before.epoch:  # committed, but Spark didn't get to know
+            return
+        own = f"epoch={epoch}-{uuid.uuid4().hex}"
+        log, counts = f"{self.folder}/log/{own}", f"{self.folder}/counts/{own}"
+        recorded(events).write.parquet(log)
+        aggregated(observed(spread(spark.read.schema(EVENTS).parquet(log)))).write.parquet(counts)
+        tables, gone = [*before.tables.get("counts", []), counts], []
+        if len(tables) >= MERGE:
+            base = f"{self.folder}/counts/base={epoch}-{uuid.uuid4().hex}"
+            merged(spark.read.parquet(*tables)).write.parquet(base)
+            tables, gone = [base], tables
+        logs = [*before.tables.get("log", []), log]
+        if len(logs) >= LOGS:  # one folder for many, of as many rows
+            whole = f"{self.folder}/log/base={epoch}-{uuid.uuid4().hex}"
+            spark.read.schema(EVENTS).parquet(*logs).write.parquet(whole)
+            logs, gone = [whole], [*gone, *logs]
+        before.commit(epoch, {"counts": tables, "log": logs}, gone)
 
     def start(self, **trigger) -> Capture:
         """Begin; a session that runs already goes on."""
@@ -79,6 +82,11 @@ class Capture:
             self._query = self.events.writeStream.foreachBatch(self._save).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(**trigger).start()
         return self
 
+    def settle(self) -> Capture:
+        """Wait until all events that are there are taken in; the session runs on."""
+        self._query.processAllAvailable()
+        return self
+
     def stop(self) -> None:
         """End; a session that has ended stays so."""
         if self._query is not None:
@@ -95,16 +103,20 @@ class Capture:
         return self
 
     def usages(self) -> DataFrame:
-        """The counts so far."""
+        """The counts of the epochs committed so far, also while the session runs."""
         spark = self.events.sparkSession
-        _, tables = self._tables(spark)
+        tables = self._lists(spark).tables.get("counts", [])
         return merged(spark.read.parquet(*tables) if tables else aggregated(observed(spark.createDataFrame([], EVENTS))))
 
     def log(self) -> DataFrame:
+        """The statements of the epochs committed so far."""
         spark = self.events.sparkSession
-        parts = [f"{self.folder}/log/{name}" for name in folders(spark, f"{self.folder}/log")]
+        parts = self._lists(spark).tables.get("log", [])
         return spark.read.schema(EVENTS).parquet(*parts) if parts else spark.createDataFrame([], EVENTS)
 
     def write(self, path: str) -> None:
-        """The session's snapshot, a folder of JSON parts; the counts are those that it has."""
-        snapshot.write(self.log(), as_relation(self.usages()), path)
+        """The session's snapshot, a folder of JSON parts: log and counts of the same epochs."""
+        now = self._lists(self.events.sparkSession)
+        at = Capture(self.events, self.folder)
+        at._lists = lambda spark: now
+        snapshot.write(at.log(), as_relation(at.usages()), path)

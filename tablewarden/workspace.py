@@ -59,3 +59,31 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     where, system = _path(spark, path)
     system.delete(where, True)
+
+
+def path_of(folder: str, name: str) -> str:
+    return f"{folder}/{name}"
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole; FileNotFoundError if there is none."""
+    where, system = _path(spark, path)
+    if not system.exists(where):
+        raise FileNotFoundError(path)
+    stream = system.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, put in place at once by a rename."""
+    draft, system = _path(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    stream = system.create(draft, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    where, _ = _path(spark, path)
+    if not system.rename(draft, where):
+        system.delete(draft, False)
+        raise FileExistsError(path)
