@@ -27,6 +27,7 @@ from tablewarden.llm.linededup import dedup_lines
 from tablewarden.llm.mixing import mix_documents
 from tablewarden.llm.neardup import near_duplicates
 from tablewarden.llm.quality import judge
+from tablewarden.workspace import delete
 
 #: Ids that are broadcast, a long each; more of them meet the documents in a shuffled join.
 BROADCAST_IDS = 1_000_000
@@ -85,9 +86,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; what a stage has written is deleted once the next one's is on disk."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
