@@ -225,6 +225,7 @@ def oracle_sql() -> dict[str, str]:
         "s02_columns": "select table_name, column_name from information_schema.columns where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')",
         "s05_row_estimates": """select * from (select 'orders' as table_name, (select count(*) from orders) + 9 as estimated_row_count union all select 'part', (select count(*) from part) + 6 union all select 'nation', null
             union all select 'public.orders', (select count(*) from orders) + 6 union all select 'other.nation', (select count(*) from nation) + 5 union all select 'nowhere', null)""",
+        "s05_statistics": "select 'orders' as table_name, count(*) as estimated_row_count from orders union all select 'part', count(*) from part union all select 'events', count(*) from events union all select 'nation', null",
         "s08_models": _with("", "select cast(min(seq) as bigint) as seq, model, table_name, arg_min(default_scope_count, seq) as default_scope_count, min(source_location) as source_location from c_models group by model, table_name", "models"),
         "o05_plan_summaries": _with("explained", "select * from explained"),
         "j19_annotated_usages": _with("usages", "select table_name, column_name, operation, where_columns, origin, source, plan_summary, plan_root_node_type, plan_relation_node_type, plan_relation_name, plan_rows from usages"),
