@@ -21,7 +21,56 @@ JDBC = {
 def jdbc_relation(spark: SparkSession, name: str, url: str, **options: str) -> DataFrame:
     """One catalog relation of a PostgreSQL database; columns that the source lacks are null."""
     found = spark.read.format("jdbc").options(url=url, query=JDBC[name], **options).load()
-    target = empty(spark, name).schema
+    return _shaped(found, name)
+
+
+def _asked(result, *names: str) -> list[tuple]:
+    """Rows of a JDBC result, the named columns as text."""
+    out = []
+    while result.next():
+        out.append(tuple(result.getString(n) for n in names))
+    result.close()
+    return out
+
+
+def database_catalog(spark: SparkSession, url: str, schema: str | None = None) -> dict[str, DataFrame]:
+    """tables, columns, indexes and foreign_keys of any database with a JDBC driver, by the driver's own metadata calls.
+
+    A catalog is small: the names of a database's tables, columns and keys pass
+    through the driver.  Row estimates are not among what drivers tell and stay
+    null; the index behind a primary key is left out.
+    """
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        meta = connection.getMetaData()
+        kinds = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.String, 1)
+        kinds[0] = "TABLE"
+        tables, columns, indexes, keys = [], [], [], []
+        for (name,) in _asked(meta.getTables(None, schema, None, kinds), "TABLE_NAME"):
+            primary = [c for _, c in sorted((int(n), c) for n, c in _asked(meta.getPrimaryKeys(None, schema, name), "KEY_SEQ", "COLUMN_NAME"))]
+            tables.append((name, primary or None))
+            columns += [(name, c, kind.lower(), kind.lower(), null == "YES") for c, kind, null in _asked(meta.getColumns(None, schema, name, None), "COLUMN_NAME", "TYPE_NAME", "IS_NULLABLE")]
+            parts: dict[tuple, list] = {}
+            for index, plain, place, column, when in _asked(meta.getIndexInfo(None, schema, name, False, True), "INDEX_NAME", "NON_UNIQUE", "ORDINAL_POSITION", "COLUMN_NAME", "FILTER_CONDITION"):
+                if index is not None:
+                    parts.setdefault((index, plain.lower() in ("false", "0", "f"), when), []).append((int(place), column))
+            indexes += [(name, index, [c for _, c in sorted(own)], unique, when) for (index, unique, when), own in parts.items() if not (unique and [c for _, c in sorted(own)] == primary)]
+            links: dict[tuple, list] = {}
+            for key, to, place, column, target in _asked(meta.getImportedKeys(None, schema, name), "FK_NAME", "PKTABLE_NAME", "KEY_SEQ", "FKCOLUMN_NAME", "PKCOLUMN_NAME"):
+                links.setdefault((key, to), []).append((int(place), column, target))
+            keys += [(name, key, name, to, [c for _, c, _ in sorted(own)], sorted(own)[0][2]) for (key, to), own in links.items()]
+    finally:
+        connection.close()
+    made = {
+        "tables": (tables, "table_name string, primary_key array<string>"), "columns": (columns, "table_name string, column_name string, type string, sql_type string, nullable boolean"),
+        "indexes": (indexes, "table_name string, index_name string, columns array<string>, is_unique boolean, predicate string"), "foreign_keys": (keys, "table_name string, fk_name string, from_table string, to_table string, columns array<string>, primary_key string"),
+    }
+    return {name: _shaped(spark.createDataFrame(rows, kind), name) for name, (rows, kind) in made.items()}
+
+
+def _shaped(found: DataFrame, name: str) -> DataFrame:
+    """The columns of a relation's schema; those that the source lacks are null."""
+    target = empty(found.sparkSession, name).schema
     return found.select(*[(F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target])
 
 
