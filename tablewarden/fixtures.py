@@ -203,10 +203,32 @@ select sql as statement, case
     when sql like '%FROM public.orders%' then '[]' end as plan_json
 from (select distinct sql from query_log) as s
 """
+_META = '"metadata": {"schema_version": %s, "generator": {"name": "tablewarden", "version": "1"}, "capture": {"literalized_binds": %s}}, "queries": [%s]'
+_USE = '{"table": "t", "column": "c", "operation": "where", "source": "s", "origin": "runtime", "count": 1, "path": null, "line": null%s}'
+#: Snapshot documents, valid and with one fault each, by name.
+DOCUMENTS = {
+    "valid": "{%s, \"query_usages\": [%s]}" % (_META % ("2", "true", '{"sql": "x", "name": null, "duration_ms": 1.5, "explain_sql": null}'), _USE % ""),
+    "legacy": '{"query_usages": [{"table": "t", "column": "c", "operation": "where", "source": "s", "count": 1}]}',
+    "no_usages": '{"query_usages": 3}',
+    "version": "{%s, \"query_usages\": []}" % (_META % ("99", "true", "")),
+    "generator": '{"metadata": {"schema_version": 2, "generator": {"name": "other", "version": "1"}, "capture": {"literalized_binds": true}}, "queries": [], "query_usages": []}',
+    "flag": "{%s, \"query_usages\": []}" % (_META % ("2", '"no"', "")),
+    "query": "{%s, \"query_usages\": []}" % (_META % ("2", "true", '{"sql": "x", "duration_ms": -1}')),
+    "query_v1": "{%s, \"query_usages\": []}" % (_META % ("1", "true", '{"sql": "x", "duration_ms": -1}')),
+    "shape": "{%s, \"query_usages\": []}" % (_META % ("2", "true", '{"sql": 1, "duration_ms": 1}')),
+    "origin": "{%s, \"query_usages\": [%s]}" % (_META % ("2", "true", ""), (_USE % "").replace('"runtime"', '"source"')),
+    "where": "{%s, \"query_usages\": [%s]}" % (_META % ("2", "true", ""), _USE % ', "where_columns": "a"'),
+    "count": "{%s, \"query_usages\": [%s, %s]}" % (_META % ("2", "true", ""), _USE % "", (_USE % "").replace('"count": 1', '"count": 0')),
+    "path": "{%s, \"query_usages\": [%s]}" % (_META % ("2", "true", ""), (_USE % "").replace('"path": null, ', "")),
+    "rows": "{%s, \"query_usages\": [%s]}" % (_META % ("2", "true", ""), _USE % ', "plan_rows": 1.5'),
+}
+#: One for each part, in turn; statements and tables are named by its number, and usages stand as often as it says.
+_KIND = " ".join(f"when {i} then {_text(text.replace(chr(34) + 'x' + chr(34), chr(34) + 'x@' + chr(34)).replace(': ' + chr(34) + 't' + chr(34), ': ' + chr(34) + 't@' + chr(34)), 'p_partkey')}" for i, text in enumerate(DOCUMENTS.values()))
+SNAPSHOT_DOCUMENTS = f"select p_partkey as document, case p_partkey % {len(DOCUMENTS)} {_KIND} end as text from part"
 RELATIONS = {
     "query_log": QUERY_LOG, "tables": TABLES, "columns": COLUMNS, "indexes": INDEXES, "foreign_keys": FOREIGN_KEYS, "models": MODELS, "reflections": REFLECTIONS, "enums": ENUMS,
     "search_path": SEARCH_PATH, "names": NAMES, "migrations": MIGRATIONS, "source_usages": SOURCE_USAGES, "plans": PLANS, "source_files": SOURCE_FILES, "migration_files": MIGRATION_FILES,
-    "model_files": MODEL_FILES, "user_files": USER_FILES, "code_models": CODE_MODELS, "code_columns": CODE_COLUMNS,
+    "snapshot_documents": SNAPSHOT_DOCUMENTS, "model_files": MODEL_FILES, "user_files": USER_FILES, "code_models": CODE_MODELS, "code_columns": CODE_COLUMNS,
 }
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from . import fixtures
 from .functions import sqltext
-from .queries import DOCUMENTS, RULES, SUPPRESS
+from .queries import RULES, SUPPRESS
 
 _RE = {name: pattern.replace("'", "''") for name, pattern in {
     "tables": sqltext.TABLES, "where": sqltext.WHERE, "order": sqltext.ORDER, "column": sqltext.QUALIFIED, "extract": sqltext.QUALIFIED + sqltext.EXTRACTION, "contain": sqltext.QUALIFIED + sqltext.CONTAINMENT,
@@ -186,6 +186,25 @@ def _used(*kinds: tuple) -> str:
         replace(replace(src, '#', cast(m as varchar)), '@', cast(c as varchar)) as source from (select c_custkey as c, c_custkey % (select count(*) from supplier) as m from customer) join (values {rows}) as x(kind, line, c1, op, w, src) on kind = c % 5"""
 
 
+_FAULTS = f"""
+with docs as (select document, cast(text as json) as j from ({fixtures.duckdb_sql("snapshot_documents")})),
+heads as (select *, json_type(j, '$.metadata') is not null as headed, cast(j->>'$.metadata.schema_version' as integer) as version from docs),
+head as (select document, case when coalesce(json_type(j, '$.query_usages'), '') <> 'ARRAY' then 'must be an object with an array query_usages' when headed and version not in (1, 2) then 'metadata.schema_version must be one of 1, 2'
+    when headed and j->>'$.metadata.generator.name' <> 'tablewarden' then 'metadata.generator.name must be one of tablewarden' when headed and json_type(j, '$.metadata.capture.literalized_binds') <> 'BOOLEAN' then 'metadata.capture.literalized_binds must be true or false' end as message from heads),
+asked as (select document, version, i, json_extract(j, '$.queries[' || i || ']') as q from heads, unnest(range(cast(coalesce(json_array_length(j, '$.queries'), 0) as bigint))) as t(i)),
+used as (select document, version, headed, i, json_extract(j, '$.query_usages[' || i || ']') as u from heads, unnest(range(cast(case when json_type(j, '$.query_usages') = 'ARRAY' then json_array_length(j, '$.query_usages') else 0 end as bigint))) as t(i)),
+every as (
+    select document, 0 as section, 0 as i, message from head union all
+    select document, 1, i, case when json_type(q, '$.sql') <> 'VARCHAR' or json_type(q, '$.duration_ms') not in ('BIGINT', 'UBIGINT', 'DOUBLE') then 'queries[' || i || '] is invalid'
+        when version = 2 and cast(q->>'$.duration_ms' as double) < 0 then 'queries[' || i || '].duration_ms must be 0 or more' end from asked union all
+    select document, 2, i, case when json_type(u, '$.plan_rows') not in ('NULL', 'BIGINT', 'UBIGINT') then 'query_usages[' || i || '].plan_rows must be an integer or null'
+        when json_type(u, '$.where_columns') not in ('NULL', 'ARRAY') then 'query_usages[' || i || '].where_columns must be an array of strings'
+        when coalesce(u->>'$.origin', case when headed then '' else 'runtime' end) <> 'runtime' then 'query_usages[' || i || '].origin must be "runtime"'
+        when headed and coalesce(json_type(u, '$.path'), '') <> 'NULL' then 'query_usages[' || i || '].path must be present and null' when headed and coalesce(json_type(u, '$.line'), '') <> 'NULL' then 'query_usages[' || i || '].line must be present and null'
+        when version = 2 and cast(u->>'$.count' as bigint) < 1 then 'query_usages[' || i || '].count must be 1 or more' end from used
+)
+select document, arg_min(message, section * 1000000 + i) filter (message is not null) as message from every group by document
+"""
 #: A lexer of another make: the file is cut at what the generated code holds, without looking around; what a token is follows from its first letters and the one before.
 _CUT = r"=begin\n(?:[^=]|=[^e])*=end|#[^\n]*|<<~SQL|\n  d ->>[^\n]*\nSQL|\n| +|%w\[[^\]]*\]|\"[^\"]*\"|'[^']*'|def [a-z.]+\([a-z]\) =|::|:[a-z]+|[a-z]+:|[a-z]+|[A-Z][A-Za-z]*[0-9]*|[0-9]+|->|=>|<<|.".replace("'", "''")
 _TOKENS = f"""
@@ -240,7 +259,7 @@ def oracle_sql() -> dict[str, str]:
             || chr(10) || 'problem: p' || chr(10) || '  q' || chr(10) || 'recommendation: r' || chr(10) || 'evidence: ' || evidence as body from ({_CATALOG_FINDINGS})""", *_FOUR),
         "s20_fails": _with("", f"select threshold, exists (select 1 from ({_CATALOG_FINDINGS}) where severity <> 'high' and {_RANK} >= r) as fails from (values ('low', 1), ('medium', 2), ('high', 3)) as t(threshold, r)", *_FOUR),
         "s13_snapshot_usages": _with("runtime", "select table_name, column_name, operation, where_columns, count, total_duration_ms, source, 'runtime' as origin from runtime"),
-        "f30_snapshot_faults": _values([(name, fault) for name, (_, fault) in DOCUMENTS.items()], "name, message"),
+        "f30_snapshot_faults": _FAULTS,
         "x01_source_usages": _values([
             ("app/models/order.rb", 4, "orders", "o_custkey", "where", ""), ("app/models/order.rb", 4, "orders", "o_orderdate", "order", "o_custkey"), ("app/models/order.rb", 4, "orders", "o_totalprice", "order", "o_custkey"),
             ("lib/report.rb", 1, "events", "props", "jsonb_where", ""), ("lib/report.rb", 1, "events", "user_id", "where", ""), ("lib/report.rb", 1, "events", "ts", "order", "user_id"), ("lib/report.rb", 1, "events", "event_id", "order", "user_id"),

@@ -282,34 +282,11 @@ def s13_snapshot_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.snapshot_usages(_documents(spark, sf_dir)).select("table_name", "column_name", "operation", listed("where_columns").alias("where_columns"), "count", "total_duration_ms", "source", "origin")
 
 
-_META = '"metadata": {"schema_version": %s, "generator": {"name": "tablewarden", "version": "1"}, "capture": {"literalized_binds": %s}}, "queries": [%s]'
-_USE = '{"table": "t", "column": "c", "operation": "where", "source": "s", "origin": "runtime", "count": 1, "path": null, "line": null%s}'
-#: Snapshot documents with one fault each, and the fault (None: valid), by name.
-DOCUMENTS = {
-    "valid": ("{%s, \"query_usages\": [%s]}" % (_META % ("2", "true", '{"sql": "x", "name": null, "duration_ms": 1.5, "explain_sql": null}'), _USE % ""), None),
-    "legacy": ('{"query_usages": [{"table": "t", "column": "c", "operation": "where", "source": "s", "count": 1}]}', None),
-    "no_usages": ('{"query_usages": 3}', "must be an object with an array query_usages"),
-    "version": ("{%s, \"query_usages\": []}" % (_META % ("99", "true", "")), "metadata.schema_version must be one of 1, 2"),
-    "generator": ('{"metadata": {"schema_version": 2, "generator": {"name": "other", "version": "1"}, "capture": {"literalized_binds": true}}, "queries": [], "query_usages": []}', "metadata.generator.name must be one of tablewarden"),
-    "flag": ("{%s, \"query_usages\": []}" % (_META % ("2", '"no"', "")), "metadata.capture.literalized_binds must be true or false"),
-    "query": ("{%s, \"query_usages\": []}" % (_META % ("2", "true", '{"sql": "x", "duration_ms": -1}')), "queries[0].duration_ms must be 0 or more"),
-    "query_v1": ("{%s, \"query_usages\": []}" % (_META % ("1", "true", '{"sql": "x", "duration_ms": -1}')), None),
-    "shape": ("{%s, \"query_usages\": []}" % (_META % ("2", "true", '{"sql": 1, "duration_ms": 1}')), "queries[0] is invalid"),
-    "origin": ("{%s, \"query_usages\": [%s]}" % (_META % ("2", "true", ""), (_USE % "").replace('"runtime"', '"source"')), 'query_usages[0].origin must be "runtime"'),
-    "where": ("{%s, \"query_usages\": [%s]}" % (_META % ("2", "true", ""), _USE % ', "where_columns": "a"'), "query_usages[0].where_columns must be an array of strings"),
-    "count": ("{%s, \"query_usages\": [%s, %s]}" % (_META % ("2", "true", ""), _USE % "", (_USE % "").replace('"count": 1', '"count": 0')), "query_usages[1].count must be 1 or more"),
-    "path": ("{%s, \"query_usages\": [%s]}" % (_META % ("2", "true", ""), (_USE % "").replace('"path": null, ', "")), "query_usages[0].path must be present and null"),
-    "rows": ("{%s, \"query_usages\": [%s]}" % (_META % ("2", "true", ""), _USE % ', "plan_rows": 1.5'), "query_usages[0].plan_rows must be an integer or null"),
-}
-
-
 def f30_snapshot_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for name, (text, _) in DOCUMENTS.items():
-        docs = spark.createDataFrame([(text,)], "t string").select(F.parse_json("t").alias("doc"))
-        first = snapshot.faults(docs).agg(F.min_by("message", F.struct("section", "idx", "ord")).alias("message")).select(F.lit(name).alias("name"), "message")
-        out = first if out is None else out.union(first)
-    return out
+    """The first fault of each generated document, null for valid ones."""
+    docs = fixtures.relation(spark, sf_dir, "snapshot_documents").select("document", F.parse_json("text").alias("doc"))
+    first = snapshot.faults(docs).groupBy("document").agg(F.min_by("message", F.struct("section", "idx", "ord")).alias("message"))
+    return docs.select("document").join(first, "document", "left")
 
 
 FILES = (

@@ -87,13 +87,18 @@ def header_faults(docs: DataFrame, generators: tuple[str, ...]) -> DataFrame:
 
 def _faults(rows: DataFrame, section: int, index: Column, checks: list[tuple[Column, Column | str]]) -> DataFrame:
     found = F.array(*[F.when(bad, F.struct(F.lit(section).alias("section"), index.cast("int").alias("idx"), F.lit(i).alias("ord"), (m if isinstance(m, Column) else F.lit(m)).alias("message"))) for i, (bad, m) in enumerate(checks)])
-    return rows.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("f.*")
+    return rows.select(*_named(rows), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select(*_named(rows), "f.*")
+
+
+def _named(rows: DataFrame) -> list[str]:
+    """The column that tells documents apart, where there is one."""
+    return [c for c in rows.columns if c == "document"]
 
 
 def _items(docs: DataFrame, key: str) -> DataFrame:
     """(version, i, v): the items of an array of the documents."""
     version = F.try_variant_get("doc", "$.metadata.schema_version", "bigint").alias("version")
-    return docs.select(version, F.posexplode(F.try_variant_get("doc", f"$.{key}", "array<variant>")).alias("i", "v"))
+    return docs.select(*_named(docs), version, F.posexplode(F.try_variant_get("doc", f"$.{key}", "array<variant>")).alias("i", "v"))
 
 
 def query_faults(items: DataFrame) -> DataFrame:
@@ -126,7 +131,7 @@ def usage_faults(items: DataFrame) -> DataFrame:
 
 
 def faults(docs: DataFrame, generators: tuple[str, ...] = (NAME,)) -> DataFrame:
-    """All faults of the documents in `doc`; none means valid."""
+    """All faults of the documents in `doc`, with their `document` where there is such a column; none means valid."""
     return reduce(DataFrame.unionByName, [header_faults(docs, generators), query_faults(_items(docs, "queries")), usage_faults(_items(docs, "query_usages"))])
 
 
