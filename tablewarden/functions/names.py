@@ -22,7 +22,7 @@ def base_of(name: Column) -> Column:
 def ranked(names: DataFrame, search_path: DataFrame, col: str = "table_name") -> DataFrame:
     """`names` with rank: the place of the schema in the search path."""
     path = search_path.groupBy("schema_name").agg(F.min("rank").alias("rank")).withColumnRenamed("schema_name", "__schema")
-    return names.join(F.broadcast(path), schema_of(F.col(col)) == F.col("__schema"), "left").drop("__schema").withColumn("rank", F.coalesce("rank", F.lit(UNRANKED)))
+    return names.join(path, schema_of(F.col(col)) == F.col("__schema"), "left").drop("__schema").withColumn("rank", F.coalesce("rank", F.lit(UNRANKED)))
 
 
 def resolutions(known: DataFrame, search_path: DataFrame) -> DataFrame:

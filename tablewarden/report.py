@@ -29,7 +29,7 @@ def suppressed(findings: DataFrame, rules: tuple[Mapping[str, str], ...]) -> Dat
     agree = F.lit(True)
     for key in RULE_KEYS:
         agree = agree & (F.col(f"__{key}").isNull() | (F.coalesce(_COLUMN[key], F.lit("")) == F.col(f"__{key}")))
-    return findings.join(F.broadcast(side), agree, "left_anti")  # rules come from a settings file
+    return findings.join(side, agree, "left_anti")  # rules come from a settings file
 
 
 def ordered(findings: DataFrame) -> DataFrame:
