@@ -290,6 +290,7 @@ def oracle_sql() -> dict[str, str]:
         "st03_stream_usages": _with("runtime", "select table_name, column_name, operation, where_columns, count, total_duration_ms, source, explain_source from runtime"),
     }
     out["st03_running_usages"] = out["st03_stream_usages"]
+    out["s15_growing_log"] = out["st03_stream_usages"].replace(", source, explain_source from runtime", ", source from runtime")
     out["st05_session_while_running"] = out["st03_stream_usages"].replace(CTES["log"], "select * from query_log where seq % 2 = 0 and (name is null or name <> 'SCHEMA')")
     every = " union all ".join(sql.replace(", 'add_foreign_key", " --").split(" --")[0] + (" from " + sql.split(" as recommendation from ")[1] if " as recommendation from " in sql else "") for _, _, sql in RULE_SQL.values())
     out["a07_severity_counts"] = _with("usages", f"select severity, count(*) as n from ({every}) group by severity", "tables", "columns", "indexes", "foreign_keys", "models", "reflections", "enums", "migrations")

@@ -365,6 +365,21 @@ def st03_running_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(session.usages())
 
 
+def s15_growing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query log as lines of JSON that come in two steps; the session is begun anew for the second.  The counts are those of a01."""
+    from .streaming.capture import Capture
+    from .streaming.growing import log_stream
+
+    base = f"{shared_dir(spark)}/growing-{uuid.uuid4().hex}"
+    began = F.lit(1_700_000_000).cast("decimal(20,6)") + F.col("seq")
+    event = F.to_json(F.struct("seq", "sql", "name", began.alias("started"), (began + (F.col("duration_ms") / 1000).cast("decimal(20,6)")).alias("finished")))
+    lines = fixtures.relation(spark, sf_dir, "query_log").select("seq", event.alias("value"))
+    for step in range(2):
+        lines.filter(F.pmod("seq", F.lit(2)) == step).select("value").write.mode("append").text(f"{base}/log")
+        session = Capture(log_stream(spark, f"{base}/log"), f"{base}/session").run()
+    return _counted(session.usages()).drop("explain_source")
+
+
 def st05_session_while_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of a session that still runs: it has taken in the statements with even numbers, and a batch of others lies half-written."""
     from .streaming.capture import Capture, event_stream
@@ -384,6 +399,6 @@ def queries() -> dict[str, Query]:
     found = {f.__name__: f for f in (
         f01_table_refs, f03_fragments, f05_column_refs, f06_json_refs, f10_literalised, p27_explainable, f14_durations, f36_order_words, a01_usage_counts, u01_all_usages, f15_names, j18_canonical_names,
         s01_scanned_tables, s02_columns, s05_row_estimates, s05_statistics, s08_models, o05_plan_summaries, j19_annotated_usages, p09_unindexed_columns, p11_leading_columns, p13_unsupported_orders, p22_unserved_json,
-        p23_json_fragments, p29_suppressed, o01_report_order, a07_severity_counts, s19_report_text, s20_fails, s09_model_relations, s13_snapshot_usages, s17_snapshot_round_trip, s18_report_findings, f30_snapshot_faults, x01_source_usages, x03_tokens, x04_local_variables, x05_named_scopes, x06_helpers, x02_migration_changes, st03_stream_usages, st03_running_usages, st05_session_while_running,
+        p23_json_fragments, p29_suppressed, o01_report_order, a07_severity_counts, s19_report_text, s20_fails, s09_model_relations, s13_snapshot_usages, s17_snapshot_round_trip, s18_report_findings, f30_snapshot_faults, x01_source_usages, x03_tokens, x04_local_variables, x05_named_scopes, x06_helpers, x02_migration_changes, st03_stream_usages, st03_running_usages, s15_growing_log, st05_session_while_running,
     )}
     return found | {(q := rule_query(i, code)).__name__: q for i, code in enumerate(RULES, 1)}
