@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: The separators of words, space and the controls 0x09 to 0x0D.
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 
+#: Keys that `meet` broadcasts are fewer than this.
+HOT_KEYS = 4096
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +34,14 @@ def words(text: Column) -> Column:
     return F.array_remove(pieces(text), "")
 
 
+def long_id(docs: DataFrame, id_col: str) -> Column:
+    """The id as a long; ids that aren't whole numbers are refused here, before a job fails on one of them."""
+    kind = docs.select(F.col(id_col)).schema[0].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{id_col} is {kind.simpleString()}; ids must be whole numbers")
+    return F.col(id_col).cast("long")
+
+
 def bucket_of(key: Column, n: int) -> Column:
     """0 or 1: the fold of a row, by the CRC-32 of its id as text."""
     return F.crc32(key.cast("string").cast("binary")) % n
@@ -89,3 +102,16 @@ class Scratch:
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """`df`, to be broadcast where it has at most `most` rows."""
     return F.broadcast(df) if rows <= most else df
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """`rows` with the columns of `keys`, which has one row a key and counts in `size` how many of the `total` rows it has.
+
+    A key with more than one in HOT_KEYS of all rows is hot; since there are
+    fewer than HOT_KEYS of them at any total, they are broadcast.  The others are
+    shuffled, and none brings more than its small share to one task.  Both tables
+    are read twice and should be written ones.
+    """
+    is_hot = F.col(size) * HOT_KEYS > total
+    hot, rest = F.broadcast(keys.filter(is_hot)), keys.filter(~is_hot)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest, on))

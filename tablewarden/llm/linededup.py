@@ -20,13 +20,14 @@ that none outgrows a task, and the postings of several insertions are written as
 one from time to time.
 
 A hot line costs one posting for each document; counting is partial before
-the shuffle.  Filters are broadcast only while their bytes are below
+the shuffle, and keys with a large share of all postings, whose number is bounded,
+are broadcast to them and gather in no task (`common.meet`).  Filters are broadcast only while their bytes are below
 `broadcast_bytes`; beyond that the keys go to the shards, salted so that no
 group is unbounded.
 
 Defined results: null and empty texts are one empty line and never change.
 Rows that share an id are one document, also when they are inserted one after the
-other; repeated rows count once.  A row with a null id holds no key; its repeated
+other; repeated rows count once.  Ids that aren't whole numbers are refused.  A row with a null id holds no key; its repeated
 lines go.  Very long texts are cut whole.  Ids to delete that are not there change
 nothing.  Empty tables give empty results.  Only the id and the text are read;
 `resolve` returns all columns of its input with the text replaced, and n_lines and
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, Scratch, small, written
+from .common import SEPARATORS, Scratch, long_id, meet, small, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys that one shard's filter is sized for; the number of shards follows the number of keys.
@@ -224,7 +225,7 @@ def _may_hold(keys: DataFrame, filters: DataFrame, shards: int, broadcast_bytes:
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 @dataclass(frozen=True)
@@ -276,17 +277,22 @@ class LineIndex:
     def delete(self, ids: DataFrame, *, id_col: str = "doc_id") -> LineIndex:
         """The state without the documents whose ids are in `ids`."""
         scratch = Scratch(ids.sparkSession)
-        gone = scratch.write(ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "gone")
+        gone = scratch.write(ids.select(long_id(ids, id_col).alias("doc_id")).distinct(), "gone")
         gone = small(gone, gone.count(), BROADCAST_IDS)
         touched = scratch.write(self.postings.join(gone, "doc_id", "left_semi").select("k1", "k2").distinct(), "touched")
         rest = written(self.postings.join(gone, "doc_id", "left_anti"), "postings")
-        recount = scratch.write(_counted(rest.join(touched, ["k1", "k2"], "left_semi")), "recount")
+        sized = scratch.write(self.counts.join(touched, ["k1", "k2"], "left_semi").select("k1", "k2", "docs"), "sized")
+        recount = scratch.write(_counted(meet(rest, sized, ["k1", "k2"], "docs", self._lines()).drop("docs")), "recount")
         counts = scratch.write(self.counts.join(touched, ["k1", "k2"], "left_anti").union(recount), "counts")
         dead = touched.join(recount, ["k1", "k2"], "left_anti")
         filters = scratch.write(self._changed(dead, grow=False), "filters")
         scratch.clear(counts, filters)
         return LineIndex(rest, counts, filters, self.shards, scratch, 1, self.min_chars, self.broadcast_bytes)
 
+    def _lines(self) -> int:
+        """How many postings the state has."""
+        return self.counts.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+
     def forget(self) -> None:
         """Delete this state's counts and filters, once a later state has its own."""
         self.scratch.clear()
@@ -313,10 +319,10 @@ class LineIndex:
 
     def resolve(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
         """`docs` (the documents of the state) without repeated lines, plus n_lines and n_dropped."""
-        repeated = written(self.counts.filter(F.col("docs") >= min_docs).select("k1", "k2", "last"), "repeated")
-        filters = written(_filters(repeated, self.shards), "filters")
-        maybe = _may_hold(self.postings, filters, self.shards, self.broadcast_bytes).filter("maybe")
-        lost = maybe.join(repeated, ["k1", "k2"]).filter("doc_id is null or doc_id <> last")
+        repeated = self.scratch.write(self.counts.filter(F.col("docs") >= min_docs), "repeated")
+        filters = self.scratch.write(_filters(repeated, self.shards), "filters")
+        maybe = self.scratch.write(_may_hold(self.postings, filters, self.shards, self.broadcast_bytes).filter("maybe").drop("maybe"), "maybe")
+        lost = meet(maybe, repeated, ["k1", "k2"], "docs", self._lines()).filter("doc_id is null or doc_id <> last")
         lost = lost.select("doc_id", F.struct("k1", "k2").alias("key")).groupBy("doc_id").agg(F.collect_set("key").alias("__lost"))
         min_chars = self.min_chars
 

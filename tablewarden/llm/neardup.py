@@ -17,6 +17,7 @@ Steps, all of them Spark jobs over tables in the shared folder:
 3. Buckets of equal band keys: a pivot, chosen by hash from the bucket's
    largest component, is compared with the classes in other components.  At first
    the buckets of one group choose the same one, so that few pairs are compared.
+   Keys and pivots meet a bucket's rows by `common.meet`: hot buckets are not shuffled.
 4. Buckets that still hold several components: one of at most `FEW` rows is
    compared in full; in a larger one other pivots are tried for a few rounds, and
    then what lies outside the largest component meets those classes that share a
@@ -36,7 +37,8 @@ give one shingle, the whole sequence.  Very long texts count whole; their minima
 are taken piece by piece.  Rows that share an id link through any of their
 texts, and each row reports the component of its own text.  A null id is kept
 alone unless its text equals another document's.  An empty table gives an empty
-result.  Columns other than the id and the text are ignored.
+result.  Columns other than the id and the text are ignored.  Ids that aren't whole numbers
+are refused.
 """
 
 from __future__ import annotations
@@ -50,9 +52,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Scratch, small
+from .common import Scratch, long_id, meet, small
 
 SLOTS = 1 << 20
 BANDS, ROWS = 32, 5
@@ -215,7 +216,7 @@ def near_duplicates(
     32 bands of 5 rows a pair at similarity 0.8 shares no band with probability
     3e-6.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(docs.sparkSession)
     sketched = scratch.write(sketch(source, width, bands, rows), "sketch")
     # only texts that occur again; from a table of its own, so that adaptive execution can split a hot fingerprint in the join
@@ -226,10 +227,12 @@ def near_duplicates(
         sketched.join(classes, ["fp1", "fp2"], "left").select("doc_id", "n", rep.alias("rep"), F.when(first, F.col("bands")).alias("bands"), F.when(first, F.col("low")).alias("low")), "members"
     )
     scratch.clear(members)
-    of_key = Window.partitionBy("key")
     entries = members.filter("bands is not null").select("rep", F.explode("bands").alias("key"))
-    shared = entries.withColumns({"lo": F.min("rep").over(of_key), "hi": F.max("rep").over(of_key)}).filter("lo < hi").select("key", "rep")
-    state = scratch.write(shared, "buckets")
+    open_keys = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+    open_keys = scratch.write(open_keys, "keys")
+    n_open, n_entries = open_keys.count(), members.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()[0]
+    shared = entries.join(F.broadcast(open_keys), "key") if n_open <= broadcast_ids else meet(entries, open_keys, ["key"], "size", n_entries)
+    state = scratch.write(shared.select("key", "rep"), "buckets")
     met = scratch.write(state.select("rep").distinct(), "met")
     n_met = met.count()
     nodes = scratch.write(members.filter("bands is not null").join(small(met, n_met, broadcast_ids), "rep", "left_semi").select("rep", "n", "low", "bands"), "nodes")
@@ -256,7 +259,7 @@ def near_duplicates(
         heads = scratch.write(_heads(rows_of, turn), "heads")
         if not heads.limit(1).count():
             break
-        pairs, rows_of = None, rows_of.join(heads, "key")
+        pairs, rows_of = None, meet(rows_of, heads, ["key"], "size", rows_of.count())
         if turn:  # buckets of one component are done, and so are small ones after this round
             rows_of = scratch.write(rows_of, "open")
             pairs = _all_pairs(rows_of.filter(F.col("size") <= few), likely)
