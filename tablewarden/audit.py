@@ -39,6 +39,6 @@ def usages_of(evidence: Evidence, config: Config, runtime: DataFrame | None = No
 def audit(evidence: Evidence, options: Mapping[str, Any] | None = None, *, runtime: DataFrame | None = None, plans: DataFrame | None = None, config_path: str | None = None, root: str = ".") -> Report:
     """Run all rules over `evidence` and return the report, without suppressed findings."""
     config = resolve(options, config_path, root)
-    # counts by table and column, small next to the log; four rules read them
-    whole = replace(evidence, usages=saved(usages_of(evidence, config, runtime, plans), "usages"))
+    given = evidence.kept()  # catalogs and counts, small next to the log
+    whole = replace(given, usages=saved(usages_of(given, config, runtime, plans), "usages"))
     return Report(suppressed(rules.findings(whole, config), config.ignored_findings))

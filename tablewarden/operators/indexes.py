@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def prefixes(indexes: DataFrame) -> DataFrame:
-    """(table_name, prefix): every leading part of every index, once."""
-    return indexes.select("table_name", F.explode(F.transform(F.sequence(F.lit(1), F.size("columns")), lambda n: F.slice("columns", F.lit(1), n))).alias("prefix")).distinct()
+    """(table_name, prefix): every leading part of every index, as often as indexes begin with it."""
+    return indexes.select("table_name", F.explode(F.transform(F.sequence(F.lit(1), F.size("columns")), lambda n: F.slice("columns", F.lit(1), n))).alias("prefix"))
 
 
 def without_prefix(rows: DataFrame, indexes: DataFrame, *wanted: Column, table_col: str = "table_name") -> DataFrame:
@@ -23,11 +23,20 @@ def without_prefix(rows: DataFrame, indexes: DataFrame, *wanted: Column, table_c
     return rows
 
 
-def leading_columns(tables: DataFrame, indexes: DataFrame) -> DataFrame:
-    """(table_name, column_name) that an index begins with or that are a whole primary key."""
+def _leading(tables: DataFrame, indexes: DataFrame) -> DataFrame:
     first = indexes.filter("size(columns) > 0").select("table_name", F.get("columns", F.lit(0)).alias("column_name"))
     key = tables.filter("size(primary_key) = 1").select("table_name", F.get("primary_key", F.lit(0)).alias("column_name"))
-    return first.union(key).distinct()
+    return first.union(key)
+
+
+def leading_columns(tables: DataFrame, indexes: DataFrame) -> DataFrame:
+    """(table_name, column_name) that an index begins with or that are a whole primary key, each once."""
+    return _leading(tables, indexes).distinct()
+
+
+def unled(rows: DataFrame, tables: DataFrame, indexes: DataFrame) -> DataFrame:
+    """`rows` whose column no index begins with and is no whole primary key."""
+    return rows.join(_leading(tables, indexes), ["table_name", "column_name"], "left_anti")
 
 
 def orders_by(columns: Column, column: Column, filters: Column) -> Column:
@@ -38,7 +47,7 @@ def orders_by(columns: Column, column: Column, filters: Column) -> Column:
 
 def unsupported_orders(usages: DataFrame, tables: DataFrame, indexes: DataFrame) -> DataFrame:
     """Order usages that no primary key, leading column or filtered composite index serves."""
-    rows = usages.join(leading_columns(tables, indexes), ["table_name", "column_name"], "left_anti")
+    rows = unled(usages, tables, indexes)
     side = indexes.filter("size(columns) > 1").select(F.col("table_name").alias("__t"), F.col("columns").alias("__c"))
     served = orders_by(F.col("__c"), F.col("column_name"), F.coalesce("where_columns", F.array().cast("array<string>")))
     return rows.join(side, (F.col("table_name") == F.col("__t")) & F.coalesce(served, F.lit(False)), "left_anti")

@@ -1,9 +1,9 @@
 """Plan documents (JSON) as relations: nodes, first relation node, summary, annotation.
 
-A plan is a tree; its nodes come out of a VARIANT level by level, as many times
-as the deepest plan has levels.  A level is written once and the next one read
-from it, so no document is parsed twice.  Each node has the path of child numbers
-that leads to it, so that the order of paths is the order of a depth-first walk.
+A plan is a tree.  Its nodes are gathered inside its row, level by level, by one
+fold over a VARIANT: each document is parsed once, no step is a job of its own,
+and nothing is shuffled or written.  Each node has the path of child numbers that
+leads to it, so that the order of paths is the order of a depth-first walk.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import saved
-
 NODE = {"node_type": ("Node Type", "string"), "relation_name": ("Relation Name", "string"), "index_name": ("Index Name", "string"), "plan_rows": ("Plan Rows", "bigint"), "startup_cost": ("Startup Cost", "double"), "total_cost": ("Total Cost", "double")}
 
 
@@ -20,22 +18,29 @@ def _field(node: Column, key: str, kind: str) -> Column:
     return F.try_variant_get(node, f"$['{key}']", kind)
 
 
+def _walked(plans: DataFrame) -> DataFrame:
+    """(statement, nodes): the nodes of each plan, level by level; documents that aren't plans are left out.
+
+    No plan has more levels below its root than its text has the word Plans; once
+    a plan has no further level, the steps that are left do nothing.
+    """
+    root = F.try_variant_get(F.try_parse_json("plan_json"), "$[0].Plan", "variant")
+    level = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.col("root").alias("node")))
+    steps = F.sequence(F.lit(0), F.regexp_count("plan_json", F.lit('"Plans"')))
+    children = lambda at: F.transform(
+        F.coalesce(F.try_variant_get(at["node"], "$.Plans", "array<variant>"), F.array().cast("array<variant>")),
+        lambda node, i: F.struct(F.concat(at["path"], F.array(i)).alias("path"), node.alias("node")),
+    )
+    below = lambda found: F.filter(F.flatten(F.transform(found, children)), lambda x: x["node"].isNotNull())
+    step = lambda done, _: F.when(F.size(done["last"]) == 0, done).otherwise(F.struct(F.concat(done["all"], done["last"]).alias("all"), below(done["last"]).alias("last")))
+    every = F.aggregate(steps, F.struct(F.slice(level, F.lit(1), F.lit(0)).alias("all"), level.alias("last")), step, lambda done: done["all"])
+    fields = lambda at: F.struct(at["path"].alias("path"), *[_field(at["node"], key, kind).alias(name) for name, (key, kind) in NODE.items()])
+    return plans.select("statement", "plan_json", root.alias("root")).filter("root is not null").select("statement", F.transform(every, fields).alias("nodes"))
+
+
 def nodes(plans: DataFrame) -> DataFrame:
     """(statement, path, node_type, ...) of (statement, plan_json); documents that aren't plans give none."""
-    root = F.try_variant_get(F.try_parse_json("plan_json"), "$[0].Plan", "variant")
-    fields = [_field(F.col("node"), key, kind).alias(name) for name, (key, kind) in NODE.items()]
-    level = plans.select("statement", F.array().cast("array<int>").alias("path"), root.alias("node")).filter("node is not null")
-    out = None
-    while True:
-        # children of a document as text, for Parquet readers that have no VARIANT
-        below = F.transform(F.try_variant_get("node", "$.Plans", "array<variant>"), lambda x: F.to_json(x))
-        level = saved(level.select("statement", "path", *fields, below.alias("below")), "plan-level")
-        rows = level.drop("below")
-        out = rows if out is None else out.unionByName(rows)
-        children = level.select("statement", "path", F.posexplode("below").alias("i", "child"))
-        if not children.limit(1).count():
-            return out
-        level = children.select("statement", F.concat("path", F.array("i")).alias("path"), F.try_parse_json("child").alias("node")).filter("node is not null")
+    return _walked(plans).select("statement", F.inline("nodes"))
 
 
 def label(prefix: str = "") -> Column:
@@ -54,10 +59,8 @@ def summaries(plans: DataFrame) -> DataFrame:
     Rows and cost are the root's; the relation is that of the first node in
     depth-first order that has one.
     """
-    found = nodes(plans.dropDuplicates(["statement"]))
-    root = found.filter(F.size("path") == 0)
-    relation = found.filter("relation_name is not null").groupBy("statement").agg(F.min_by(F.struct("path", "node_type", "relation_name", "index_name"), "path").alias("r"))
-    both = root.join(relation, "statement", "left")
+    known = F.transform(F.filter("nodes", lambda x: x["relation_name"].isNotNull()), lambda x: F.struct(x["path"].alias("path"), *[x[c].alias(c) for c in ("node_type", "relation_name", "index_name")]))
+    both = _walked(plans.dropDuplicates(["statement"])).select("statement", F.get("nodes", F.lit(0)).alias("root"), F.array_min(known).alias("r")).select("statement", "root.*", "r")
     below = F.when(F.size("r.path") > 0, F.concat(F.lit("over "), label("r.")))
     text = F.concat_ws(" ", label(), below, F.concat(F.lit("rows="), F.col("plan_rows").cast("string")), F.concat(F.lit("cost="), cost(F.col("startup_cost"), F.col("total_cost"))))
     return both.select(

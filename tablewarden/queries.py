@@ -200,7 +200,7 @@ def p23_json_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.findings(fixtures.evidence(spark, sf_dir, *sorted({n for names_ in RULES.values() for n in names_})))
+    return rules.findings(fixtures.evidence(spark, sf_dir, *sorted({n for names_ in RULES.values() for n in names_})).kept())
 
 
 def _catalog_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..config import Config
 from ..evidence import Evidence
-from ..operators.indexes import leading_columns, unserved_json, unsupported_orders
+from ..operators.indexes import unled, unserved_json, unsupported_orders
 from .common import finding, text
 
 KEY = ["table_name", "column_name"]
@@ -85,14 +85,14 @@ def add_index() -> Column:
 
 
 def recurring_where(e: Evidence, config: Config) -> DataFrame:
-    used = of(e.usages, "where").join(e.tables.select("table_name"), "table_name", "left_semi").join(e.enums.select(*KEY), KEY, "left_anti").join(leading_columns(e.tables, e.indexes), KEY, "left_anti")
+    used = unled(of(e.usages, "where").join(e.tables.select("table_name"), "table_name", "left_semi").join(e.enums.select(*KEY), KEY, "left_anti"), e.tables, e.indexes)
     rows = first_model(grouped(used, config, scan_confirmed(config)).filter(F.col("uses") >= config.where_occurrence_threshold), e.models)
     return reported(rows, "recurring_where_without_index", "Recurring filter without an index", text("Queries filter ", F.col("table_name"), " by ", F.col("column_name"), ", which no index begins with."), add_index())
 
 
 def enum_where(e: Evidence, config: Config) -> DataFrame:
     enums = e.enums.select("model", *KEY).distinct()
-    used = of(e.usages, "where").join(enums.select(*KEY).distinct(), KEY, "left_semi").join(e.tables.select("table_name"), "table_name", "left_semi").join(leading_columns(e.tables, e.indexes), KEY, "left_anti")
+    used = unled(of(e.usages, "where").join(e.enums.select(*KEY), KEY, "left_semi").join(e.tables.select("table_name"), "table_name", "left_semi"), e.tables, e.indexes)
     rows = grouped(used, config, scan_confirmed(config)).join(enums, KEY)
     return reported(rows, "enum_where_without_index", "Filter by an enum column without an index", text("Queries filter ", F.col("table_name"), " by the enum column ", F.col("column_name"), ", which no index begins with."), add_index())
 
