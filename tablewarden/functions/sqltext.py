@@ -19,6 +19,9 @@ WHERE = r"(?is)\bWHERE\b(.+?)(?:\bGROUP\b|\bORDER\b|\bLIMIT\b|\bOFFSET\b|\bFOR\b
 ORDER = r"(?is)\bORDER\s+BY\b(.+?)(?:\bLIMIT\b|\bOFFSET\b|\bFOR\b|\z)"
 QUALIFIED = rf"(?:{_NAME}\.)?{_NAME}\.{_NAME}"
 EXTRACTION, CONTAINMENT = r"\s*(?:->>|->)\s*'(?:[^']+)'", r"\s*@>"
+#: Literals that no pattern above can tell apart.
+NUMBERS = r"(?<![\w$])[0-9]++(?![\w$])(?:\s*,\s*[0-9]++(?![\w$]))*+"
+TEXT_LITERAL = r"(?i)'(?![^']*\b(?:FROM|JOIN|UPDATE|WHERE|ORDER|GROUP|LIMIT|OFFSET|FOR)\b)[^'\".>]++'"
 #: Keywords that are no alias.
 CLAUSES = ("WHERE", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "JOIN", "ON", "GROUP", "ORDER", "LIMIT", "OFFSET", "FOR", "SET", "RETURNING", "USING")
 
@@ -123,6 +126,18 @@ def statement_usages(sql: Column) -> Column:
     return F.when(sql.rlike(r"(?i)\b(WHERE|ORDER)\b"), let(table_refs(sql), of)).otherwise(F.array().cast(usage_type))
 
 
+def shape(sql: Column) -> Column:
+    """`sql` with its literals alike: `statement_usages` of both are equal.
+
+    A number that stands alone, or a list of them, becomes 0, and text between quotes
+    'x'.  No name has such a number in it, as names begin with a letter; text stays
+    as it is where it holds a dot, a double quote, > or a word that a clause begins
+    or ends with, since a match of the patterns above needs one of these.
+    """
+    texts = F.regexp_replace(sql, TEXT_LITERAL, "'x'")
+    return F.regexp_replace(texts, NUMBERS, "0")
+
+
 def explainable(sql: Column) -> Column:
     """Whether a statement can be planned as it stands: a query without placeholders."""
     text = F.coalesce(sql, F.lit(""))

@@ -1,7 +1,7 @@
 """Capture sessions over a stream of SQL events.
 
-Each micro-batch of events is written to the session's log, parsed by the same
-expressions as in batch and counted.  A list of the tables that count is then
+Each micro-batch of events is written to the session's log and counted by the
+same steps as in batch.  A list of the tables that count is then
 swapped at once (`manifest`): readers see whole epochs only, also while a batch
 runs or after one has failed half-way, and an epoch that is replayed after its
 commit is left out.  Every `MERGE` tables of counts become one, and so do `LOGS`
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.sqltext import literalised
-from ..operators.usages import aggregated, as_relation, merged, observed, recorded
+from ..operators.usages import aggregated, as_relation, merged, recorded
 from ..sources import snapshot
-from ..workspace import spread
+from ..workspace import delete
 from .manifest import Manifest
 
 EVENTS = "seq bigint, sql string, name string, duration_ms decimal(18,2), explain_sql string, ts timestamp"
@@ -62,7 +62,8 @@ class Capture:
         own = f"epoch={epoch}-{uuid.uuid4().hex}"
         log, counts = f"{self.folder}/log/{own}", f"{self.folder}/counts/{own}"
         recorded(events).write.parquet(log)
-        aggregated(observed(spread(spark.read.schema(EVENTS).parquet(log)))).write.parquet(counts)
+        aggregated(spark.read.schema(EVENTS).parquet(log), f"{self.folder}/scratch/{own}").write.parquet(counts)
+        delete(spark, f"{self.folder}/scratch/{own}")
         tables, gone = [*before.tables.get("counts", []), counts], []
         if len(tables) >= MERGE:
             base = f"{self.folder}/counts/base={epoch}-{uuid.uuid4().hex}"
@@ -106,7 +107,7 @@ class Capture:
         """The counts of the epochs committed so far, also while the session runs."""
         spark = self.events.sparkSession
         tables = self._lists(spark).tables.get("counts", [])
-        return merged(spark.read.parquet(*tables) if tables else aggregated(observed(spark.createDataFrame([], EVENTS))))
+        return merged(spark.read.parquet(*tables) if tables else aggregated(spark.createDataFrame([], EVENTS)))
 
     def log(self) -> DataFrame:
         """The statements of the epochs committed so far."""

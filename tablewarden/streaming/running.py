@@ -1,10 +1,12 @@
 """Usage counts of a stream, kept in Spark's state store.
 
-The running sums of each (table, column, operation, filters) are state of the
-streaming aggregation and come back from the checkpoint after a restart.  Every
-epoch writes the rows that it changed, each with the whole sum so far, and commits
-them (`manifest`); what counts for a key is its row of the latest epoch.  Every
-`MERGE` tables become one.
+The running sums of each shape of statement are state of the streaming aggregation
+and come back from the checkpoint after a restart; the usages of a shape are parsed
+once, when the counts are read.  Every epoch writes the rows that it changed, each
+with the whole sum so far, and commits them (`manifest`); what counts for a shape is
+its row of the latest epoch.  Every `MERGE` tables become one.  The state has a row
+for each shape that has come, with two texts, so it grows with the kinds of
+statements and not with the log.
 """
 
 from __future__ import annotations
@@ -16,16 +18,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.usages import KEYS, aggregated, observed, recorded
+from ..functions.sqltext import shape
+from ..operators.usages import recorded, usage_counts
 from .manifest import Manifest
 
 MERGE = 16
 
 
 def latest(rows: DataFrame) -> DataFrame:
-    """For each key its row of the latest epoch."""
-    rest = [c for c in rows.columns if c not in KEYS]
-    return rows.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "epoch").alias("r")).select(*KEYS, "r.*")
+    """For each shape its row of the latest epoch."""
+    rest = [c for c in rows.columns if c != "shape"]
+    return rows.groupBy("shape").agg(F.max_by(F.struct(*rest), "epoch").alias("r")).select("shape", "r.*")
+
+
+def shape_counts(events: DataFrame) -> DataFrame:
+    """Sums of the statements of each shape with the texts of its first ones, in one step, as a stream needs it."""
+    planned = F.when(F.col("explain_sql").isNotNull(), F.struct("seq", "explain_sql"))
+    found = events.groupBy(shape(F.col("sql")).alias("shape")).agg(
+        F.count("*").alias("count"), F.sum("duration_ms").cast("decimal(28,2)").alias("duration"), F.min(F.struct("seq", "sql")).alias("first"), F.min(planned).alias("planned"),
+    )
+    return found.select("shape", "count", "duration", F.col("first.seq").alias("first"), F.col("first.sql").alias("sql"), F.col("planned.seq").alias("planned"), F.col("planned.explain_sql").alias("explain_sql"))
 
 
 @dataclass
@@ -56,7 +68,7 @@ class Running:
     def start(self, **trigger) -> Running:
         """Begin, or go on with what the checkpoint holds; a session that runs already goes on."""
         if self._query is None:
-            counted = aggregated(observed(recorded(self.events)))
+            counted = shape_counts(recorded(self.events))
             sink = counted.writeStream.outputMode("update").foreachBatch(self._save).option("checkpointLocation", f"{self.folder}/checkpoint")
             self._query = sink.trigger(**(trigger or {"availableNow": True})).start()
         return self
@@ -85,5 +97,5 @@ class Running:
         spark = self.events.sparkSession
         tables = self._lists(spark).tables.get("counts", [])
         if not tables:
-            return aggregated(observed(spark.createDataFrame([], self.events.schema)))
-        return latest(spark.read.parquet(*tables)).drop("epoch")
+            return usage_counts(shape_counts(spark.createDataFrame([], self.events.schema)))
+        return usage_counts(latest(spark.read.parquet(*tables)).drop("epoch"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions import sqltext
 from tablewarden.functions.names import base_of, canonicalised, relative, schema_of, singular, without_path_aliases
-from tablewarden.operators.usages import observed, runtime_usages
+from tablewarden.operators.usages import observed, runtime_usages, shapes
 from tablewarden.schemas import SCHEMAS
 
 CASES = {
@@ -87,6 +87,24 @@ def test_random_statements(spark):
         assert got == plain(sql), sql
 
 
+def test_literals_change_no_usage(spark):
+    """A statement and its shape have the same usages, also where quotes pair oddly or a literal holds clauses and names."""
+    rng = random.Random(10)
+    words = ["FROM", "JOIN", "WHERE", "ORDER BY", "LIMIT", "t", "a t", "s.t b", '"t"', "a.x", "b.y", "t.x", "t.c1", "t1.x", "$1", "a$1.x", "7", "7, 8,9", "1.5", "12x", "x ->>", "t.x ->", "'k'", "'5'", "'it''s'", "'a.x'", "'b.y", "' FROM t '", "'no where'", "''", "'", "@>", "'> x'", "IN (1, 2)", '\'"a"\'', "-3"]
+    statements = [rng.choice([" ", " ", ""]).join(rng.choice(words) for _ in range(rng.randrange(2, 24))) for _ in range(1500)] + ["SELECT 1 FROM t WHERE t.x IN (" + ", ".join(map(str, range(20000))) + ")", "SELECT 1 FROM t WHERE t.x = '" + "y " * 20000 + "'"]
+    rows = spark.createDataFrame([(s,) for s in statements], "sql string").withColumn("shape", sqltext.shape(F.col("sql")))
+    same = rows.select("sql", "shape", sqltext.statement_usages(F.col("sql")).alias("a"), sqltext.statement_usages(F.col("shape")).alias("b")).collect()
+    assert [(r["sql"], r["a"]) for r in same] == [(r["sql"], r["b"]) for r in same] and sum(bool(r["a"]) for r in same) > 100
+    assert spark.createDataFrame([("SELECT 1 FROM t WHERE t.a = 12 AND t.b = 'c d' AND t.c IN (1,2, 3)",)], "s string").select(sqltext.shape(F.col("s"))).first()[0] == "SELECT 0 FROM t WHERE t.a = 0 AND t.b = 'x' AND t.c IN (0)"
+
+
+def test_logs_are_counted_without_a_sort(spark):
+    """Sums of fixed width are added up by hash; first texts kept in the sums would sort all statements of a task."""
+    log = spark.createDataFrame([], SCHEMAS["query_log"])
+    plan = shapes(log)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
 def test_counts_add_up_and_keep_the_first_statement(spark):
     log = spark.createDataFrame([(2, "SELECT 1 FROM t WHERE t.a = 2", None, 1.25, None), (1, "SELECT 1 FROM t WHERE t.a = 1", "Load", 2.5, None), (3, "SELECT 1 FROM t WHERE t.a = 3", "SCHEMA", 9.0, None), (4, "SELECT 1 FROM t WHERE t.a = 4", "x", 1.0, "planned")], "seq long, sql string, name string, duration_ms double, explain_sql string")
     row = runtime_usages(log.withColumn("duration_ms", F.col("duration_ms").cast("decimal(18,2)"))).collect()
