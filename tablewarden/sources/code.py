@@ -19,8 +19,9 @@ A call's receiver decides its table: a model's constant, a variable that holds a
 chain of one, or in a model's file no receiver at all.  Unknown methods pass it on;
 `||`, `&&`, `?` and ranges give no relation.
 
-Windows are over the rows of one file; joins are on paths and places.  Rounds of
-the fixpoint are as many as helpers call each other in turn.
+Windows are over the rows of one file; joins are on paths and places.  The parts of
+all shuffles are counted by the length of the text (`tokens.PART_CHARS`), so that a
+task's memory is the same at any size.  Rounds of the fixpoint are as many as helpers call each other in turn.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from pyspark.sql.window import Window
 
 from ..functions.sqltext import order_words
 from ..schemas import columns
-from ..workspace import ranked, saved
+from ..workspace import in_parts, ranked, saved
 from .apptext import JSON_MARK
-from .tokens import lexed, nested
+from .tokens import lexed, nested, parts_of
 
 RECORDED = ("where", "order", "reorder")
 #: Keywords that end or change a statement where they open no block.
@@ -50,10 +51,10 @@ def _in(c: Column | str, *values: str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).isin(*values), F.lit(False))
 
 
-def linked(files: DataFrame) -> DataFrame:
+def linked(files: DataFrame, parts: int | None = None) -> DataFrame:
     """Token rows with neighbours among their siblings (p, n), the chain (its first token), the statement, and the call whose direct argument they are."""
     order = Window.partitionBy("path").orderBy("i")
-    rows = nested(lexed(files))
+    rows = nested(lexed(files, parts))
     last, third = F.lag("text").over(order), F.lag("text", 3).over(order)
     title = F.col("kind").isin("name", "constant") & (_in(last, "def") | (_in(last, ".") & _in(third, "def")))
     rows = rows.withColumn("kind", F.when(title, "title").otherwise(F.col("kind")))
@@ -170,8 +171,14 @@ def analysed(files: DataFrame, models: DataFrame, catalog: DataFrame) -> DataFra
     models, source_location; `catalog` has table_name, column_name and may have
     sql_type, by which columns are known to hold JSON, and seq, their order.
     Usages come in order of paths and places; an outer call comes before those
-    that it is called on.
+    that it is called on.  All steps run in as many parts as the text makes.
     """
+    parts = parts_of(files)
+    with in_parts(files.sparkSession, parts):
+        return _analysed(files, models, catalog, parts)
+
+
+def _analysed(files: DataFrame, models: DataFrame, catalog: DataFrame, parts: int) -> DataFrame:
     located = models if "source_location" in models.columns else models.withColumn("source_location", F.lit(None).cast("string"))
     names = located.groupBy(F.col("model").alias("constant")).agg(F.max_by("table_name", "seq").alias("table_name"))
     homes = located.filter("source_location is not null").groupBy(F.col("source_location").alias("path")).agg(F.max_by("table_name", "seq").alias("home"))
@@ -180,7 +187,7 @@ def analysed(files: DataFrame, models: DataFrame, catalog: DataFrame) -> DataFra
     ordered = lambda when: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("seq", "column_name")))), lambda x: x["column_name"]))
     known = typed.groupBy("table_name").agg(ordered(F.lit(True)).alias("known"), ordered(F.lower("sql_type") == "jsonb").alias("json"))
 
-    rows = saved(linked(files), "tokens")
+    rows = saved(linked(files, parts), "tokens")
     arguments = saved(_arguments(rows), "arguments")
     held = saved(variables(rows), "variables")
 

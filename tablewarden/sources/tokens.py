@@ -39,14 +39,25 @@ TOKEN = "|".join((
     r"\b[A-Z]\w*", r"defined\?|\b[a-z_]\w*[?!]?(?![=~])|\b[a-z_]\w*", r"@{1,2}[A-Za-z_]\w*|\$\w+", r"\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?",
     r"&\.|::|->|=>|<=>|===|==|=~|!=|!~|<=|>=|\*\*|&&=?|\|\|=?|<<|>>|\.\.\.?|[-+*/%&|^]=", r"(?s:.)",
 ))
+#: Characters of text whose tokens one task holds, some 150,000 rows.
+PART_CHARS = 1 << 19
 #: Scopes of local variables, and those that hide what is outside.
 OPENERS = ("class", "module", "def", "begin", "case", "for", "do", "if", "unless", "while", "until", "(", "[", "{")
 CLOSERS = (")", "]", "}", "end")
 
 
-def lexed(files: DataFrame) -> DataFrame:
-    """(path, i, pos, line, kind, text): all tokens of (path, text) files; joined in order of `i` they are the file."""
-    rows = files.repartition("path").select("path", F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(TOKEN), F.lit(0))).alias("i", "text"))
+def parts_of(files: DataFrame) -> int:
+    """How many parts these files make, of `PART_CHARS` each, so that a task's tokens are as many at any size."""
+    return 1 + (files.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS
+
+
+def lexed(files: DataFrame, parts: int | None = None) -> DataFrame:
+    """(path, i, pos, line, kind, text): all tokens of (path, text) files; joined in order of `i` they are the file.
+
+    The files are dealt to `parts` tasks: left to itself, Spark would join parts by the
+    size of compressed text, of which a few MB make millions of rows.
+    """
+    rows = files.repartition(parts or parts_of(files), "path").select("path", F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(TOKEN), F.lit(0))).alias("i", "text"))
     before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("text")
     breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))

@@ -123,3 +123,14 @@ def test_ranks_over_many_parts(spark):
 
 def test_no_files(spark):
     assert usages(spark) == [] and usages(spark, ("a.rb", ""), ("b.rb", "x = 1")) == []
+
+
+def test_parts_follow_the_text(spark, monkeypatch):
+    """As many parts as the text makes, also where its compressed rows would fit one; the results and the session's settings stay."""
+    monkeypatch.setattr(tokens, "PART_CHARS", 100)
+    files = spark.createDataFrame([(f"lib/{i}.rb", "x = 1\n" * 20) for i in range(10)], "path string, text string")
+    assert tokens.parts_of(files) == 13 and tokens.lexed(files).rdd.getNumPartitions() == 13
+    before = {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql.")}
+    got = usages(spark, ("lib/a.rb", LOCALS), ("lib/b.rb", "User.where(id: 1).order(:status)\n"))
+    assert len(got) == 12 and got[-1] == ("b.rb", 1, "where", "id", "")
+    assert {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql.")} == before
