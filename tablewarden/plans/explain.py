@@ -70,12 +70,17 @@ def summaries(plans: DataFrame) -> DataFrame:
 
 
 def annotated(usages: DataFrame, plans: DataFrame) -> DataFrame:
-    """Runtime usages with the summary of their statement's plan; others and those without a plan stay as they are."""
+    """Runtime usages with the summary of their statement's plan; others and those without a plan stay as they are.
+
+    Plans of statements that no usage names go first, so that only the others are told apart and walked.
+    """
     from ..functions.sqltext import explainable
 
     statement = F.trim(F.coalesce("explain_source", "source"))
     names = ["plan_summary", "plan_root_node_type", "plan_relation_node_type", "plan_relation_name", "plan_rows"]
-    side = summaries(plans.withColumn("statement", F.trim("statement"))).select(F.col("statement").alias("__statement"), *[F.col(c).alias(f"__{c}") for c in names])
+    wanted = usages.filter(explainable(statement) & (F.col("origin") == "runtime")).select(statement.alias("__wanted"))
+    asked = plans.withColumn("statement", F.trim("statement")).join(wanted, F.col("statement") == F.col("__wanted"), "left_semi")
+    side = summaries(asked).select(F.col("statement").alias("__statement"), *[F.col(c).alias(f"__{c}") for c in names])
     joined = usages.join(side, (statement == F.col("__statement")) & explainable(statement) & (F.col("origin") == "runtime"), "left")
     found = F.col("__statement").isNotNull()
     return joined.withColumns({c: F.when(found, F.col(f"__{c}")).otherwise(F.col(c)) for c in names}).drop("__statement", *[f"__{c}" for c in names])

@@ -12,6 +12,7 @@ from tablewarden.__main__ import main
 from tablewarden.functions.names import canonicalised
 from tablewarden.config import AuditError
 from tablewarden.operators.usages import all_usages, as_relation, runtime_usages
+from tablewarden.plans import explain
 from tablewarden.plans.explain import annotated, nodes, summaries
 from tablewarden.schemas import SCHEMAS, columns, empty
 from tablewarden.sources import apptext, catalog, snapshot
@@ -46,6 +47,16 @@ def test_plans_reach_runtime_usages_only(spark):
     assert {(r["table_name"], r["plan_relation_name"]) for r in names.collect()} == {("s.t", "")}
 
 
+def test_only_plans_of_used_statements_are_walked(spark, monkeypatch):
+    """A log's plans are one for each different statement, its usages few: plan documents that no usage names are never looked at."""
+    walked = []
+    monkeypatch.setattr(explain, "summaries", lambda plans: walked.append(plans.count()) or summaries(plans))
+    usages = runtime_usages(log(spark, (1, "SELECT 1 FROM t WHERE t.a = 7", None), (2, "SELECT 1 FROM t WHERE t.a = 8", None)))
+    plans = spark.range(500).select(F.concat(F.lit(" SELECT 1 FROM t WHERE t.a = "), F.col("id").cast("string")).alias("statement"), F.lit('[{"Plan": {"Node Type": "Seq Scan", "Relation Name": "t"}}]').alias("plan_json"))
+    assert [(r["count"], r["source"], r["plan_relation_node_type"]) for r in annotated(usages, plans).collect()] == [(2, "SELECT 1 FROM t WHERE t.a = 7", "Seq Scan")]
+    assert walked == [1]
+
+
 def test_capture_equals_batch_and_goes_on(spark, tmp_path):
     first, second = log(spark, (1, "SELECT 1 FROM t WHERE t.a = 1", None), (2, "SELECT 1 FROM t WHERE t.a = 2", "SCHEMA")), log(spark, (3, "SELECT 1 FROM t WHERE t.a = 3 ORDER BY t.b", "x"))
     folder = str(tmp_path / "events")
