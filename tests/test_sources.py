@@ -11,7 +11,7 @@ from tablewarden import workspace
 from tablewarden.__main__ import main
 from tablewarden.functions.names import canonicalised
 from tablewarden.config import AuditError
-from tablewarden.operators.usages import all_usages, as_relation, runtime_usages
+from tablewarden.operators.usages import all_usages, as_relation, runtime_usages, shapes
 from tablewarden.plans import explain
 from tablewarden.plans.explain import annotated, nodes, summaries
 from tablewarden.schemas import SCHEMAS, columns, empty
@@ -57,6 +57,12 @@ def test_only_plans_of_used_statements_are_walked(spark, monkeypatch):
     assert walked == [1]
 
 
+def test_log_is_counted_without_a_sort(spark):
+    """Shapes of statements are added up by hash, in s17, st03, s13 and a07 as in a01: a task's memory doesn't grow with its statements."""
+    plan = shapes(log(spark, (1, "SELECT 1 FROM t WHERE t.a = 7", None)))._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan and "ObjectHash" not in plan
+
+
 def test_capture_equals_batch_and_goes_on(spark, tmp_path):
     first, second = log(spark, (1, "SELECT 1 FROM t WHERE t.a = 1", None), (2, "SELECT 1 FROM t WHERE t.a = 2", "SCHEMA")), log(spark, (3, "SELECT 1 FROM t WHERE t.a = 3 ORDER BY t.b", "x"))
     folder = str(tmp_path / "events")
