@@ -22,8 +22,9 @@ Steps, all of them Spark jobs over tables in the shared folder:
    compared in full; in a larger one other pivots are tried for a few rounds, and
    then what lies outside the largest component meets those classes that share a
    rare shingle with it, and the rest of the bucket only where the shingles that
-   are not rare could reach the similarity.  No link that a bucket proposes is
-   lost and no bucket is capped.
+   are not rare could reach the similarity.  Shingles that make up much of the
+   open texts are taken out of their sets before these become rows.  No link that
+   a bucket proposes is lost and no bucket is capped.
 5. Candidates are first compared by their signatures, four bits of each
    coordinate: a pair at the similarity falls below the bar, six standard
    deviations down, with a probability of about 1e-8.  Only the sets of those that
@@ -53,7 +54,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, long_id, meet, small
+from .common import HOT_KEYS, Scratch, long_id, meet, small
 
 SLOTS = 1 << 20
 BANDS, ROWS = 32, 5
@@ -304,6 +305,23 @@ def _all_pairs(rows: DataFrame, likely) -> DataFrame:
     return lists.select(F.explode(_pairs_of(F.col("rs"), likely)).alias("p")).select("p.*")
 
 
+def _repeated(sets: DataFrame) -> DataFrame:
+    """(item, held): how many texts of one batch hold a shingle, where several do; the sums are at most the true counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, held = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(items[held > 1], pa.int64()), pa.array(held[held > 1], pa.int64())], ["item", "held"])
+
+    return sets.select("items").mapInArrow(run, "item long, held long")
+
+
+def _hot_items(sets: DataFrame, total: int) -> DataFrame:
+    """One row with `hot`, the shingles that surely aren't rare and make more than one in HOT_KEYS of the `total`: fewer than HOT_KEYS."""
+    counts = _repeated(sets).groupBy("item").agg(F.sum("held").alias("held"))
+    return counts.filter((F.col("held") > RARE) & (F.col("held") * HOT_KEYS > total)).agg(F.collect_list("item").alias("hot"))
+
+
 def _open_pairs(still: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, likely, scratch: Scratch) -> DataFrame:
     """All likely pairs in different components of one bucket: (a, b, c_a, c_b).
 
@@ -314,8 +332,10 @@ def _open_pairs(still: DataFrame, nodes: DataFrame, sets: DataFrame, percent: in
     the bound allows, and once each, in the first bucket that they share.
     """
     ids = scratch.write(still.select("rep", "component", "n", "low").distinct(), "ids")
-    own = sets.join(small(ids.select("rep"), ids.count(), BROADCAST_IDS), "rep", "left_semi")
-    items = scratch.write(own.select("rep", F.explode("items").alias("item")), "items")
+    n_ids, total = ids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    own = sets.join(small(ids.select("rep"), n_ids, BROADCAST_IDS), "rep", "left_semi")
+    hot = scratch.write(_hot_items(own, total), "hot")
+    items = scratch.write(own.join(F.broadcast(hot)).select("rep", F.explode(F.array_except("items", "hot")).alias("item")), "items")
     rare = items.groupBy("item").agg(F.count("*").alias("held")).filter(F.col("held") <= RARE)
     scarce = scratch.write(items.join(rare, "item"), "scarce")
     met = scarce.filter("held > 1").join(ids, "rep").groupBy("item").agg(F.collect_set(F.struct("rep", "component", "n", "low")).alias("rs"))  # at most RARE ids
