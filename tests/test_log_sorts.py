@@ -22,7 +22,7 @@ def plans(spark, run):
     return [e.physicalPlanDescription() for e in (found.apply(i) for i in range(found.size())) if e.executionId() > last]
 
 
-@pytest.mark.parametrize("name", ["s17_snapshot_round_trip", "st03_stream_usages"])
+@pytest.mark.parametrize("name", ["s17_snapshot_round_trip", "st03_stream_usages", "s13_snapshot_usages"])
 def test_statements_of_a_log_are_not_sorted(spark, name):
     ran = plans(spark, lambda: entry.queries()[name](spark, "/root/testdata/sf0.001").collect())
     scans = [p for p in ran if re.search(LOG, p)]
