@@ -104,6 +104,15 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df`, to be shuffled in its next join, whatever size Spark takes the sides for.
+
+    Spark goes by compressed files, and takes what `explode` gives for one row a
+    list: it would send millions of rows through the driver.
+    """
+    return df.hint("merge")
+
+
 def meet(rows: DataFrame, keys: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
     """`rows` with the columns of `keys`, which has one row a key and counts in `size` how many of the `total` rows it has.
 

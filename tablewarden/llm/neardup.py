@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, Scratch, long_id, meet, small
+from .common import HOT_KEYS, Scratch, long_id, meet, shuffled, small
 
 SLOTS = 1 << 20
 BANDS, ROWS = 32, 5
@@ -174,7 +174,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 def starred(links: DataFrame) -> DataFrame:
     """Fewer links (a, b) with the same components: each b to its smallest a, and its other a to that one."""
     near = links.groupBy("b").agg(F.min("a").alias("m"))
-    rest = links.join(near, "b").filter(F.col("a") != F.col("m")).select("a", F.col("m").alias("b")).distinct()
+    rest = links.join(shuffled(near), "b").filter(F.col("a") != F.col("m")).select("a", F.col("m").alias("b")).distinct()
     return near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(rest)
 
 
@@ -188,10 +188,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.write(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(shuffled(labels), both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(shuffled(near), labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = scratch.write(lower.join(jump, lower.label == jump.at, "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        new = scratch.write(lower.join(shuffled(jump), lower.label == jump.at, "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         moved = new.filter("label < old").limit(1).count()
         labels = new.select("node", "label")
         if not moved:

@@ -27,6 +27,7 @@ Steps, all of them Spark jobs over tables in the shared folder:
    algorithm.  No link is lost and no list is capped.
 
 Rows shuffled: 66 short ones for each distinct fingerprint, two for its entries.
+Nothing is broadcast.
 
 Defined results: A-Z are lower-cased; words are what stands between separators;
 fewer words than a shingle has are one shingle.  Null, empty and blank texts have
@@ -47,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, shuffled
 from .neardup import components
 
 SEED = 42
@@ -143,21 +144,21 @@ def linked_fingerprints(fps: DataFrame, scratch: Scratch, bucket: int = BUCKET)
         last = level == len(PARTS) - 1
         entries = scratch.write(_entries(level, stored), "entries")
         counts = scratch.write(entries.groupBy("mask", "key").agg(F.count("*").alias("held")), "counts")
-        probes = scratch.write(_probes(level, tried).join(counts, ["mask", "key"]).filter((F.col("held") > 1) | (F.col("near") != F.col("fp"))), "probes")
+        probes = scratch.write(_probes(level, tried).join(shuffled(counts), ["mask", "key"]).filter((F.col("held") > 1) | (F.col("near") != F.col("fp"))), "probes")
         short = counts if last else counts.filter(F.col("held") <= bucket)
-        lists.append(scratch.write(entries.join(short, ["mask", "key"], "left_semi"), "lists"))
+        lists.append(scratch.write(entries.join(shuffled(short), ["mask", "key"], "left_semi"), "lists"))
         open_rows.append(probes if last else probes.filter(F.col("held") <= bucket))
         if last or not counts.filter(F.col("held") > bucket).limit(1).count():
             break
         long = counts.filter(F.col("held") > bucket)
-        stored = entries.join(long, ["mask", "key"], "left_semi").select(F.col("mask").alias("before"), "fp")
+        stored = entries.join(shuffled(long), ["mask", "key"], "left_semi").select(F.col("mask").alias("before"), "fp")
         tried = probes.filter(F.col("held") > bucket).select(F.col("mask").alias("before"), "fp", "near")
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     stored, looking = union(lists), union(open_rows).select("mask", "key", "fp")
     labels = scratch.write(fps.select("fp", F.col("fp").alias("label")), "labels")
     while True:
-        held = stored.join(labels, "fp").groupBy("mask", "key").agg(F.collect_list(F.struct("fp", "label")).alias("held"))  # `bucket` entries at most, 256 on the last level
-        met = looking.join(labels, "fp").join(held, ["mask", "key"])
+        held = stored.join(shuffled(labels), "fp").groupBy("mask", "key").agg(F.collect_list(F.struct("fp", "label")).alias("held"))  # `bucket` entries at most, 256 on the last level
+        met = looking.join(shuffled(labels), "fp").join(shuffled(held), ["mask", "key"])
         others = F.filter("held", lambda x: (x["label"] != F.col("label")) & (_apart(x["fp"], F.col("fp")) <= RADIUS))
         found = met.select("mask", "key", "fp", "label", F.array_distinct(F.transform(others, lambda x: x["label"])).alias("others")).filter(F.size("others") > 0)
         found = scratch.write(found.select("mask", "key", "fp", "label", F.array_min("others").alias("other"), (F.size("others") > 1).alias("more")), "found")
@@ -165,7 +166,7 @@ def linked_fingerprints(fps: DataFrame, scratch: Scratch, bucket: int = BUCKET)
         if not found.limit(1).count():
             return labels
         merged = components(links, scratch)
-        labels = scratch.write(labels.join(merged, labels.label == merged.node, "left").select("fp", F.coalesce("component", "label").alias("label")), "labels")
+        labels = scratch.write(labels.join(shuffled(merged), labels.label == merged.node, "left").select("fp", F.coalesce("component", "label").alias("label")), "labels")
         looking = found.filter("more").select("mask", "key", "fp")
         if not looking.limit(1).count():
             return labels
@@ -177,8 +178,8 @@ def simhash_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     own = scratch.write(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), width), "fingerprints")
     classes = scratch.write(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     labels = linked_fingerprints(classes.select("fp"), scratch, bucket)
-    grouped = labels.join(classes, "fp")
+    grouped = labels.join(shuffled(classes), "fp")
     lowest = grouped.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = scratch.write(grouped.select("fp", "label").join(lowest, "label").select("fp", "component_id"), "named")
+    named = scratch.write(grouped.select("fp", "label").join(shuffled(lowest), "label").select("fp", "component_id"), "named")
     scratch.clear(own, named)
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(shuffled(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -8,7 +8,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import Scratch
+from tablewarden.llm.neardup import components
 from tablewarden.llm.simhash import CHUNK, fingerprint, linked_fingerprints, simhash_duplicates
+from tests.test_log_sorts import plans
 
 SCHEMA = "doc_id long, text string, fp long, label int"
 
@@ -115,3 +117,14 @@ def test_hash_is_that_of_spark(spark):
     text = "It was so."
     (row,) = spark.range(1).select(F.xxhash64(F.lit("it was so.")).alias("h")).collect()
     assert fingerprint(text) == row["h"] % 2**64
+
+
+def test_nothing_is_broadcast(spark):
+    """Spark takes 66 probes a fingerprint for one; neither they nor labels, links and components go through the driver."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"v{rng.randrange(400)}" for _ in range(30)) + " x y" * (i % 2)) for i in range(400)] + [(1000 + i, "same words " * 9 + f"w{i % 3}") for i in range(50)]
+    ran = plans(spark, lambda: found(spark, rows))
+    assert any("SortMergeJoin" in p for p in ran) and not [p for p in ran if re.search(r"\bBroadcast\w+", p)]
+    links = spark.createDataFrame([(i, i + 1) for i in range(99)], "a long, b long")
+    ran = plans(spark, lambda: components(links, Scratch(spark)).collect())
+    assert any("SortMergeJoin" in p for p in ran) and not [p for p in ran if re.search(r"\bBroadcast\w+", p)]
