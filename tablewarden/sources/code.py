@@ -34,7 +34,7 @@ from ..functions.sqltext import order_words
 from ..schemas import columns
 from ..workspace import in_parts, ranked, saved
 from .apptext import JSON_MARK
-from .tokens import lexed, nested, parts_of
+from .tokens import again, lexed, nested, parts_of
 
 RECORDED = ("where", "order", "reorder")
 #: Keywords that end or change a statement where they open no block.
@@ -52,12 +52,8 @@ def _in(c: Column | str, *values: str) -> Column:
 
 
 def linked(files: DataFrame, parts: int | None = None) -> DataFrame:
-    """Token rows with neighbours among their siblings (p, n), the chain (its first token), the statement, and the call whose direct argument they are."""
-    order = Window.partitionBy("path").orderBy("i")
+    """Token rows with neighbours among their siblings (p, n), the chain (its first token), what it has gone through so far (goes), its last call (part), the statement, and the call whose direct argument they are."""
     rows = nested(lexed(files, parts))
-    last, third = F.lag("text").over(order), F.lag("text", 3).over(order)
-    title = F.col("kind").isin("name", "constant") & (_in(last, "def") | (_in(last, ".") & _in(third, "def")))
-    rows = rows.withColumn("kind", F.when(title, "title").otherwise(F.col("kind")))
     near = {name: f(c).over(_siblings()) for f, sign in ((F.lag, "p"), (F.lead, "n")) for name, c in ((sign, "text"), (f"{sign}kind", "kind"), (f"{sign}i", "i"))}
     rows = rows.withColumns(near | {"ngap": F.lead("gap").over(_siblings())})
     t, value = F.col("text"), _in("pkind", "name", "constant") | _in("p", ")", "]", "}", "end")
@@ -69,10 +65,14 @@ def linked(files: DataFrame, parts: int | None = None) -> DataFrame:
     rows = rows.withColumns({"line_no": F.sum(breaks.cast("int")).over(_siblings(True)), "stmt": F.sum(ends.cast("int")).over(_siblings(True)), "called": called})
     begins = _in("nkind", "label", "symbol", "string", "constant", "name", "number", "variable", "words", "heredoc_start") | _in("n", "->", "[", ":")
     rows = rows.withColumn("command", called & F.coalesce(F.col("ngap"), F.lit(False)) & begins)
-    within = Window.partitionBy("path", "parent", "stmt").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("commanded", F.last(F.when(F.col("command"), F.col("i")), True).over(within))
-    brackets = rows.withColumn("after_call", F.lag("called").over(_siblings())).filter((t == "(") & ~F.col("gap") & F.col("after_call")).select("path", F.col("i").alias("parent"), F.col("pi").alias("caller"))
-    return rows.join(brackets, ["path", "parent"], "left").withColumn("argument_of", F.coalesce("commanded", "caller")).drop("commanded", "caller")
+    last = F.last(F.when(F.col("command"), F.struct("stmt", "i")), True).over(_siblings().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"last": last, "asks": (t == "(") & ~F.col("gap") & F.coalesce(F.lag("called").over(_siblings()), F.lit(False))})
+    rows = again(rows.withColumn("commanded", F.when(F.col("last.stmt") == F.col("stmt"), F.col("last.i"))).drop("last", "command"), F.col("asks"))
+    rows = rows.withColumn("inside", F.when(F.col("mark"), F.col("i")).otherwise(F.col("parent")))
+    caller = F.max(F.when(F.col("mark"), F.col("pi"))).over(Window.partitionBy("path", "inside"))
+    rows = rows.withColumn("argument_of", F.coalesce("commanded", caller)).filter("not mark").drop("mark", "inside", "asks", "commanded")
+    upto = Window.partitionBy("path", "chain").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({"goes": F.sum(_in("text", ".", "&.", "(", "[").cast("int")).over(upto), "part": F.last(F.when(F.col("called"), F.col("i")), True).over(upto)})
 
 
 def _arguments(rows: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def _bodies(rows: DataFrame) -> DataFrame:
 
 def definitions(rows: DataFrame, homes: DataFrame, arguments: DataFrame) -> DataFrame:
     """(table_name, name, path, at, body): named scopes and class methods of models' files."""
-    rows = rows.join(homes, "path")
+    rows = saved(rows.join(homes, "path"), "model_tokens")
     bodies = _bodies(rows)
     order = Window.partitionBy("path").orderBy("i")
     wide = rows.withColumns({"t1": F.lead("text").over(order), "t2": F.lead("text", 2).over(order), "t3": F.lead("text", 3).over(order)})
@@ -135,11 +135,11 @@ def variables(rows: DataFrame) -> DataFrame:
     """
     firsts = rows.select("path", F.col("i").alias("at"), "text", "kind", "scope", "barrier", "n", "p", "ni", "chain", "parent")
     after = rows.filter("text = '='").select("path", F.col("i").alias("ni"), F.col("ni").alias("value"))
-    ends = rows.groupBy("path", F.col("chain").alias("value")).agg(F.max_by("n", "i").alias("follows"), F.max("i").alias("last"))
-    held = F.when(~_in("follows", "||", "&&", "?", "..", "..."), F.col("value"))
+    ends = rows.groupBy("path", F.col("chain").alias("value")).agg(F.max_by(_in("n", "||", "&&", "?", "..", "..."), "i").alias("odd"), F.max("i").alias("last"))  # of fixed width: added up by hash
+    held = F.when(~F.coalesce("odd", F.lit(False)), F.col("value"))
     writes = firsts.filter("kind = 'name' and chain = at and n = '='").join(after, ["path", "ni"]).join(ends, ["path", "value"], "left").select("path", F.col("text").alias("name"), F.coalesce("last", "at").alias("at"), "scope", "barrier", held.alias("value"))
-    openers = rows.filter("opens").select("path", F.col("i").alias("parent"), F.col("block").alias("in_block"), F.col("p").alias("before"), F.col("pkind").alias("before_kind"), F.col("chain").alias("opened"))
-    inside = firsts.join(openers, ["path", "parent"]).withColumn("bars", F.sum((F.col("text") == "|").cast("int")).over(Window.partitionBy("path", "parent").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    openers = rows.filter("opens").select("path", F.col("i").alias("parent"), F.col("block").alias("in_block"), F.col("p").alias("before"), F.col("pkind").alias("before_kind"), F.col("chain").alias("opened")).filter("in_block or before_kind = 'title' or before = '->'")
+    inside = firsts.filter("kind in ('name', 'label') or text = '|'").join(openers, ["path", "parent"]).withColumn("bars", F.sum((F.col("text") == "|").cast("int")).over(Window.partitionBy("path", "parent").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
     named = F.col("kind").isin("name", "label") & (F.col("p").isNull() | _in("p", ",", "|", "*", "&", "**"))
     arrows = rows.filter("block").select("path", F.col("chain").alias("opened"), F.col("i").alias("arrow_scope"))
     given = inside.filter(named & ((F.col("in_block") & (F.col("bars") == 1)) | (F.col("before_kind") == "title") | (F.col("before") == "->"))).join(arrows, ["path", "opened"], "left")
@@ -148,10 +148,11 @@ def variables(rows: DataFrame) -> DataFrame:
     writes = writes.union(given).join(closed, ["path", "scope"], "left").select("path", "name", "barrier", "at", "scope", "until", "value")
     uses = rows.filter("kind = 'name' and chain = i").filter(~_in("n", "=")).select("path", F.col("text").alias("name"), "barrier", "i")
     met = uses.join(writes, ["path", "name", "barrier"]).filter((F.col("at") < F.col("i")) & (F.col("i") < F.coalesce("until", F.lit(2**31 - 1))))
-    found = met.groupBy("path", "i").agg(F.max_by(F.struct("value"), F.struct("scope", "at")).alias("v"))
+    place = F.shiftleft(F.col("scope").cast("long"), 32) + F.col("at")  # the innermost scope, there the last
+    found = met.groupBy("path", "i").agg(F.max_by("value", place).alias("value"))
     own = writes.filter("value is not null").select("path", F.col("value").alias("i"), F.col("name").alias("of"))
     again = own.join(uses.select("path", "i", F.col("name").alias("of")), ["path", "i", "of"]).select("path", "i", F.lit(True).alias("again"))
-    return found.join(again, ["path", "i"], "left").select("path", "i", "v.value", F.coalesce("again", F.lit(False)).alias("again"))
+    return found.join(again, ["path", "i"], "left").select("path", "i", "value", F.coalesce("again", F.lit(False)).alias("again"))
 
 
 def _grown(start: DataFrame, step, label: str) -> DataFrame:
@@ -192,8 +193,7 @@ def _analysed(files: DataFrame, models: DataFrame, catalog: DataFrame, parts: in
     held = saved(variables(rows), "variables")
 
     # tables of chains: by constant, by file, or through variables
-    upto_call = Window.partitionBy("path", "chain").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    head = rows.withColumn("calls", F.sum(_in("text", ".", "&.", "(", "[").cast("int")).over(upto_call)).filter("calls = 0").filter((F.col("kind") == "constant") | (F.col("text") == "::"))
+    head = rows.filter("goes = 0").filter((F.col("kind") == "constant") | (F.col("text") == "::"))
     constants = head.groupBy("path", "chain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "").alias("constant")).join(names, "constant")
     starts = rows.filter("chain = i").select("path", "chain", "kind", "called")
     implicit = starts.filter("called").join(held.select("path", F.col("i").alias("chain")), ["path", "chain"], "left_anti").join(homes, "path").select("path", "chain", F.col("home").alias("table_name"))
@@ -235,8 +235,7 @@ def _analysed(files: DataFrame, models: DataFrame, catalog: DataFrame, parts: in
     found = F.when(F.col("name") == "where", F.concat(usage("where", filters, none), usage("jsonb_where", json, none))).otherwise(usage("order", sorted_by, before))
     recorded = calls.filter(F.col("name").isin(*RECORDED)).join(items, ["path", "chain"], "left")
     recorded = recorded.select("path", "chain", "i", "table_name", "args_end", F.posexplode(found).alias("k", "u"))
-    part = F.last(F.when(F.col("called"), F.col("i")), True).over(upto_call)
-    ends = rows.withColumn("part", part).filter("part is not null and not text in ('.', '&.')").groupBy("path", F.col("part").alias("i")).agg(F.max(F.col("pos") + F.length("text")).alias("end"))
+    ends = rows.filter("part is not null and not text in ('.', '&.')").groupBy("path", F.col("part").alias("i")).agg(F.max(F.col("pos") + F.length("text")).alias("end"))
     begun = rows.filter("chain = i").select("path", "chain", F.col("pos").alias("begin"), "line")
     out = recorded.join(begun, ["path", "chain"]).join(ends, ["path", "i"]).join(files.select("path", "text"), "path")
     source = F.substring("text", F.col("begin") + 1, F.greatest("end", F.coalesce("args_end", "end")) - F.col("begin"))

@@ -71,6 +71,11 @@ def lexed(files: DataFrame, parts: int | None = None) -> DataFrame:
     return rows.select("path", "i", at(F.length(t)).alias("pos"), (at(breaks) + 1).cast("int").alias("line"), kind.alias("kind"), "text")
 
 
+def _next(c: str) -> Column:
+    """The column's next value in the file that isn't null; a frame up to the file's end would be added up anew for each token."""
+    return F.expr(f"lead({c}) ignore nulls over (partition by path order by i)")
+
+
 def significant(tokens: DataFrame) -> DataFrame:
     """Tokens without blanks, comments and line breaks inside statements.
 
@@ -79,53 +84,63 @@ def significant(tokens: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("path").orderBy("i")
     blank = F.col("kind").isin("space", "comment", "heredoc")
-    body = F.first(F.when(F.col("kind") == "heredoc", F.regexp_replace("text", r"\n[^\n]*\z", "")), True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    rows = tokens.withColumns({"gap": F.coalesce(F.lag("kind").over(order).isin("space", "comment", "newline"), F.lit(True)), "said": F.when(F.col("kind") == "heredoc_start", body)}).filter(~blank)
-    solid = F.when(F.col("kind") != "newline", F.struct("kind", "text"))
-    after, ahead = F.first(solid, True).over(order.rowsBetween(1, Window.unboundedFollowing)), F.last(solid, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumns({"after": after["text"], "ahead": ahead})
+    rows = tokens.withColumn("body", F.when(F.col("kind") == "heredoc", F.regexp_replace("text", r"\n[^\n]*\z", "")))
+    rows = rows.withColumns({"gap": F.coalesce(F.lag("kind").over(order).isin("space", "comment", "newline"), F.lit(True)), "said": F.when(F.col("kind") == "heredoc_start", _next("body"))}).filter(~blank)
+    rows = rows.drop("body").withColumn("solid", F.when(F.col("kind") != "newline", F.struct("kind", "text")))
+    rows = rows.withColumns({"after": _next("solid")["text"], "ahead": F.last("solid", True).over(order.rowsBetween(Window.unboundedPreceding, -1))})
     goes_on = F.coalesce(F.col("after").isin(".", "&."), F.lit(False)) | F.coalesce((F.col("ahead.kind") == "mark") & ~F.col("ahead.text").isin(")", "]", "}", ";", "|", "?", "!"), F.lit(False))
-    rows = rows.filter(~((F.col("kind") == "newline") & goes_on)).drop("after", "ahead")
+    rows = rows.filter(~((F.col("kind") == "newline") & goes_on)).drop("solid", "after", "ahead")
     dotted = F.coalesce(F.lag("text").over(order).isin(".", "&."), F.lit(False))
     return rows.withColumn("kind", F.when((F.col("kind") == "keyword") & dotted, "name").otherwise(F.col("kind")))
 
 
-def enclosed(rows: DataFrame, opens: Column, closes: Column, name: str) -> DataFrame:
-    """`rows` with `name`: the `i` of the innermost opener around each token, -1 for none; openers and closers stand outside.
+def _depth(opens: Column, closes: Column) -> Column:
+    """How many openers are open at each token; openers and closers stand outside."""
+    before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(before), F.lit(0)) - F.when(closes, 1).otherwise(0)
 
-    Each opener is entered once more among the tokens of the depth that it opens.
-    """
-    order = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    deep = rows.withColumn("__depth", F.coalesce(F.sum(step).over(order), F.lit(0)) - F.when(closes, 1).otherwise(0))
-    both = deep.withColumn("__mark", F.explode(F.when(opens, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    both = both.withColumn("__depth", F.col("__depth") + F.col("__mark").cast("int"))
-    inner = Window.partitionBy("path", "__depth").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn(name, F.coalesce(F.last(F.when(F.col("__mark"), F.col("i")), True).over(inner), F.lit(-1)))
-    return found.filter(~F.col("__mark")).drop("__mark", "__depth")
+
+def again(rows: DataFrame, when: Column) -> DataFrame:
+    """`rows` with those of `when` entered twice, told apart by `mark`: as themselves and among what they enclose."""
+    return rows.withColumn("mark", F.explode(F.when(when, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+
+
+def _innermost(mark: Column, depth: str) -> Column:
+    """The `i` of the innermost opener around each token, -1 for none: the last one that is marked on its depth."""
+    upto = Window.partitionBy("path", depth).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.last(F.when(mark, F.col("i")), True).over(upto), F.lit(-1))
 
 
 def nested(tokens: DataFrame) -> DataFrame:
-    """Significant tokens with what encloses them.
+    """Significant tokens with what encloses them; the name after `def` has the kind "title".
 
     parent: the bracket or block around a token; partner: of a closer, what it
     closes; scope: the innermost scope of local variables (class, module, def,
     block, lambda); barrier: the innermost one that hides what is outside it.
+
+    Sorts cost most here: all that needs a file's order stands together, and so does what needs a depth's.
     """
     order = Window.partitionBy("path").orderBy("i")
-    rows = significant(tokens).withColumns({"before": F.lag("text").over(order), "before_kind": F.lag("kind").over(order)})
+    rows = significant(tokens).withColumns({"before": F.lag("text").over(order), "before_kind": F.lag("kind").over(order), "third": F.lag("text", 3).over(order)})
     t, word = F.col("text"), F.col("kind") == "keyword"
     leads = F.col("before").isNull() | F.col("before_kind").isin("newline", "label") | ((F.col("before_kind") == "mark") & ~F.col("before").isin(")", "]", "}")) | ((F.col("before_kind") == "keyword") & ~F.col("before").isin("end", "self", "nil", "true", "false"))
     loop = word & t.isin("while", "until", "for") & leads
-    looped = F.coalesce(F.max(loop).over(Window.partitionBy("path", "line").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    looped = F.coalesce(F.last(F.when(loop, F.col("line")), True).over(order.rowsBetween(Window.unboundedPreceding, -1)) == F.col("line"), F.lit(False))
     opens = (word & (t.isin("class", "module", "def", "begin", "case") | (t.isin("if", "unless", "while", "until", "for") & leads) | ((t == "do") & ~looped))) | ((F.col("kind") == "mark") & t.isin("(", "[", "{"))
     closes = (word & (t == "end")) | ((F.col("kind") == "mark") & t.isin(")", "]", "}"))
     block = (t == "do") | ((t == "{") & (F.col("before_kind").isin("name") | F.col("before").isin(")", "->")))
     rows = rows.withColumns({"opens": opens, "closes": closes})
     rows = rows.withColumns({"hides": F.col("opens") & word & t.isin("class", "module", "def"), "block": F.col("opens") & block})
-    rows = enclosed(rows, F.col("opens"), F.col("closes"), "parent")
-    siblings = Window.partitionBy("path", "parent").orderBy("i")
-    rows = rows.withColumn("partner", F.when(F.col("closes"), F.lag(F.struct("i", "hides", "block")).over(siblings)))
+    title = F.col("kind").isin("name", "constant") & F.coalesce((F.col("before") == "def") | ((F.col("before") == ".") & (F.col("third") == "def")), F.lit(False))
+    rows = rows.withColumns({"kind": F.when(title, "title").otherwise(F.col("kind")), "depth": _depth(F.col("opens"), F.col("closes"))}).drop("before", "before_kind", "third")
+
+    rows = again(rows, F.col("opens")).withColumn("depth", F.col("depth") + F.col("mark").cast("int"))
+    last = F.lag(F.struct("i", "hides", "block")).over(Window.partitionBy("path", "depth").orderBy("i"))  # on a closer's depth, what it closes stands last
+    rows = rows.withColumns({"parent": _innermost(F.col("mark"), "depth"), "partner": F.when(F.col("closes"), last)}).filter("not mark").drop("mark", "depth")
+
     ends = lambda c: F.coalesce(F.col(f"partner.{c}"), F.lit(False))
-    rows = enclosed(rows, F.col("hides") | F.col("block"), ends("hides") | ends("block"), "scope")
-    return enclosed(rows, F.col("hides"), ends("hides"), "barrier").withColumn("partner", F.col("partner.i"))
+    scopes = F.col("hides") | F.col("block")
+    rows = rows.withColumns({"in_scopes": _depth(scopes, ends("hides") | ends("block")), "in_barriers": _depth(F.col("hides"), ends("hides"))}).withColumn("partner", F.col("partner.i"))
+    hiding = F.col("mark") & F.col("hides")
+    rows = again(rows, scopes).withColumns({"in_scopes": F.col("in_scopes") + F.col("mark").cast("int"), "in_barriers": F.col("in_barriers") + hiding.cast("int")})
+    return rows.withColumns({"scope": _innermost(F.col("mark"), "in_scopes"), "barrier": _innermost(hiding, "in_barriers")}).filter("not mark").drop("mark", "in_scopes", "in_barriers", "hides")

@@ -134,3 +134,28 @@ def test_parts_follow_the_text(spark, monkeypatch):
     got = usages(spark, ("lib/a.rb", LOCALS), ("lib/b.rb", "User.where(id: 1).order(:status)\n"))
     assert len(got) == 12 and got[-1] == ("b.rb", 1, "where", "id", "")
     assert {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql.")} == before
+
+
+def test_tokens_are_computed_once(spark):
+    """Files are cut once, no frame adds up the rest of a file for each token, and windows share their sorts."""
+    rows = code.linked(spark.createDataFrame([("lib/a.rb", LOCALS)], "path string, text string"), 2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode(regexp_extract_all") == 1 and "RowFrame, 1, unboundedfollowing" not in plan
+    assert plan.count("Sort [") <= 9
+
+
+STRAY = ''') end ]
+rel = User.where(id: 1)
+def a(rel)
+  rel.order(:id)
+end end }
+rel.order :status
+foo.each do |rel, x| rel.order(:id); end
+bar(rel.order(:user_id), User.where(status: [1, (2)]).order "id"
+'''
+
+
+def test_closers_without_an_opener(spark):
+    assert usages(spark, ("lib/a.rb", STRAY)) == [
+        ("a.rb", 2, "where", "id", ""), ("a.rb", 6, "order", "status", "id"), ("a.rb", 8, "order", "user_id", "id"), ("a.rb", 8, "order", "id", "status"), ("a.rb", 8, "where", "status", ""),
+    ]
